@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from packetloom.llm.html import op10_html_extraction
 from packetloom.llm.langid import op2_language_id
+from packetloom.llm.pii import op1_pii
 from packetloom.llm.simhash import op4_simhash_near_dedup
 from packetloom.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_language_id": op2_language_id,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op7_toxicity": op7_toxicity,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {}
