@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from packetloom.llm import decontam
+from packetloom.llm.decontam import op3_decontamination
 from packetloom.llm.html import op10_html_extraction
 from packetloom.llm.langid import op2_language_id
+from packetloom.llm.licenses import op5_license_scan
+from packetloom.llm.mixing import op8_mixing
 from packetloom.llm.pii import op1_pii
 from packetloom.llm.simhash import op4_simhash_near_dedup
 from packetloom.llm.toxicity import op7_toxicity
@@ -15,9 +19,12 @@ from packetloom.llm.toxicity import op7_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_language_id": op2_language_id,
+    "op3_decontamination": op3_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_license_scan": op5_license_scan,
     "op7_toxicity": op7_toxicity,
+    "op8_mixing": op8_mixing,
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontam.ORACLE}
