@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from packetloom.llm import decontam
 from packetloom.llm.decontam import op3_decontamination
 from packetloom.llm.html import op10_html_extraction
+from packetloom.llm.iblt import op9_fingerprints
 from packetloom.llm.langid import op2_language_id
 from packetloom.llm.licenses import op5_license_scan
 from packetloom.llm.mixing import op8_mixing
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": op5_license_scan,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
+    "op9_fingerprints": op9_fingerprints,
     "op10_html_extraction": op10_html_extraction,
 }
 
