@@ -15,6 +15,7 @@ from packetloom.llm.licenses import op5_license_scan
 from packetloom.llm.mixing import op8_mixing
 from packetloom.llm.pii import op1_pii
 from packetloom.llm.simhash import op4_simhash_near_dedup
+from packetloom.llm.substrings import op6_substring_dedup
 from packetloom.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_license_scan": op5_license_scan,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op9_fingerprints": op9_fingerprints,
