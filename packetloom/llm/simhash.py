@@ -23,7 +23,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from packetloom.llm._common import arrow_map, materialize, table
 
@@ -56,10 +55,10 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """doc_id, fp (long): the fingerprint of every whole text. A null text has no words."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-    return rows.mapInArrow(arrow_map(lambda c: {"doc_id": c["doc_id"], "fp": [fingerprint(t, shingle) for t in c["text"]]}, out), "doc_id long, fp long")
+    """doc_id, text_hash, fp (long): the fingerprint of every whole text. A null text has no words."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    out = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
+    return rows.mapInArrow(arrow_map(lambda c: {"doc_id": c["doc_id"], "text_hash": c["text_hash"], "fp": [fingerprint(t, shingle) for t in c["text"]]}, out), "doc_id long, text_hash long, fp long")
 
 
 def block_masks(n: int, radius: int) -> list[int]:
@@ -209,7 +208,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 
 
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (least doc_id of the class), class_root (its least fingerprint).
+    """doc_id, text_hash, fingerprint (16 hex digits), component_id (least doc_id of the class), class_root (its least fingerprint).
 
     One row for each input row. Null and empty texts have fingerprint zero and are linked like any
     other; rows with a null doc_id keep it and count for links, but name a class only if it has no
@@ -221,29 +220,22 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     label = materialize(rooted.join(named, "root").select("fp", "root", "component_id"), "simhash-labels")
-    return rows.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("root").alias("class_root"))
+    return rows.join(label, "fp").select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("root").alias("class_root"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """docs with one row for each class: that with the least doc_id, and of repeated rows any one."""
-    keep = simhash_classes(docs, id_col, text_col, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = keep.select(F.col("doc_id").alias("_keep_id"), F.col("fingerprint").alias("_keep_fp"), F.col("class_root").alias("_keep_root")).dropDuplicates(["_keep_id", "_keep_root"])
-    fps = fingerprints_with(docs, text_col)
-    joined = fps.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_fp") == F.col("_keep_fp")))
-    return joined.dropDuplicates(["_keep_id", "_keep_root"]).drop("_fp", "_keep_id", "_keep_fp", "_keep_root")
-
-
-def fingerprints_with(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs and their fingerprint as the column _fp."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(b.schema.names.index(text_col)).to_pylist()
-            fp = pa.array([f"{fingerprint(t) & (2**64 - 1):016x}" for t in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, fp], names=[*b.schema.names, "_fp"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.StringType())])
-    return docs.mapInArrow(run, schema)
+    """docs with one row for each class: that with the least doc_id, and of several with that id the one with the least text hash."""
+    first = simhash_classes(docs, id_col, text_col, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    texts = first.groupBy("class_root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
+    keep = texts.groupBy("class_root", F.col("doc_id").alias("_keep_id")).agg(F.min(F.struct("text_hash", "times")).alias("x")).select("_keep_id", F.col("x.text_hash").alias("_keep_hash"), F.col("x.times").alias("_times"))
+    keep = materialize(keep, "simhash-keep")
+    hashed = docs.withColumn("_hash", F.xxhash64(text_col))
+    match = (F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id"))) & (F.col("_hash") == F.col("_keep_hash"))
+    out = hashed.join(keep.filter("_times = 1"), match, "left_semi").drop("_hash")
+    repeated = keep.filter("_times > 1")
+    if not repeated.isEmpty():
+        out = out.unionByName(hashed.join(repeated, match, "left_semi").dropDuplicates([id_col, "_hash"]).drop("_hash"))
+    return out
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
