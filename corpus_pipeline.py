@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages, each calling one training-data operator.
 
 Stages are functions of (spark, docs, sf_dir). Each stage's rows are written as Parquet to the
-folder that driver and executors share, and read again as the next stage's documents.
+folder that driver and executors share, and read again as the next stage's documents. All stages
+but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -9,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from packetloom.llm._common import materialize, table
+from packetloom.llm.decontam import remove_contaminated
+from packetloom.llm.mixing import mix
+from packetloom.llm.pii import redact
 from packetloom.llm.simhash import near_dedup
 from packetloom.llm.toxicity import drop_toxic
 
@@ -18,12 +22,33 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
-def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate class."""
     return near_dedup(docs)
 
 
-STAGES = [("toxicity", toxicity), ("simhash_near_dedup", simhash)]
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind; n_chars follows the new text."""
+    return redact(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as the mix of sources wants; _copy numbers the copies from 1."""
+    return mix(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("pii", pii),
+    ("mixing", mixing),
+]
 
 #: The first stage is a trained model, which SQL can't express.
 ORACLE_SQL = None
