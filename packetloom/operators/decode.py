@@ -52,7 +52,8 @@ def imdct(x: np.ndarray) -> np.ndarray:
     """n values from n / 2: y[i] = sum of x[k] cos(pi / (n/2) (i + 1/2 + n/4) (k + 1/2)), by one complex FFT of n."""
     n = 2 * len(x)
     before, after = _twiddles(n)
-    return (np.fft.fft(x * before, n) * after).real.astype(np.float32)
+    with np.errstate(over="ignore", invalid="ignore"):
+        return (np.fft.fft(x * before, n) * after).real.astype(np.float32)
 
 
 @cache
@@ -84,7 +85,7 @@ def floor0_curve(cosines: np.ndarray, amplitude: int, fl: Floor0, n: int) -> np.
     level = amplitude * fl.amplitude_offset / ((1 << fl.amplitude_bits) - 1)
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
         curve = np.exp(0.11512925 * (level / np.sqrt(p + q) - fl.amplitude_offset))
-    return curve[where].astype(np.float32)
+    return np.minimum(curve, np.finfo(np.float32).max)[where].astype(np.float32)
 
 
 def read_floor0(bits: BitReader, fl: Floor0, setup: Setup, n: int) -> np.ndarray | None:
@@ -288,7 +289,7 @@ def decode_packet(data: bytes, ident: Ident, setup: Setup) -> Block:
             spectra[c] = v
     for m, a in reversed(mapping.coupling):
         spectra[m], spectra[a] = inverse_couple(spectra[m], spectra[a])
-    pcm = [imdct(f * v) if f is not None else np.zeros(shape.n, np.float32) for f, v in zip(floors, spectra, strict=True)]
+    pcm = [imdct(f.astype(np.float64) * v) if f is not None else np.zeros(shape.n, np.float32) for f, v in zip(floors, spectra, strict=True)]
     return Block(shape, np.stack(pcm))
 
 

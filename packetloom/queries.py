@@ -449,3 +449,77 @@ def slope_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of packets in runs of window mismatches."""
     rows = _t(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") == "error").alias("bad"))
     return timeline.slope_status(rows, ["user_id"], "event_id", "bad").select("user_id", "event_id", "status", "restarts")
+
+
+# Streams made by the tasks: there is no SQL for these.
+
+
+def _made_up(spark: SparkSession) -> DataFrame:
+    from packetloom.plans.decode import synthetic_files
+    from packetloom.sources.ogg import split_files
+
+    return split_files(synthetic_files(spark))
+
+
+@query()
+def ogg_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of made-up files."""
+    return _made_up(spark).select("file", "link_idx", "serial", "pkt_idx", "page_idx", F.length("data").alias("size"), "absgp_page")
+
+
+@query()
+def ogg_stream_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ident headers of made-up files."""
+    from packetloom.plans.decode import stream_info
+
+    return stream_info(_made_up(spark))
+
+
+@query()
+def ogg_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments of made-up files."""
+    from packetloom.plans.decode import comments
+
+    return comments(_made_up(spark))
+
+
+@query()
+def ogg_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codewords and vectors of made-up files."""
+    from packetloom.plans.decode import codebooks
+
+    return codebooks(_made_up(spark))
+
+
+@query()
+def ogg_decode_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded, positioned, trimmed and interleaved 16-bit samples of made-up files."""
+    from packetloom.plans.decode import as_i16, decode, positioned
+
+    return as_i16(positioned(decode(_made_up(spark))), interleaved=True)
+
+
+@query()
+def ogg_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of made-up files from sample 1000 on."""
+    from packetloom.plans.decode import skip
+
+    return skip(_made_up(spark), 1000).select("file", "link_idx", "pkt_idx", "samples")
+
+
+@query()
+def ogg_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets and seconds of made-up files, without decoding."""
+    from packetloom.plans.decode import durations
+
+    return durations(_made_up(spark))
+
+
+@query()
+def ogg_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of made-up files with damaged headers."""
+    from packetloom.plans.decode import stream_info, synthetic_files
+    from packetloom.sources.ogg import split_files
+
+    bad = split_files(synthetic_files(spark)).withColumn("data", F.when(F.col("pkt_idx") == 2, F.expr("substring(data, 1, length(data) - 9)")).otherwise(F.col("data")))
+    return stream_info(bad).select("file", "link_idx", "status")
