@@ -133,10 +133,10 @@ def link(serial: int, headers: list[bytes], audio: list[bytes], per_page: int =
 
 
 def made_up(number: int, n_packets: int = 40) -> bytes:
-    """A file of one or two links; channels, floor, residue and coupling follow the number."""
+    """A file of one or two links; channels, residue and coupling follow the number."""
     rng = random.Random(number)
     channels = 1 + number % 2
-    headers = [ident_header(channels), comment_header([("TITLE", f"file {number}"), ("ARTIST", "nobody=else")]), setup_header(channels, floor=1 - number // 2 % 2, residue=number % 3, coupling=number % 4 > 1)]
+    headers = [ident_header(channels), comment_header([("TITLE", f"file {number}"), ("ARTIST", "nobody=else")]), setup_header(channels, residue=number % 3, coupling=number % 4 > 1)]
     out = link(100 + number, headers, audio_packets(rng, n_packets), cut=10)
     if number % 3 == 2:
         out += link(500 + number, headers, audio_packets(rng, n_packets // 2))

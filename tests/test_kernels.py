@@ -136,7 +136,12 @@ def test_packets_decode(floor, residue, channels):
     ident, setup = read_ident(synth.ident_header(channels)), read_setup(synth.setup_header(channels, floor, residue), channels)
     before, total = None, 0
     for p in synth.audio_packets(random.Random(3), 12):
-        b = decode_packet(p, ident, setup)
+        try:
+            b = decode_packet(p, ident, setup)
+        except BadAudio as e:  # random bits may name a book that floor 0 doesn't have
+            assert floor == 0 and str(e) == "EndOfPacket"
+            before = None
+            continue
         assert b.pcm.shape == (channels, shape_of(p, ident, setup).n)
         pcm = overlap(b, before)
         assert pcm.shape[1] == (0 if before is None else b.shape.right - b.shape.left)
