@@ -72,6 +72,13 @@ def arrow_map(fn: Callable[[dict[str, list]], dict[str, list]], out: pa.Schema)
     return run
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't use."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower case of A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm._common import ascii_lower, materialize, table
+from packetloom.llm._common import ascii_lower, free_name, materialize, table
 
 #: Words of a window.
 WINDOW = 10
@@ -36,14 +36,14 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs' columns (but the text), n_words, n_hit, items (sorted ids of items found), and spans (start and end of covered words).
+    """docs' columns (but the text and those of the names that follow), n_words, n_hit, items (sorted ids of items found), and spans (start and end of covered words).
 
     One row for each input row. Null texts have no words; items with a null id mark words but aren't
     named. A benchmark without words marks nothing.
     """
     windows = item_windows(benchmark)
     lens = sorted(r["len"] for r in windows.select("len").distinct().collect())  # at most WINDOW numbers
-    keep = [c for c in docs.columns if c != text_col]
+    keep = [c for c in docs.columns if c not in {text_col, "n_words", "n_hit", "items", "spans"}]
     named = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*keep).alias("_rest"), words_of(F.col(text_col)).alias("_w"))
     n_set = windows.select("key").distinct().count()
 
@@ -98,10 +98,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataF
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.0, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs without those of whose words more than the share lies in benchmark windows."""
-    key = F.xxhash64(F.col(text_col), F.lit(1))
-    found = hits(docs.select(F.col(id_col).alias("_id"), key.alias("_key"), F.col(text_col)), benchmark, text_col)
-    bad = found.filter((F.col("n_hit") > 0) & (F.col("n_hit") > share * F.col("n_words"))).select("_id", "_key").distinct()
-    return docs.withColumn("_key", key).join(bad.withColumnRenamed("_key", "_bad_key"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_bad_key")), "left_anti").drop("_key")
+    hashed, name = F.xxhash64(F.col(text_col), F.lit(1)), free_name(docs, "_key")
+    found = hits(docs.select(F.col(id_col).alias("_id"), hashed.alias("_bad_key"), F.col(text_col)), benchmark, text_col)
+    bad = found.filter((F.col("n_hit") > 0) & (F.col("n_hit") > share * F.col("n_words"))).select(F.col("_id").alias("_bad_id"), "_bad_key").distinct()
+    keyed, other = docs.withColumn(name, hashed).alias("d"), bad.alias("b")
+    return keyed.join(other, F.col(f"d.`{id_col}`").eqNullSafe(F.col("b._bad_id")) & (F.col(f"d.`{name}`") == F.col("b._bad_key")), "left_anti").drop(name)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

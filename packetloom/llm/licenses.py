@@ -23,6 +23,7 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A text without any of these has no license line.
 GATE = ("licen", "copyright", "copyleft", "rights reserved", "public domain", "creative commons", "gpl", "spdx", "cc0", "cc by", "permission is hereby", "redistribution and use", "as is without", "warrant", "unlicense", "wtfpl")
+RESULT = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 CONFIDENCE = (0.98, 0.85, 0.6)
 
 
@@ -128,7 +129,7 @@ def rules() -> tuple[tuple[int, str, str, str], ...]:
 
 def words_line(text: Column) -> Column:
     """The words of a text between single spaces, a space at each end; one space if there are none."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(text), _NOT_WORD, " ")), F.lit(" "))
+    return F.regexp_replace(F.concat(F.lit(" "), ascii_lower(text), F.lit(" ")), _NOT_WORD, " ")
 
 
 def _spaces(c: Column) -> Column:
@@ -166,16 +167,16 @@ def line_labels(line: Column, table_: Column) -> Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of docs but text_col (under their names), and n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """All columns of docs but text_col and those of the names that follow, and n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     One row for each input row; a null or empty text has no words and no labels. Equal lines of one
     text are looked at once.
     """
-    keep = [c for c in docs.columns if c != text_col]
+    keep = [c for c in docs.columns if c not in {text_col, *RESULT}]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     named = docs.select(F.struct(*keep).alias("_rest"), text.alias("_t"), words_line(text).alias("_w"))
     phrases = "(?<= )(?:" + "|".join(BASE) + ")(?= )"
-    named = named.withColumn("_n", F.greatest(_spaces(F.col("_w")) - 1, F.lit(0))).withColumn("_licensed", F.contains("_w", F.lit(" license ")))
+    named = named.withColumn("_n", _spaces(F.col("_w")) - 1).withColumn("_licensed", F.contains("_w", F.lit(" license ")))
     base = F.when(F.col("_licensed"), F.regexp_extract_all("_w", F.lit(phrases), F.lit(0))).otherwise(F.array().cast("array<string>"))
     named = named.withColumn("_base", base).withColumn("_pieces", F.when(F.size("_base") > 0, F.split("_w", phrases, -1)))
     gate = "|".join(GATE)

@@ -147,7 +147,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     A null source is a source of its own, the last. Rows with the same id and size are settled apart.
     """
     size = F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")
-    rest = F.struct(*(carry or docs.columns))
+    rest = F.struct(*[c for c in carry or docs.columns if c not in {"_size", "_source_size", "_target", "_copies"}])
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), rest.alias("rest"))
     slim = materialize(slim, "mixing-sized")
     per_source, n = targets(slim)
@@ -185,9 +185,10 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mix: each row of docs as often as it is taken, with the number of the copy (_copy, from 1)."""
+    """The mix: each row of docs as often as it is taken, with the number of the copy (_copy, from 1, in place of a column of that name)."""
     got = copies(docs).filter("_copies > 0")
-    return got.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+    own = {"_copy", "_size", "_source_size", "_target", "_copies"}
+    return got.select(*[c for c in docs.columns if c not in own], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm._common import arrow_map, materialize, table
+from packetloom.llm._common import arrow_map, free_name, materialize, table
 
 #: Fingerprints in a tile before it is split by population count.
 TILE = 4096
@@ -229,12 +229,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = first.groupBy("class_root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
     keep = texts.groupBy("class_root", F.col("doc_id").alias("_keep_id")).agg(F.min(F.struct("text_hash", "times")).alias("x")).select("_keep_id", F.col("x.text_hash").alias("_keep_hash"), F.col("x.times").alias("_times"))
     keep = materialize(keep, "simhash-keep")
-    hashed = docs.withColumn("_hash", F.xxhash64(text_col))
-    match = (F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id"))) & (F.col("_hash") == F.col("_keep_hash"))
-    out = hashed.join(keep.filter("_times = 1"), match, "left_semi").drop("_hash")
+    name = free_name(docs, "_hash")
+    hashed = docs.withColumn(name, F.xxhash64(text_col)).alias("d")
+    match = F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("k._keep_id")) & (F.col(f"d.`{name}`") == F.col("k._keep_hash"))
+    out = hashed.join(keep.filter("_times = 1").alias("k"), match, "left_semi").drop(name)
     repeated = keep.filter("_times > 1")
     if not repeated.isEmpty():
-        out = out.unionByName(hashed.join(repeated, match, "left_semi").dropDuplicates([id_col, "_hash"]).drop("_hash"))
+        out = out.unionByName(hashed.join(repeated.alias("k"), match, "left_semi").dropDuplicates([id_col, name]).drop(name))
     return out
 
 
