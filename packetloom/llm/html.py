@@ -30,6 +30,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 _BAD_NAME = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|notice|gdpr|nav(?:bar|igation)?|menu|breadcrumbs?|side-?bar|footer|masthead|site-header|comments?|comment-?list|replies|disqus|related|recommend(?:ed|ations)?|share|sharing|social|newsletter|subscribe|signup|login|popup|modal|widget|pagination|pager|toolbar|copyright|legal)(?![a-z])")
 _GOOD_NAME = re.compile(r"(?:^|[^a-z])(?:article(?:-?body)?|post(?:-?body|-?content)?|entry(?:-?content)?|story(?:-?body)?|main(?:-?content)?|content|body-?text)(?![a-z])")
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>\"']*+(?:\"[^\"]*\"[^>\"']*+|'[^']*'[^>\"']*+)*+)>|<!--.*?(?:-->|\Z)|<[!?][^>]*>", re.S)
+_OPEN_END = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")  # a page cut off inside a tag
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "title", "textarea", "noscript", "iframe", "template", "svg")}
 
@@ -81,7 +82,7 @@ def blocks(page: str | None) -> list[Block]:
     while at < n:
         m = _TAG.search(page, at)
         if not m:
-            say(page[at:])
+            say(_OPEN_END.sub("", page[at:]))
             break
         say(page[at : m.start()])
         at = m.end()
