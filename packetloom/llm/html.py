@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import cache
 
@@ -60,6 +61,7 @@ def blocks(page: str | None) -> list[Block]:
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, opens an article, opens boilerplate
+    opened: Counter[str] = Counter()
     text: list[str] = []
     linked: list[str] = []
     state = [0, 0, 0]  # depth of articles, of boilerplate, of links
@@ -78,6 +80,16 @@ def blocks(page: str | None) -> list[Block]:
             if state[2]:
                 linked.append(piece)
 
+    def close(tag: str) -> None:
+        while stack:
+            t, good, bad = stack.pop()
+            opened[t] -= 1
+            state[0] -= good
+            state[1] -= bad
+            state[2] -= t == "a"
+            if t == tag:
+                return
+
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
@@ -92,14 +104,8 @@ def blocks(page: str | None) -> list[Block]:
         if tag in BLOCK:
             flush()
         if m.group(1):
-            if any(s[0] == tag for s in stack):
-                while True:
-                    t, good, bad = stack.pop()
-                    state[0] -= good
-                    state[1] -= bad
-                    state[2] -= t == "a"
-                    if t == tag:
-                        break
+            if opened[tag]:
+                close(tag)
             continue
         if tag in _RAW_END:
             end = _RAW_END[tag].search(page, at)
@@ -108,17 +114,12 @@ def blocks(page: str | None) -> list[Block]:
         if tag in VOID or m.group(3).rstrip().endswith("/"):
             continue
         if tag == "a" and state[2] or tag in ("p", "li") and stack and stack[-1][0] == tag:  # these end themselves
-            while stack:
-                t, good, bad = stack.pop()
-                state[0] -= good
-                state[1] -= bad
-                state[2] -= t == "a"
-                if t == tag:
-                    break
+            close(tag)
         names = " ".join(a or b or c for _, a, b, c in _ATTR.findall(m.group(3))).lower() if "=" in m.group(3) else ""
         good = tag in ("article", "main") or bool(names and _GOOD_NAME.search(names))
         bad = tag in SKIP or bool(names and _BAD_NAME.search(names)) or tag in BOILER and not (tag == "header" and state[0])
         stack.append((tag, good, bad))
+        opened[tag] += 1
         state[0] += good
         state[1] += bad
         state[2] += tag == "a"
