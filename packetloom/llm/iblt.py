@@ -1,6 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, with DataFrame functions only.
 
-A text is cut into pieces at line ends and after sentences; the digest of each distinct piece goes
+A text is cut into pieces at line ends and after those sentences that end in a vowel (a fifth or so
+of them, the same ones wherever they stand); the digest of each distinct piece goes
 into one cell of each of three parts of a table, and a cell keeps the number, the exclusive-or of
 its digests and of their check sums. The fingerprint is that table, of BASE cells. Two tables
 subtract cell by cell; peeling cells that hold one digest recovers the digests of which the versions
@@ -19,13 +20,14 @@ from packetloom.llm._common import table
 BASE = 24
 LARGE = 96
 GROUP = 40
+_CUT = r"\n|(?<=[aeiou][.!?]) "
 _ROUNDS = 14
 _CELLS = "array<struct<n:int,k:bigint,c:bigint>>"
 
 
 def digests(text: Column) -> Column:
     """Distinct digests of the pieces of a text, sorted; none for an empty text."""
-    pieces = F.filter(F.split(text, r"\n|(?<=[.!?]) "), lambda p: p != "")
+    pieces = F.filter(F.split(text, _CUT), lambda p: p != "")
     return F.array_sort(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))))
 
 
@@ -33,62 +35,72 @@ def _check(k: Column) -> Column:
     return F.xxhash64(k, F.lit(77)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _place(k: Column, part: int, cells: int) -> Column:
-    """The cell of a digest in one of the three parts, from 0."""
+def _stretch(cells: int) -> int:
+    """Cells are looked after in stretches of about the root of a part's number, so that few digests are tried for each."""
     third = cells // 3
-    return (F.pmod(F.xxhash64(k, F.lit(part)), F.lit(third)) + part * third).cast("int")
+    return max(d for d in range(1, third + 1) if third % d == 0 and d * d <= third)
 
 
-def _placed(keys: Column, cells: int) -> Column:
-    return F.transform(keys, lambda k: F.struct(k.alias("k"), _check(k).alias("c"), *[_place(k, j, cells).alias(f"p{j}") for j in range(3)]))
+def _placed(k: Column, cells: int) -> list[Column]:
+    """A digest with its check sum, and in each part its cell and the stretch that this is in."""
+    third, size = cells // 3, _stretch(cells)
+    at = [F.pmod(F.xxhash64(k, F.lit(j)), F.lit(third)).cast("int") for j in range(3)]
+    return [k.alias("k"), _check(k).alias("c"), *[p.alias(f"p{j}") for j, p in enumerate(at)], *[F.floor(p / size).cast("int").alias(f"s{j}") for j, p in enumerate(at)]]
 
 
-def sketch(keys: Column, cells: int) -> Column:
-    """The table of a set of digests."""
+def _by_cell(placed: Column, cells: int, cell) -> Column:  # noqa: ANN001
+    """The array of cell(number, digests placed there) of all parts."""
+    third, size = cells // 3, _stretch(cells)
 
-    def cell(placed: Column) -> Column:
-        def part(j: int):  # noqa: ANN202
-            def one(i: Column) -> Column:
-                mine = F.filter(placed, lambda x: x[f"p{j}"] == i)
-                empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-                return F.aggregate(mine, empty, lambda a, x: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["c"].bitwiseXOR(x["c"]).alias("c")))
+    def part(j: int) -> Column:
+        def stretch(s: Column) -> Column:
+            def within(near: Column) -> Column:
+                return F.transform(F.sequence(s * size, s * size + (size - 1)), lambda i: cell(i + j * third, F.filter(near, lambda x: x[f"p{j}"] == i)))
 
-            return F.transform(F.sequence(F.lit(j * third), F.lit((j + 1) * third - 1)), one)
+            return F.element_at(F.transform(F.array(F.filter(placed, lambda x: x[f"s{j}"] == s)), within), 1)
 
-        return F.concat(*map(part, range(3)))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(third // size - 1)), stretch))
 
-    third = cells // 3
+    return F.concat(*map(part, range(3)))
+
+
+def sketch(keys: Column, cells: int) -> Column:
+    """The table of a set of digests."""
+
+    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
+    add = lambda a, x: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["c"].bitwiseXOR(x["c"]).alias("c"))
+    placed = F.transform(keys, lambda k: F.struct(*_placed(k, cells)))
     # the placed digests are bound once, as the only element of an array
-    return F.element_at(F.transform(F.array(_placed(keys, cells)), cell), 1)
+    return F.element_at(F.transform(F.array(placed), lambda p: _by_cell(p, cells, lambda _, mine: F.aggregate(mine, empty, add))), 1)
+
+
+def _minus(x: Column, y: Column) -> Column:
+    return F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c"))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
+    return F.zip_with(a, b, _minus)
+
+
+def difference(a: Column, b: Column, cells: int) -> Column:
+    """subtract(sketch(a), sketch(b)), made cell by cell: those of b count against those of a."""
+    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
+    signed = lambda keys, n: F.transform(keys, lambda k: F.struct(F.lit(n).alias("n"), *_placed(k, cells)))
+    add = lambda x, y: F.struct((x["n"] + y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c"))
+    return F.element_at(F.transform(F.array(F.concat(signed(a, 1), signed(b, -1))), lambda p: _by_cell(p, cells, lambda _, mine: F.aggregate(mine, empty, add))), 1)
 
 
 def peel(cells: Column, size: int) -> Column:
     """Struct of the numbers of digests only in the first and only in the second table; null if peeling gets stuck."""
     start = F.struct(cells.cast(_CELLS).alias("cells"), F.lit(0).alias("first"), F.lit(0).alias("second"), F.lit(True).alias("go"))
 
-    third = size // 3
-
     def round_(state: Column, _: Column) -> Column:
         pure = F.array_distinct(F.transform(F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["c"] == _check(x["k"]))), lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"))))
 
         def take(found: Column) -> Column:
-            placed = F.transform(found, lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"), _check(x["k"]).alias("c"), *[_place(x["k"], j, size).alias(f"p{j}") for j in range(3)]))
-
-            def without(placed_: Column) -> Column:
-                def part(j: int):  # noqa: ANN202
-                    def cell(x: Column, i: Column) -> Column:
-                        gone = F.filter(placed_, lambda y: y[f"p{j}"] == i + j * third)
-                        return F.aggregate(gone, x, lambda a, y: F.struct((a["n"] - y["n"]).alias("n"), a["k"].bitwiseXOR(y["k"]).alias("k"), a["c"].bitwiseXOR(y["c"]).alias("c")))
-
-                    return F.transform(F.slice(state["cells"], j * third + 1, third), cell)
-
-                return F.concat(*map(part, range(3)))
-
-            left = F.element_at(F.transform(F.array(placed), without), 1)
+            placed = F.transform(found, lambda x: F.struct(x["n"].alias("n"), *_placed(x["k"], size)))
+            rebuilt = F.element_at(F.transform(F.array(placed), lambda p: _by_cell(p, size, lambda i, gone: F.aggregate(gone, F.get(state["cells"], i), _minus))), 1)
+            left = F.when(F.size(found) > 0, rebuilt).otherwise(state["cells"])
             ones = F.size(F.filter(found, lambda x: x["n"] == 1))
             return F.struct(left.cast(_CELLS).alias("cells"), (state["first"] + ones).alias("first"), (state["second"] + F.size(found) - ones).alias("second"), (F.size(found) > 0).alias("go"))
 
@@ -107,7 +119,7 @@ def _grouped(a: Column, b: Column, cells: int) -> Column:
 
     def dealt(n: Column) -> Column:
         part = lambda keys, g: F.filter(keys, lambda k: F.pmod(F.xxhash64(k, F.lit(5)), n) == g)
-        each = F.transform(F.sequence(F.lit(0), n - 1), lambda g: peel(subtract(sketch(part(a, g), cells), sketch(part(b, g), cells)), cells))
+        each = F.transform(F.sequence(F.lit(0), n - 1), lambda g: peel(difference(part(a, g), part(b, g), cells), cells))
         return F.element_at(F.transform(F.array(each), lambda e: F.when(~F.exists(e, lambda x: x.isNull()), F.struct(F.aggregate(e, F.lit(0), lambda s, x: s + x["first"]).alias("first"), F.aggregate(e, F.lit(0), lambda s, x: s + x["second"]).alias("second")))), 1)
 
     return F.element_at(F.transform(F.array(groups), dealt), 1)
