@@ -49,7 +49,7 @@ class _Ids(dict):
     """64-bit numbers of words, kept for those seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = got = xxhash.xxh64_intdigest(word)
         return got
@@ -303,9 +303,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             texts = b.column(1).to_pylist()
             keys = [text_key(t) for t in texts]
             maybe = may_hold(covered.value, np.array([k for k, _ in keys], np.int64).view(_U64)) if n else np.zeros(len(texts), bool)
-            words = [words_of(t) for t in texts]
-            kept = [None if m else _joined(w, digest) for m, w in zip(maybe, words, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, words)), pa.int64()), pa.array(kept, pa.string()), pa.array([t or "" if m else None for m, t in zip(maybe, texts, strict=True)], pa.string()), pa.array([k for k, _ in keys], pa.int64()), pa.array([c for _, c in keys], pa.int64())], names=["doc_id", "n_words", "kept", "text", "k1", "k2"])
+            n_words, kept = [], []
+            for m, t in zip(maybe, texts, strict=True):  # one text's words at a time: they take many times its size
+                words = words_of(t)
+                n_words.append(len(words))
+                kept.append(None if m else _joined(words, digest))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(kept, pa.string()), pa.array([t or "" if m else None for m, t in zip(maybe, texts, strict=True)], pa.string()), pa.array([k for k, _ in keys], pa.int64()), pa.array([c for _, c in keys], pa.int64())], names=["doc_id", "n_words", "kept", "text", "k1", "k2"])
 
     halves = rows.mapInArrow(split, "doc_id long, n_words long, kept string, text string, k1 long, k2 long")
     return _finish(halves, spans, digest)
