@@ -1,7 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, with DataFrame functions only.
 
-A text is cut into pieces at line ends and after those sentences that end in a vowel (a fifth or so
-of them, the same ones wherever they stand); the digest of each distinct piece goes
+A text is cut into pieces at every line and sentence end; a piece that stays longer than LONG is cut
+further after words that their own hash picks (in words of over LONG, after such pairs of
+characters), so that an edit changes only the pieces around it. The digest of each distinct piece goes
 into one cell of each of three parts of a table, and a cell keeps the number, the exclusive-or of
 its digests and of their check sums. The fingerprint is that table, of BASE cells. Two tables
 subtract cell by cell; peeling cells that hold one digest recovers the digests of which the versions
@@ -20,14 +21,31 @@ from packetloom.llm._common import table
 BASE = 24
 LARGE = 96
 GROUP = 40
-_CUT = r"\n|(?<=[aeiou][.!?]) "
+#: Characters of a piece or word beyond which it is cut by content, and one of how many words (pairs of characters) ends a piece.
+LONG = 300
+EVERY = 16
+_CUT = r"\n|(?<=[.!?]) |(?<=[。！？])"
 _ROUNDS = 14
 _CELLS = "array<struct<n:int,k:bigint,c:bigint>>"
 
 
+def _by_content(piece: Column) -> Column:
+    """A piece cut after each word (in words of over LONG, each pair of characters) whose hash is a multiple of EVERY."""
+    ends = lambda x: F.pmod(F.xxhash64(x), F.lit(EVERY)) == 0
+
+    def within(word: Column) -> Column:
+        paired = lambda c: F.zip_with(c, F.concat(F.array(F.lit("")), c), lambda x, before: F.when(x.isNull(), "").when(ends(F.concat(before, x)), F.concat(x, F.lit("\n"))).otherwise(x))
+        return F.element_at(F.transform(F.array(F.split(word, "")), lambda c: F.array_join(paired(c), "")), 1)
+
+    words = F.transform(F.split(piece, " "), lambda w: F.when(F.length(w) > LONG, F.concat(within(w), F.lit(" "))).when(ends(w), F.concat(w, F.lit("\n"))).otherwise(F.concat(w, F.lit(" "))))
+    return F.split(F.array_join(words, ""), "\n")
+
+
 def digests(text: Column) -> Column:
     """Distinct digests of the pieces of a text, sorted; none for an empty text."""
-    pieces = F.filter(F.split(text, _CUT), lambda p: p != "")
+    pieces = F.split(text, _CUT)
+    pieces = F.when(F.exists(pieces, lambda p: F.length(p) > LONG), F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) > LONG, _by_content(p)).otherwise(F.array(p))))).otherwise(pieces)
+    pieces = F.filter(pieces, lambda p: p != "")
     return F.array_sort(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))))
 
 

@@ -228,3 +228,38 @@ def test_fingerprint_ranges(docs_of, monkeypatch):
     assert ids[next(r for r in got if r["text"] == "null")["next_text"]] == 49
     one = iblt.with_next(docs_of(["only"])).collect()
     assert [(r["text"], r["next_text"]) for r in one] == [("only", "only")] and iblt.with_next(docs_of(["a"]).limit(0)).count() == 0
+
+
+def by_content(piece):
+    """Plain re-implementation of the breaks in long pieces."""
+    ends = lambda x: xxhash.xxh64_intdigest(x.encode(), 42) % iblt.EVERY == 0
+    out = ""
+    for w in piece.split(" "):
+        if len(w) > iblt.LONG:
+            out += "".join(c + "\n" * ends(w[max(0, i - 1) : i + 1]) for i, c in enumerate(w)) + " "
+        else:
+            out += w + ("\n" if ends(w) else " ")
+    return out.split("\n")
+
+
+def whole_pieces(t):
+    cut = re.split(r"\n|(?<=[.!?]) |(?<=[。！？])", t)
+    return {p for c in cut for p in (by_content(c) if len(c) > iblt.LONG else [c]) if p}
+
+
+def test_fingerprint_pieces(docs_of):
+    """Every sentence end cuts, whatever stands before it, and long pieces are cut by content."""
+    rng = random.Random(4)
+    han = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(3000))
+    texts = [
+        " ".join(f"{prose(i, 6)} {e}" for i, e in enumerate(("cat.", "NASA!", "in 1999.", "café?", "мир.", "end.") * 5)), "一つ。二つ！三つ？" * 2 + "四つ。五つ", prose(31, 900), han, "a" * 900 + " b", "Short one. Cat sat. X",
+        "word " * 2000, "x" * 1000 + " y" * 400,
+    ]
+    rows = {r["doc_id"]: r for r in iblt.fingerprint_versions(docs_of(texts)).collect()}
+    for i, t in enumerate(texts):
+        nxt = texts[i - 1 if i else len(texts) - 1]
+        k = len(t) // 3
+        a, b, c = whole_pieces(t), whole_pieces(t[: len(t) - k] + nxt[:k]), whole_pieces(nxt)
+        assert int(rows[i]["fingerprint"].split(":")[0]) == len(a)
+        assert rows[i]["near_edited"] == pytest.approx(len(a & b) / len(a | b)) and rows[i]["near_next"] == pytest.approx(len(a & c) / len(a | c))
+    assert all(rows[i]["near_edited"] > 0.2 for i in (0, 1, 2, 3))
