@@ -137,15 +137,6 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _may_spell(low: str) -> bool:
-    """Do two digit words stand side by side?"""
-    words = low.replace("-", " ").split()
-    if DIGIT_WORDS.keys().isdisjoint(words):
-        return False
-    at = [i for i, w in enumerate(words) if w.strip(".,") in DIGIT_WORDS]
-    return any(b == a + 1 for a, b in zip(at, at[1:], strict=False))
-
-
 def _dots(text: str) -> list[tuple[int, int, str]]:
     edits = [(m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(text)] + [(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(text)]
     return sorted(edits)
@@ -167,7 +158,7 @@ def disguised_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans that the patterns find in the rewritten text, in the source's code points."""
     low = text.lower()
     steps = [_look_alikes] if not text.isascii() and _STRANGE.search(text) else []
-    if _may_spell(low) or steps:
+    if steps or _SPELLED.search(text):
         steps.append(_spelled)
     if steps or any(c in text for c in "[({<"):
         steps.append(_dots)

@@ -45,6 +45,17 @@ def test_disguised(text, kind, found):
     assert [text[a:b] for a, b in every[kind]] == [found] and base[kind] != every[kind]
 
 
+@pytest.mark.parametrize(("text", "kind", "found"), [
+    ("call plus four, nine, one, seven, zero, one, two, three, four, five.", "phone", "plus four, nine, one, seven, zero, one, two, three, four, five"),
+    ("call plus four,nine,one,seven,zero,one,two,three,four,five ok", "phone", "plus four,nine,one,seven,zero,one,two,three,four,five"),
+    ("call plus four.nine.one.seven.zero.one.two.three.four.five ok", "phone", "plus four.nine.one.seven.zero.one.two.three.four.five"),
+    ("call plus 4 nine 1 seven 0 one 2 three 4 five ok", "phone", "plus 4 nine 1 seven 0 one 2 three 4 five"),
+])
+def test_spelled_with_marks_or_digits(text, kind, found):
+    assert [text[a:b] for a, b in pii.find(text)[1][kind]] == [found]
+    assert found not in pii.redact_text(text)
+
+
 @pytest.mark.parametrize("text", ["look at this. dot com", "one two three", "meet me at noon", "Der Punkt (at) all", "at dot at dot", "résumé naïve"])
 def test_clean(text):
     assert pii.find(text)[1] == {k: [] for k in pii.KINDS}
