@@ -1,9 +1,10 @@
 """License scans with DataFrame functions only.
 
 Base phrases are counted over whole texts. The scan proper runs ordered signature rules over the
-lines of a text: regexes in three ranks (exact names and identifiers, names with a version, mere
-families), made from families, versions and phrasings. A document is looked at only if it holds one
-of a few keywords, a line only if it holds one, and a rule only if the line holds the rule's own
+words of a text, across line ends: regexes in three ranks (exact names and identifiers, names with a
+version, mere families), made from families, versions and phrasings. Rules run over stretches of
+CORE words with REACH words (more than any rule spans) on each side; a match counts in the stretch in
+which it begins. A document is looked at only if it holds one of a few keywords, a stretch only if it holds one, and a rule only if the stretch holds the rule's own
 keyword. A match inside the span of a match of better rank, or inside a longer one of its own rank,
 is suppressed.
 """
@@ -23,6 +24,9 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A text without any of these has no license line.
 GATE = ("licen", "copyright", "copyleft", "rights reserved", "public domain", "creative commons", "gpl", "spdx", "cc0", "cc by", "permission is hereby", "redistribution and use", "as is without", "warrant", "unlicense", "wtfpl")
+#: Words of a stretch, and words on each side of it that the rules also see (no rule spans more).
+CORE = 128
+REACH = 40
 RESULT = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 CONFIDENCE = (0.98, 0.85, 0.6)
 
@@ -136,8 +140,26 @@ def _spaces(c: Column) -> Column:
     return (F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))).cast("long")
 
 
-def line_labels(line: Column, table_: Column) -> Column:
-    """Labels of a line (see words_line) that stand after suppression, with their rank."""
+def stretches(line: Column) -> Column:
+    """Distinct stretches of a word line with the words around them: begin and end (characters at which a match may begin), and text."""
+    units = F.split(line, "(?<= )")  # a space, then each word with its space
+
+    def cut(u: Column) -> Column:
+        def one(i: Column) -> Column:
+            at = i * CORE + 2
+            back = F.greatest(at - REACH, F.lit(2))
+            join = lambda a, n: F.array_join(F.slice(u, a, n), "")
+            begin = F.length(join(back, at - back)) + 1
+            return F.struct(begin.alias("begin"), (begin + F.length(join(at, F.lit(CORE)))).alias("end"), F.concat(F.lit(" "), join(back, at - back + CORE + REACH)).alias("text"))
+
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(u) - 1) / CORE).cast("int")), one)
+
+    return F.array_distinct(F.element_at(F.transform(F.array(units), cut), 1))
+
+
+def line_labels(stretch: Column, table_: Column) -> Column:
+    """Labels of the matches that begin in a stretch and stand after suppression, with their rank."""
+    line = stretch["text"]
 
     def spans(rule: Column) -> Column:
         regex = F.concat(F.lit("(?<= )(?:"), rule["regex"], F.lit(")(?= )"))
@@ -159,7 +181,7 @@ def line_labels(line: Column, table_: Column) -> Column:
     def step(a: Column, x: Column) -> Column:
         inside = (a["r0"] <= x["minus_end"]) | ((x["rank"] >= 1) & (a["r1"] <= x["minus_end"])) | ((x["rank"] >= 2) & (a["r2"] <= x["minus_end"]))
         it = F.struct(x["rank"].alias("rank"), x["label"].alias("label"))
-        kept = F.when(inside, a["kept"]).otherwise(F.array_distinct(F.concat(a["kept"], F.array(it))))
+        kept = F.when(inside | (x["start"] < stretch["begin"]) | (x["start"] >= stretch["end"]), a["kept"]).otherwise(F.array_distinct(F.concat(a["kept"], F.array(it))))
         reach = lambda r: F.when((x["rank"] == r) & ~inside, F.least(a[f"r{r}"], x["minus_end"])).otherwise(a[f"r{r}"])
         return F.struct(reach(0).alias("r0"), reach(1).alias("r1"), reach(2).alias("r2"), kept.alias("kept"))
 
@@ -169,21 +191,21 @@ def line_labels(line: Column, table_: Column) -> Column:
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of docs but text_col and those of the names that follow, and n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    One row for each input row; a null or empty text has no words and no labels. Equal lines of one
-    text are looked at once.
+    One row for each input row; a null or empty text has no words and no labels. Equal stretches of
+    one text are looked at once.
     """
     keep = [c for c in docs.columns if c not in {text_col, *RESULT}]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = docs.select(F.struct(*keep).alias("_rest"), text.alias("_t"), words_line(text).alias("_w"))
+    named = docs.select(F.struct(*keep).alias("_rest"), words_line(text).alias("_w"))
     phrases = "(?<= )(?:" + "|".join(BASE) + ")(?= )"
     named = named.withColumn("_n", _spaces(F.col("_w")) - 1).withColumn("_licensed", F.contains("_w", F.lit(" license ")))
     base = F.when(F.col("_licensed"), F.regexp_extract_all("_w", F.lit(phrases), F.lit(0))).otherwise(F.array().cast("array<string>"))
     named = named.withColumn("_base", base).withColumn("_pieces", F.when(F.size("_base") > 0, F.split("_w", phrases, -1)))
-    gate = "|".join(GATE)
+    gated = "|".join(GATE)
     table_ = F.array(*[F.struct(F.lit(rank).alias("rank"), F.lit(keyword).alias("keyword"), F.lit(label).alias("label"), F.lit(regex).alias("regex")) for rank, keyword, label, regex in rules()])
-    lines = F.filter(F.array_distinct(F.transform(F.split("_t", "\n"), words_line)), lambda x: F.rlike(x, F.lit(gate)))
-    named = named.withColumn("_lines", F.when(F.rlike("_w", F.lit(gate)), lines).otherwise(F.array().cast("array<string>")))
-    found = F.when(F.size("_lines") > 0, F.array_distinct(F.flatten(F.transform("_lines", lambda x: line_labels(x, table_))))).otherwise(F.array().cast("array<struct<rank:int,label:string>>"))
+    live = F.filter(stretches(F.col("_w")), lambda x: F.rlike(x["text"], F.lit(gated)))
+    named = named.withColumn("_live", F.when(F.rlike("_w", F.lit(gated)), live))
+    found = F.when(F.size("_live") > 0, F.array_distinct(F.flatten(F.transform("_live", lambda x: line_labels(x, table_))))).otherwise(F.array().cast("array<struct<rank:int,label:string>>"))
     named = named.withColumn("_found", found)
     labels_of = F.create_map(*[x for k, v in BASE.items() for x in (F.lit(k), F.lit(v))])
     base_labels = F.array_sort(F.array_distinct(F.transform("_base", lambda p: labels_of[p])))

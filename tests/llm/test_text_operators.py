@@ -123,6 +123,12 @@ def test_licenses(docs_of, odd_texts, as_dict):
     assert not any(r["labels"] for i, r in got.items() if i < len(odd_texts))
 
 
+def test_wrapped_licenses(docs_of, as_dict):
+    texts = ["Licensed under the Apache\nLicense, Version 2.0", "GNU Lesser General Public\nLicense v2.1", "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles"]
+    got = as_dict(licenses.scan(docs_of(texts)))
+    assert [got[i]["labels"] for i in range(3)] == ["apache,apache-2.0", "gpl,lgpl-2.1", "mit"]
+
+
 def test_license_plan_is_native(docs_of):
     plan = licenses.scan(docs_of(["a"]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
