@@ -4,13 +4,15 @@ Base phrases are counted over whole texts. The scan proper runs ordered signatur
 words of a text, across line ends: regexes in three ranks (exact names and identifiers, names with a
 version, mere families), made from families, versions and phrasings. Rules run over stretches of
 CORE words with REACH words (more than any rule spans) on each side; a match counts in the stretch in
-which it begins. A document is looked at only if it holds one of a few keywords, a stretch only if it holds one, and a rule only if the stretch holds the rule's own
+which it begins. A document is looked at only if it holds a word of the gate, which every match
+of every rule holds, a stretch only if it holds one, and a rule only if the stretch holds the rule's own
 keyword. A match inside the span of a match of better rank, or inside a longer one of its own rank,
 is suppressed.
 """
 
 from __future__ import annotations
 
+import re
 from functools import cache
 from itertools import product
 
@@ -22,8 +24,6 @@ from packetloom.llm._common import ascii_lower, table
 #: Base phrases and their labels (fixed values).
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A text without any of these has no license line.
-GATE = ("licen", "copyright", "copyleft", "rights reserved", "public domain", "creative commons", "gpl", "spdx", "cc0", "cc by", "permission is hereby", "redistribution and use", "as is without", "warrant", "unlicense", "wtfpl")
 #: Words of a stretch, and words on each side of it that the rules also see (no rule spans more).
 CORE = 128
 REACH = 40
@@ -118,19 +118,32 @@ def rules() -> tuple[tuple[int, str, str, str], ...]:
     for label, keyword, name in (("mit", "mit", "mit"), ("isc", "isc", "isc"), ("zlib", "zlib", "zlib(?: libpng)?"), ("ncsa", "ncsa", "(?:university of illinois )?ncsa"), ("x11", "x11", "x11"), ("postgresql", "postgresql", "postgresql"), ("ruby", "ruby", "ruby"), ("perl", "perl", "perl"), ("openssl", "openssl", "openssl"), ("json", "json", "json"), ("curl", "curl", "curl"), ("upl", "universal permissive", "universal permissive"), ("ecl", "educational community", "educational community"), ("wtfpl", "do what the", "do what the fuck you want to public")):
         out += _rules_of(0, keyword, [(label, rf"{under} {name} (?:open source )?licen[cs]e")])
         out += _rules_of(1, keyword, [(label, rf"{name} (?:open source |style |public )?licen[cs]ed?")])
-    out += _rules_of(1, "wtfpl", [("wtfpl", "wtfpl")]) + _rules_of(1, "unlicense", [("unlicense", r"(?:the )?unlicense"), ("unlicense", r"free and unencumbered software released into the public domain")])
+    out += _rules_of(1, "wtfpl", [("wtfpl", "wtfpl")]) + _rules_of(1, "unlicense", [("unlicense", r"(?:the )?unlicense")]) + _rules_of(1, "unencumbered", [("unlicense", r"free and unencumbered software released into the public domain")])
 
     # reserved, proprietary and public-domain notices
     out += _rules_of(1, "rights reserved", [("all-rights-reserved", r"all rights reserved"), ("some-rights-reserved", r"some rights reserved")])
     out += _rules_of(1, "public domain", [("public-domain", rf"(?:{verb}) (?:in|into|to) the public domain") for verb in ("placed", "released", "dedicated", "donated", "is")])
     out += _rules_of(2, "public domain", [("public-domain", r"public domain")])
     out += _rules_of(1, "proprietary", [("proprietary", r"proprietary (?:and confidential|license|software)"), ("proprietary", r"confidential and proprietary")])
-    out += _rules_of(2, "copyright", [("copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}"), ("copyright", r"copyright c ")])
+    out += _rules_of(2, "copyright", [("copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}"), ("copyright", r"copyright c")])
     out += _rules_of(2, "licensed under", [("license-notice", r"licensed under(?: the)?")])
     out += _rules_of(2, "end user", [("eula", r"end user licen[cs]e agreement")])
     return tuple(sorted(out, key=lambda r: r[0]))
 
 
+@cache
+def gate() -> tuple[str, ...]:
+    """Strings of which every match of any rule holds one: "licen" if the rule always has it outside its groups, else the rule's keyword."""
+    out = {"licen"}
+    for _, keyword, _, pattern in rules():
+        bare = pattern
+        while (less := re.sub(r"\([^()]*\)\??", "|", bare)) != bare:
+            bare = less
+        if "licen" not in bare:
+            out.add(keyword)
+    return tuple(sorted(out))
+
+
 def words_line(text: Column) -> Column:
     """The words of a text between single spaces, a space at each end; one space if there are none."""
     return F.regexp_replace(F.concat(F.lit(" "), ascii_lower(text), F.lit(" ")), _NOT_WORD, " ")
@@ -201,7 +214,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     named = named.withColumn("_n", _spaces(F.col("_w")) - 1).withColumn("_licensed", F.contains("_w", F.lit(" license ")))
     base = F.when(F.col("_licensed"), F.regexp_extract_all("_w", F.lit(phrases), F.lit(0))).otherwise(F.array().cast("array<string>"))
     named = named.withColumn("_base", base).withColumn("_pieces", F.when(F.size("_base") > 0, F.split("_w", phrases, -1)))
-    gated = "|".join(GATE)
+    gated = "|".join(gate())
     table_ = F.array(*[F.struct(F.lit(rank).alias("rank"), F.lit(keyword).alias("keyword"), F.lit(label).alias("label"), F.lit(regex).alias("regex")) for rank, keyword, label, regex in rules()])
     live = F.filter(stretches(F.col("_w")), lambda x: F.rlike(x["text"], F.lit(gated)))
     named = named.withColumn("_live", F.when(F.rlike("_w", F.lit(gated)), live))

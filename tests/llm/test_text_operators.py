@@ -123,10 +123,63 @@ def test_licenses(docs_of, odd_texts, as_dict):
     assert not any(r["labels"] for i, r in got.items() if i < len(odd_texts))
 
 
+def samples(pattern):
+    """Two texts that a rule matches: first choices without optional parts, last choices with all of them."""
+    def walk(items, full):
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                yield chr(arg)
+            elif name == "IN":
+                first, last = arg[0][1], arg[-1][1]
+                pick = last if full else first
+                yield chr(pick if isinstance(pick, int) else pick[0])
+            elif name == "MAX_REPEAT":
+                yield from (x for _ in range(arg[1] if full else arg[0]) for x in walk(arg[2], full))
+            elif name == "SUBPATTERN":
+                yield from walk(arg[3], full)
+            elif name == "BRANCH":
+                yield from walk(max(arg[1], key=len) if full else arg[1][0], full)
+            else:
+                assert name == "ASSERT_NOT"
+
+    tree = re._parser.parse(pattern)
+    return {" ".join(re.findall("[a-z0-9]+", "".join(walk(tree, full)))) for full in (False, True)}
+
+
+def slow_labels(text):
+    """All rules over all words, with neither gate nor keywords nor stretches."""
+    line = " " + " ".join(re.findall("[a-z0-9]+", text.lower())) + " "
+    spans = sorted((m.start(), -m.end(), rank, label) for rank, _, label, p in licenses.rules() for m in re.finditer(f"(?<= )(?:{p})(?= )", line))
+    kept, reach = set(), [1, 1, 1]
+    for _, end, rank, label in spans:
+        if all(end < reach[r] for r in range(rank + 1)):
+            kept.add(label)
+            reach[rank] = end
+    return kept | {label for p, label in licenses.BASE.items() if f" {p} " in line}
+
+
+def test_every_license_rule(docs_of, as_dict):
+    """A positive text for each rule: on one line, and wrapped at every word amid long prose."""
+    texts = []
+    for _, keyword, _, pattern in licenses.rules():
+        for t in samples(pattern):
+            line = f" {t} "
+            if re.search(f"(?<= )(?:{pattern})(?= )", line):
+                assert keyword in line and any(g in line for g in licenses.gate()) and len(t.split()) < licenses.REACH, pattern
+                texts.append(t)
+    assert all(any(re.search(f"(?<= )(?:{p})(?= )", f" {t} ") for t in samples(p)) for _, _, _, p in licenses.rules())
+    texts = list(dict.fromkeys(texts))
+    wrapped = ["qq " * (90 + i % 60) + t.replace(" ", "\n") + " zz" * 200 for i, t in enumerate(texts)]
+    got = as_dict(licenses.scan(docs_of(texts + wrapped)))
+    for i, t in enumerate(texts + wrapped):
+        assert set(filter(None, got[i]["labels"].split(","))) == slow_labels(t) != set() and got[i]["score"] > 0, t
+
+
 def test_wrapped_licenses(docs_of, as_dict):
-    texts = ["Licensed under the Apache\nLicense, Version 2.0", "GNU Lesser General Public\nLicense v2.1", "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles"]
+    texts = ["Licensed under the Apache\nLicense, Version 2.0", "GNU Lesser General Public\nLicense v2.1", "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles", "Proprietary and confidential"]
     got = as_dict(licenses.scan(docs_of(texts)))
-    assert [got[i]["labels"] for i in range(3)] == ["apache,apache-2.0", "gpl,lgpl-2.1", "mit"]
+    assert [got[i]["labels"] for i in range(4)] == ["apache,apache-2.0", "gpl,lgpl-2.1", "mit", "proprietary"]
 
 
 def test_license_plan_is_native(docs_of):
