@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,14 +62,37 @@ def crc_mod(id_col: str | Column, n: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % n
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in order, in slices of about limit bytes of text at most (or one row): Python objects take many times the bytes of a batch."""
+    for b in batches:
+        if b.nbytes <= limit:
+            if b.num_rows:
+                yield b
+            continue
+        size = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        group = np.maximum.accumulate((np.cumsum(size) - 1) // limit)
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            yield b.slice(lo, hi - lo)
+
+
+def sampled(key: Column, share: Column | float) -> Column:
+    """Does a hash (62 bits of it) put a row into a sample of this share; a share of 1 takes all."""
+    part = F.shiftrightunsigned(F.xxhash64(key, F.lit("sample")), 2)
+    share = F.lit(float(share)) if isinstance(share, (int, float)) else share
+    return part.cast("double") < share * float(1 << 62)
+
+
 def arrow_map(fn: Callable[[dict[str, list]], dict[str, list]], out: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """mapInArrow function that hands fn lists by column and takes lists by column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                got = fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
+        for b in byte_slices(batches):
+            got = fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
+            yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
 
     return run
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm._common import arrow_map, crc_mod, table
+from packetloom.llm._common import arrow_map, crc_mod, sampled, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -144,19 +144,19 @@ def fit(texts: list[str], langs: list[str], filters: int = 16, steps: int = 1500
 
 
 def train(docs: DataFrame, per_lang: int = 400, cuts: int = 4) -> ByteNet | None:
-    """Learns from at most about per_lang texts of each language (cuts pieces of each), chosen by hash.
+    """Learns from about per_lang texts of each language at most, chosen by hash: of each, cuts pieces of 512 characters from anywhere in it.
 
-    Only rows with a language and crc32(doc_id) mod 3 other than 1 count. None: nothing to learn from.
+    Only rows with a language and crc32(doc_id) mod 3 other than 1 count; equal rows count once. None:
+    nothing to learn from.
     """
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (F.length("text") > 0) & (crc_mod("doc_id", 3) != 1))
     counts = {r["lang"]: r["count"] for r in rows.select("lang").groupBy("lang").count().collect()}
     if not counts:
         return None
-    part = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20))
-    limit = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int((1 << 20) * min(1.0, per_lang / n)) + 1))])[F.col("lang")]
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))])[F.col("lang")]
     room = F.greatest(F.length("text") - 2 * WINDOW, F.lit(1))
     pieces = F.array(*[F.substr("text", F.pmod(F.xxhash64("doc_id", F.lit(i)), room).cast("int") + 1, F.lit(2 * WINDOW)) for i in range(cuts)])
-    got = rows.filter(part < limit).select("lang", pieces.alias("pieces")).collect()
+    got = rows.filter(sampled(F.xxhash64("doc_id", "text"), share)).select("lang", pieces.alias("pieces")).distinct().collect()  # per_lang rows a language on average
     pairs = sorted({(r["lang"], p) for r in got for p in r["pieces"] if p})
     return fit([p for _, p in pairs], [x for x, _ in pairs])
 

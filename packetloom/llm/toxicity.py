@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.llm._common import arrow_map, crc_mod, table
+from packetloom.llm._common import arrow_map, byte_slices, crc_mod, free_name, sampled, table
 
 #: Insults that count before anything is learned (fixed values).
 SEED = frozenset("idiot idiots moron morons loser losers stupid scum trash pathetic worthless disgusting clown dumb fool jerk retard bastard bitch asshole shit fuck fucking dummkopf arschloch abschaum connard imbécile salaud idiota imbécil estúpido basura".split())
@@ -149,11 +149,11 @@ class Trees:
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: knots and values, smoothed by half a row of either label at each end."""
-    order = np.argsort(score, kind="stable")
+    """Pool-adjacent-violators: knots and values, smoothed by half a row of either label at each end. Equal scores are pooled first."""
+    values, inverse, counts = np.unique(score, return_inverse=True, return_counts=True)
     blocks: list[list[float]] = []
-    for s, v in zip(score[order], y[order], strict=True):
-        blocks.append([float(v), 1.0, float(s), float(s)])
+    for s, ones, n in zip(values.tolist(), np.bincount(inverse, y, len(values)).tolist(), counts.tolist(), strict=True):
+        blocks.append([ones, float(n), s, s])
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
             b = blocks.pop()
             blocks[-1] = [blocks[-1][0] + b[0], blocks[-1][1] + b[1], blocks[-1][2], b[3]]
@@ -182,16 +182,17 @@ class ToxicityModel:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Learns from rows of labels (doc_id, toxic) whose crc32(doc_id) mod 5 is not 0; at most about max_rows, chosen by hash.
 
-    Rows with a null label are left out. Without both labels, all scores are the share of label 1.
+    Rows with a null label are left out; of several labels of one id the greatest counts, of several
+    texts the least. Without both labels, all scores are the share of label 1.
     """
     marked = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & (crc_mod("_id", 5) != 0)).groupBy("_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return ToxicityModel(frozenset(), None, None, float(counts.get(1, 0) > 0))
-    room = {1: min(counts[1], max_rows // 3), 0: min(counts[0], max_rows - max_rows // 3)}
-    part = F.pmod(F.xxhash64(F.col("_id"), F.lit("toxicity")), F.lit(1 << 20))
-    chosen = marked.filter(part < F.when(F.col("toxic") == 1, int((1 << 20) * room[1] / counts[1]) + 1).otherwise(int((1 << 20) * room[0] / counts[0]) + 1))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "_id")  # chosen holds about max_rows ids
+    share = {1: min(1.0, max_rows // 3 / counts[1]), 0: min(1.0, (max_rows - max_rows // 3) / counts[0])}
+    chosen = marked.filter(sampled(F.col("_id"), F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "_id")  # chosen holds max_rows ids on average, by the shares
+    texts = texts.groupBy("_id", "toxic").agg(F.min("text").alias("text"))
 
     fold = crc_mod("_id", 5)
     rows = texts.select("text", "toxic", fold.alias("fold"))
@@ -199,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str
     def stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
         n = [0, 0]
-        for b in batches:
+        for b in byte_slices(batches):
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 n[toxic] += 1
                 for s in {s for w in set(_WORD.findall((text or "").lower())) for s in stems_of(w)}:
@@ -221,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str
     lexicon = frozenset(s for s, (a0, a1) in got.items() if share < 1 and evidence(a0, a1) >= 15 and a1 / n1 > 8 * (a0 + 0.5) / max(1, n0))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in byte_slices(batches):
             x = [features(t, lexicon) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1), b.column(2)], names=["x", "toxic", "fold"])
 
@@ -238,23 +239,33 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str
     return ToxicityModel(lexicon, trees, knots, float(y.mean()))
 
 
-def with_score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "_toxicity") -> DataFrame:
-    """docs and the score of every whole text (null: empty), 0 to 1."""
+def with_score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str | None = None) -> DataFrame:
+    """docs and, as the last column, the score of every whole text (null: empty), 0 to 1.
+
+    One row for each input row, repeats included. The score's name is score_col, by default
+    _toxicity with as many underscores after it as docs' own names demand.
+    """
     at = docs.columns.index(text_col)
+    score_col = score_col or free_name(docs, "_toxicity")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(b.column(at).to_pylist()), pa.float64())], names=[*map(str, range(b.num_columns)), score_col])
+        for b in byte_slices(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(b.column(at).to_pylist()), pa.float64())], names=[*map(str, range(b.num_columns)), "score"])
 
     # columns are handed on by place, so that names of the input can't clash
     named = docs.toDF(*map(str, range(len(docs.columns))))
-    out = named.mapInArrow(run, T.StructType([*named.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    out = named.mapInArrow(run, T.StructType([*named.schema.fields, T.StructField("score", T.DoubleType())]))
     return out.toDF(*docs.columns, score_col)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without those that score the threshold or more."""
-    return with_score(docs, train(docs, labels)).filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    """docs without those that score the threshold or more.
+
+    Null and empty texts score as texts without words do. Repeated rows stay or go together. An empty
+    table, or labels without both classes, drops nothing unless all labels are 1.
+    """
+    score = free_name(docs, "_toxicity")
+    return with_score(docs, train(docs, labels), score_col=score).filter(F.col(score) < threshold).drop(score)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
