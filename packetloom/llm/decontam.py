@@ -1,13 +1,18 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The windows of all benchmark items are hashed into a set; every document's word windows are hashed
-and tested against it. Hits are verified by the words themselves and give the items found and the
-words covered. The set is part of the scan's expression up to SET_LIMIT hashes; beyond that the
-window hashes are joined by shuffle.
+The windows of all benchmark items are hashed into a set that is broadcast. Texts are cut into
+stretches of STRIDE words (and the words that their last windows need), every window of a stretch is
+hashed and looked up in the set, and a hit counts only if the words themselves agree. A set of more
+than SET_BYTES is dealt by hash into shards, each broadcast in a scan of its own; the way of a hit is
+the same at every size. Hits belong to a text, known by two hashes of 64 bits, so equal texts share
+them and no row numbers are needed. Contaminated texts lose their covered words (cut_spans), or go
+(remove_contaminated).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +20,16 @@ from packetloom.llm._common import ascii_lower, free_name, materialize, table
 
 #: Words of a window.
 WINDOW = 10
-#: Hashes that are tested inside the scan.
-SET_LIMIT = 20_000
+#: Words of a stretch.
+STRIDE = 256
+#: Most bytes of the windows that one scan broadcasts.
+SET_BYTES = 32 << 20
+#: Most texts whose hashes are broadcast to filter the rows in place; more are joined by shuffle.
+BROADCAST_TEXTS = 1_000_000
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # as _NOT_WORD, before A-Z are lower-cased
+_TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|" + _GAP
+_SPANS = "array<struct<at:int,end:int>>"
 
 
 def words_of(text: Column) -> Column:
@@ -26,83 +38,122 @@ def words_of(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
+def text_keys(text: Column) -> list[Column]:
+    """Two hashes that stand for a text, named k1 and k2."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
+
+
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, len, key (the window's words joined by spaces), distinct. Items without words have none."""
+    """h, len, key (the window's words joined by spaces), items (ids of the items that hold it; null ids left out): one row for each window.
+
+    Items without words have none.
+    """
     items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), words_of(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(WINDOW))
     starts = F.sequence(F.lit(1), F.size("w") - size + 1)
     keys = F.transform(starts, lambda i: F.array_join(F.slice("w", i, size), " "))
-    return items.select("item_id", size.alias("len"), F.explode(keys).alias("key")).distinct()
+    each = items.select("item_id", size.alias("len"), F.explode(keys).alias("key"))
+    return each.groupBy("len", "key").agg(F.collect_set("item_id").alias("items")).select(F.xxhash64(F.split("key", " ")).alias("h"), "len", "key", "items")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs' columns (but the text and those of the names that follow), n_words, n_hit, items (sorted ids of items found), and spans (start and end of covered words).
+def _found(stretches: DataFrame, windows: DataFrame, lens: list[int]) -> DataFrame:
+    """k1, k2, at (number of a word, from 0), len, items of every place of a window."""
 
-    One row for each input row. Null texts have no words; items with a null id mark words but aren't
-    named. A benchmark without words marks nothing.
-    """
-    windows = item_windows(benchmark)
+    def hashes(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.least(F.size("w") - n + 1, F.lit(STRIDE)))
+        return F.when(F.size("w") >= n, F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice("w", i, F.lit(n))).alias("h"), i.alias("i"), F.lit(n).alias("n")))).otherwise(F.array().cast("array<struct<h:bigint,i:int,n:int>>"))
+
+    each = stretches.select("k1", "k2", "base", "w", F.explode(F.concat(*map(hashes, lens))).alias("x")).select("k1", "k2", "base", "w", "x.h", "x.i", "x.n")
+    same = (each["h"] == windows["h"]) & (F.col("n") == F.col("len")) & (F.col("key") == F.array_join(F.slice("w", F.col("i"), F.col("n")), " "))
+    return each.join(F.broadcast(windows), same).select("k1", "k2", (F.col("base") + F.col("i") - 1).alias("at"), "len", "items")
+
+
+def text_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """k1, k2, items (sorted ids of the items found), spans (start and end of covered words): one row for each distinct text with a hit."""
+    windows = materialize(item_windows(benchmark), "decontam-windows")
     lens = sorted(r["len"] for r in windows.select("len").distinct().collect())  # at most WINDOW numbers
-    keep = [c for c in docs.columns if c not in {text_col, "n_words", "n_hit", "items", "spans"}]
-    named = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*keep).alias("_rest"), words_of(F.col(text_col)).alias("_w"))
-    n_set = windows.select("key").distinct().count()
-
-    def places(n: int, hit) -> Column:  # noqa: ANN001
-        none = F.array().cast("array<int>")
-        return F.when(F.size("_w") >= n, F.filter(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: hit(F.xxhash64(F.slice("_w", i, F.lit(n)))))).otherwise(none)
-
-    def located(found: dict[int, Column]) -> Column:
-        def one(n: int):  # noqa: ANN202 - transform would give a second parameter the index
-            return lambda i: F.struct(i.cast("int").alias("at"), F.lit(n).alias("len"), F.array_join(F.slice("_w", i, F.lit(n)), " ").alias("key"))
-
-        parts = [F.transform(c, one(n)) for n, c in found.items()]
-        return F.concat(*parts) if parts else F.array().cast("array<struct<at:int,len:int,key:string>>")
-
-    if n_set <= SET_LIMIT:
-        hashed = windows.select("len", F.xxhash64(F.split("key", " ")).alias("h")).distinct().collect()  # bounded by SET_LIMIT
-        sets = {n: [r["h"] for r in hashed if r["len"] == n] for n in lens}
-        found = {n: places(n, lambda h, n=n: h.isin(sets[n])) for n in lens}
-        scanned = named.select("_row", "_rest", F.size("_w").cast("long").alias("n_words"), located(found).alias("found"))
-    else:
-        named = materialize(named, "decontam-words")
-
-        def hashes(n: int) -> Column:
-            return F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.xxhash64(F.slice("_w", i, F.lit(n))))
-
-        exploded = [named.filter(F.size("_w") >= n).select("_row", F.lit(n).alias("len"), F.posexplode(hashes(n)).alias("at", "h")) for n in lens]
-        every = exploded[0]
-        for e in exploded[1:]:
-            every = every.unionByName(e)
-        near = every.join(windows.select("len", F.xxhash64(F.split("key", " ")).alias("h")).distinct(), ["len", "h"], "left_semi")
-        near = near.groupBy("_row").agg(F.collect_list(F.struct((F.col("at") + 1).alias("at"), "len")).alias("at"))
-        scanned = named.join(near, "_row", "left").select("_row", "_rest", F.size("_w").cast("long").alias("n_words"), F.coalesce(F.transform("at", lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), F.array_join(F.slice("_w", x["at"], x["len"]), " ").alias("key"))), F.array().cast("array<struct<at:int,len:int,key:string>>")).alias("found"))
-    scanned = materialize(scanned, "decontam-scan")
-
-    # only windows that hit are exploded; the join on their words is the verification
-    one = scanned.filter(F.size("found") > 0).select("_row", F.explode("found").alias("f")).select("_row", "f.at", "f.len", "f.key")
-    sure = one.join(windows, ["len", "key"]).groupBy("_row").agg(F.collect_set("item_id").alias("items"), F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("len")).alias("end")))).alias("at"))
-    start = F.struct(F.array().cast("array<struct<at:int,end:int>>").alias("done"), F.lit(None).cast("struct<at:int,end:int>").alias("open"))
+    if not lens:
+        return docs.sparkSession.createDataFrame([], f"k1 long, k2 long, items array<string>, spans {_SPANS}")
+    per_row = F.octet_length("key") + 64 + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 16)
+    shards = max(1, -(-windows.agg(F.sum(per_row.cast("long"))).first()[0] // SET_BYTES))
+    words = docs.select(*text_keys(F.col(text_col)), words_of(F.col(text_col)).alias("w"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / STRIDE).cast("int")), lambda s: F.struct((s * STRIDE).alias("base"), F.slice("w", s * STRIDE + 1, F.lit(STRIDE + WINDOW - 1)).alias("w")))
+    stretches = words.filter(F.size("w") > 0).select("k1", "k2", F.explode(cut).alias("s")).select("k1", "k2", "s.base", "s.w")
+    found = [materialize(_found(stretches, windows.filter(F.pmod("h", F.lit(shards)) == s), lens), "decontam-found") for s in range(shards)]
+    every = reduce(DataFrame.unionByName, found)
+    each = every.groupBy("k1", "k2").agg(F.collect_set("items").alias("items"), F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("len")).cast("int").alias("end")))).alias("at"))
+    start = F.struct(F.array().cast(_SPANS).alias("done"), F.lit(None).cast("struct<at:int,end:int>").alias("open"))
 
     def step(acc: Column, x: Column) -> Column:
         join = acc["open"].isNotNull() & (x["at"] <= acc["open"]["end"])
         done = F.when(join | acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
-        now = F.when(join, F.struct(acc["open"]["at"].alias("at"), x["end"].alias("end"))).otherwise(x)
+        now = F.when(join, F.struct(acc["open"]["at"].alias("at"), F.greatest(acc["open"]["end"], x["end"]).alias("end"))).otherwise(x)
         return F.struct(done.alias("done"), now.alias("open"))
 
     spans = F.aggregate("at", start, step, lambda a: F.concat(a["done"], F.array(a["open"])))
-    sure = sure.select("_row", F.array_sort("items").alias("items"), spans.alias("spans"))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["at"]))
-    out = scanned.select("_row", "_rest", "n_words").join(sure, "_row", "left")
-    return out.select("_rest.*", "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<at:int,end:int>>")).alias("spans"))
-
-
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.0, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs without those of whose words more than the share lies in benchmark windows."""
-    hashed, name = F.xxhash64(F.col(text_col), F.lit(1)), free_name(docs, "_key")
-    found = hits(docs.select(F.col(id_col).alias("_id"), hashed.alias("_bad_key"), F.col(text_col)), benchmark, text_col)
-    bad = found.filter((F.col("n_hit") > 0) & (F.col("n_hit") > share * F.col("n_words"))).select(F.col("_id").alias("_bad_id"), "_bad_key").distinct()
-    keyed, other = docs.withColumn(name, hashed).alias("d"), bad.alias("b")
-    return keyed.join(other, F.col(f"d.`{id_col}`").eqNullSafe(F.col("b._bad_id")) & (F.col(f"d.`{name}`") == F.col("b._bad_key")), "left_anti").drop(name)
+    return each.select("k1", "k2", F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"), spans.alias("spans"))
+
+
+def _covered(spans: Column) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["at"]))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs' columns (but the text and those of the names that follow), n_words, n_hit, items (sorted ids of items found), and spans (start and end of covered words).
+
+    One row for each input row, repeats included. Null and empty texts have no words; items with a
+    null id mark words but aren't named. A benchmark without words marks nothing.
+    """
+    keep = [c for c in docs.columns if c not in {text_col, "n_words", "n_hit", "items", "spans"}]
+    sized = docs.select(F.struct(*keep).alias("_rest"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"), *text_keys(F.col(text_col)))
+    out = sized.join(text_hits(docs, benchmark, text_col), ["k1", "k2"], "left")
+    return out.select("_rest.*", "n_words", F.coalesce(_covered(F.col("spans")), F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+
+
+def _keyed(docs: DataFrame, text_col: str) -> tuple[DataFrame, str, str]:
+    """docs with the hashes of their texts under free names."""
+    a, b = free_name(docs, "_k1"), free_name(docs, "_k2")
+    k1, k2 = text_keys(F.col(text_col))
+    return docs.withColumn(a, k1).withColumn(b, k2), a, b
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.0, text_col: str = "text") -> DataFrame:
+    """docs without those of whose words more than the share lies in benchmark windows; with a share of 0, those with any hit.
+
+    An item of fewer than WINDOW words is one window, so with a share of 0 even an item of one word
+    removes every document with that word. Null and empty texts stay; repeated rows stay or go
+    together; an empty benchmark removes nothing. Documents never move: the hashes of the texts that
+    go are broadcast, up to BROADCAST_TEXTS of them.
+    """
+    found = text_hits(docs, benchmark, text_col)
+    if share > 0:
+        sizes = docs.select(*text_keys(F.col(text_col)), F.size(words_of(F.col(text_col))).alias("n")).distinct()
+        found = found.join(sizes, ["k1", "k2"]).filter(_covered(F.col("spans")) > share * F.col("n"))
+    bad = materialize(found.select(F.col("k1").alias("_b1"), F.col("k2").alias("_b2")), "decontam-bad")
+    keyed, a, b = _keyed(docs, text_col)
+    few = bad.count() <= BROADCAST_TEXTS
+    return keyed.join(F.broadcast(bad) if few else bad, (F.col(a) == F.col("_b1")) & (F.col(b) == F.col("_b2")), "left_anti").drop(a, b)
+
+
+def cut_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with the words of benchmark windows taken out of text_col; what stands between words stays, but for the gap before each word that goes.
+
+    One row for each input row; null and empty texts, and those without a hit, stay as they are.
+    """
+    names = docs.columns
+    keyed, a, b = _keyed(docs, text_col)
+    spans = free_name(docs, "_spans")
+    found = text_hits(docs, benchmark, text_col).select(F.col("k1").alias("_b1"), F.col("k2").alias("_b2"), F.col("spans").alias(spans))
+    tokens = F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(_TOKEN), F.lit(0))
+    led = F.regexp_like(F.col(text_col).cast("string"), F.lit("^" + _GAP)).cast("int")  # does a gap come first
+
+    def kept(token: Column, j: Column) -> Column:
+        word = F.floor((j + 1 - led) / 2)  # the number of a word, and for a gap that of the word after it
+        return ~F.exists(spans, lambda s: (s["at"] <= word) & (word < s["end"]))
+
+    cut = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(tokens, kept), ""))
+    out = keyed.join(found, (F.col(a) == F.col("_b1")) & (F.col(b) == F.col("_b2")), "left")
+    return out.withColumn(text_col, cut).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,9 +103,11 @@ def slow_hits(text, items):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("limit", [20_000, 0])
-def test_decontamination(spark, docs_of, odd_texts, as_dict, monkeypatch, limit):
-    monkeypatch.setattr(decontam, "SET_LIMIT", limit)
+@pytest.mark.parametrize(("set_bytes", "stride"), [(32 << 20, 256), (2000, 3)])
+def test_decontamination(spark, docs_of, odd_texts, as_dict, monkeypatch, set_bytes, stride):
+    """Also with the set in several shards, and stretches shorter than a window."""
+    monkeypatch.setattr(decontam, "SET_BYTES", set_bytes)
+    monkeypatch.setattr(decontam, "STRIDE", stride)
     item = prose(9, 25)
     items = [(1, item), (2, "Short item"), (10, None), (3, ""), (4, item), (5, "a b c d e f g h i j k"), (6, "ünïcode")]
     bench = spark.createDataFrame([(*x, "z") for x in items], "item_id long, text string, doc_id string")
@@ -118,6 +120,26 @@ def test_decontamination(spark, docs_of, odd_texts, as_dict, monkeypatch, limit)
     assert sorted(r["doc_id"] for r in clean.collect()) == [i for i, t in enumerate(texts) if not slow_hits(t, items)[1]]
     assert decontam.hits(docs_of(texts), bench.limit(0)).filter("n_hit > 0").count() == 0
     assert decontam.hits(docs_of(texts).limit(0), bench).count() == 0
+    cut = as_dict(decontam.cut_spans(docs_of(texts), bench))
+    for i, t in enumerate(texts):
+        assert len(slow_hits(cut[i]["text"], [])) == 3 and slow_hits(cut[i]["text"], [])[0] == slow_hits(t, items)[0] - slow_hits(t, items)[1]
+    assert decontam.cut_spans(docs_of(texts), bench).columns == docs_of(texts).columns
+
+
+def test_cut_spans_keeps_the_rest(spark, docs_of, as_dict):
+    bench = spark.createDataFrame([(1, "Alpha beta")], "item_id long, text string")
+    texts = ["- One, alpha BETA; two!", "alpha beta", "x alpha  beta", "alpha beta alpha beta\ny", None]
+    got = as_dict(decontam.cut_spans(docs_of(texts), bench))
+    assert [got[i]["text"] for i in range(5)] == ["- One; two!", "", "x", "\ny", None]
+
+
+def test_decontamination_of_a_million_windows(spark, docs_of):
+    """Far more windows than one scan broadcasts."""
+    bench = spark.range(1000).selectExpr("id AS item_id", "array_join(transform(sequence(1, 1009), i -> concat('w', id * 10000 + i)), ' ') AS text")
+    inside = [" ".join(f"w{k * 10000 + i}" for i in range(500, 512)) for k in range(0, 1000, 50)]
+    docs = docs_of([*inside, *[t.replace("w", "v") for t in inside], "w1 w2 w3 w4 w5 w6 w7 w8 w9 x w11"])
+    got = decontam.hits(docs, bench).filter("n_hit > 0").collect()
+    assert sorted((r["doc_id"], r["n_hit"], r["items"][0]) for r in got) == [(i, 12, str(k)) for i, k in enumerate(range(0, 1000, 50))]
 
 
 # --- repeated passages
