@@ -7,8 +7,8 @@ into one cell of each of three parts of a table, and a cell keeps the number, th
 its digests and of their check sums. The fingerprint is that table, of BASE cells. Two tables
 subtract cell by cell; peeling cells that hold one digest recovers the digests of which the versions
 differ. Where that fails, larger sketches are made and tried: the digests are dealt by hash into
-groups of about GROUP, each with a table of LARGE cells, then of four times as many, at last (a
-chance of about one in many millions) the digest sets are compared outright.
+groups of about GROUP, each with a table of the first of LEVELS; a group that gets stuck is tried
+again with the next, under other hashes.
 """
 
 from __future__ import annotations
@@ -16,14 +16,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from packetloom.llm._common import table
+from packetloom.llm._common import materialize, table
 
 BASE = 24
-LARGE = 96
-GROUP = 40
+#: Cells of the larger sketches' tables, and how many digests of both texts a group holds about.
+LEVELS = (24, 96, 384, 1536)
+GROUP = 12
 #: Characters of a piece or word beyond which it is cut by content, and one of how many words (pairs of characters) ends a piece.
 LONG = 300
 EVERY = 16
+#: Bytes of text in a range of documents, about, and the most cuts of each of two levels (beyond SIDE * SIDE ranges, ranges grow).
+RANGE_BYTES = 4 << 20
+SIDE = 512
 _CUT = r"\n|(?<=[.!?]) |(?<=[。！？])"
 _ROUNDS = 14
 _CELLS = "array<struct<n:int,k:bigint,c:bigint>>"
@@ -53,17 +57,30 @@ def _check(k: Column) -> Column:
     return F.xxhash64(k, F.lit(77)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _stretch(cells: int) -> int:
-    """Cells are looked after in stretches of about the root of a part's number, so that few digests are tried for each."""
+_EMPTY = "struct<n:int,k:bigint,c:bigint>"
+
+
+def _signed(keys: Column, n: int) -> Column:
+    """Digests with their check sums, counted n each."""
+    return F.transform(keys, lambda k: F.struct(F.lit(n).alias("n"), k.alias("k"), _check(k).alias("c")))
+
+
+def _placed(items: Column, cells: int) -> Column:
+    """Counted digests with their cell in each of three parts; a table's hash follows its size."""
     third = cells // 3
-    return max(d for d in range(1, third + 1) if third % d == 0 and d * d <= third)
 
+    def place(x: Column) -> Column:
+        h = lambda: F.xxhash64(x["k"], F.lit(cells))
+        at = [F.shiftright(h(), 20 * j).bitwiseAND(F.lit(third - 1).cast("long")).cast("int").alias(f"p{j}") for j in range(3)]
+        return F.struct(x["n"].alias("n"), x["k"].alias("k"), x["c"].alias("c"), *at)
 
-def _placed(k: Column, cells: int) -> list[Column]:
-    """A digest with its check sum, and in each part its cell and the stretch that this is in."""
-    third, size = cells // 3, _stretch(cells)
-    at = [F.pmod(F.xxhash64(k, F.lit(j)), F.lit(third)).cast("int") for j in range(3)]
-    return [k.alias("k"), _check(k).alias("c"), *[p.alias(f"p{j}") for j, p in enumerate(at)], *[F.floor(p / size).cast("int").alias(f"s{j}") for j, p in enumerate(at)]]
+    return F.transform(items, place)
+
+
+def _stretch(cells: int) -> int:
+    """Cells of large tables are looked after in stretches of about the root of a part's number, so that few digests are tried for each."""
+    third = cells // 3
+    return third if third <= 8 else max(d for d in range(1, third + 1) if third % d == 0 and d * d <= third)
 
 
 def _by_cell(placed: Column, cells: int, cell) -> Column:  # noqa: ANN001
@@ -71,41 +88,45 @@ def _by_cell(placed: Column, cells: int, cell) -> Column:  # noqa: ANN001
     third, size = cells // 3, _stretch(cells)
 
     def part(j: int) -> Column:
-        def stretch(s: Column) -> Column:
-            def within(near: Column) -> Column:
-                return F.transform(F.sequence(s * size, s * size + (size - 1)), lambda i: cell(i + j * third, F.filter(near, lambda x: x[f"p{j}"] == i)))
+        def within(s: Column | int, near: Column) -> Column:
+            first = s * size if isinstance(s, int) else s * F.lit(size)
+            numbers = F.sequence(F.lit(first), F.lit(first + size - 1)) if isinstance(s, int) else F.sequence(first, first + (size - 1))
+            return F.transform(numbers, lambda i: cell(i + j * third, F.filter(near, lambda x: x[f"p{j}"] == i)))
+
+        if size == third:
+            return within(0, placed)
 
-            return F.element_at(F.transform(F.array(F.filter(placed, lambda x: x[f"s{j}"] == s)), within), 1)
+        def stretch(s: Column) -> Column:
+            near = F.filter(placed, lambda x: F.floor(x[f"p{j}"] / size).cast("int") == s)
+            return F.element_at(F.transform(F.array(near), lambda n: within(s, n)), 1)
 
         return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(third // size - 1)), stretch))
 
     return F.concat(*map(part, range(3)))
 
 
-def sketch(keys: Column, cells: int) -> Column:
-    """The table of a set of digests."""
-
-    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-    add = lambda a, x: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["c"].bitwiseXOR(x["c"]).alias("c"))
-    placed = F.transform(keys, lambda k: F.struct(*_placed(k, cells)))
-    # the placed digests are bound once, as the only element of an array
-    return F.element_at(F.transform(F.array(placed), lambda p: _by_cell(p, cells, lambda _, mine: F.aggregate(mine, empty, add))), 1)
+def _add(a: Column, x: Column) -> Column:
+    return F.struct((a["n"] + x["n"]).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["c"].bitwiseXOR(x["c"]).alias("c"))
 
 
 def _minus(x: Column, y: Column) -> Column:
     return F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c"))
 
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, _minus)
+def _table(items: Column, cells: int) -> Column:
+    """The table of counted digests."""
+    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c")).cast(_EMPTY)
+    # the placed digests are bound once, as the only element of an array
+    return F.element_at(F.transform(F.array(_placed(items, cells)), lambda p: _by_cell(p, cells, lambda _, mine: F.aggregate(mine, empty, _add))), 1)
+
+
+def sketch(keys: Column, cells: int) -> Column:
+    """The table of a set of digests."""
+    return _table(_signed(keys, 1), cells)
 
 
-def difference(a: Column, b: Column, cells: int) -> Column:
-    """subtract(sketch(a), sketch(b)), made cell by cell: those of b count against those of a."""
-    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-    signed = lambda keys, n: F.transform(keys, lambda k: F.struct(F.lit(n).alias("n"), *_placed(k, cells)))
-    add = lambda x, y: F.struct((x["n"] + y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c"))
-    return F.element_at(F.transform(F.array(F.concat(signed(a, 1), signed(b, -1))), lambda p: _by_cell(p, cells, lambda _, mine: F.aggregate(mine, empty, add))), 1)
+def subtract(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, _minus)
 
 
 def peel(cells: Column, size: int) -> Column:
@@ -113,11 +134,10 @@ def peel(cells: Column, size: int) -> Column:
     start = F.struct(cells.cast(_CELLS).alias("cells"), F.lit(0).alias("first"), F.lit(0).alias("second"), F.lit(True).alias("go"))
 
     def round_(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["c"] == _check(x["k"]))), lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"))))
+        pure = F.array_distinct(F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["c"] == _check(x["k"]))))
 
         def take(found: Column) -> Column:
-            placed = F.transform(found, lambda x: F.struct(x["n"].alias("n"), *_placed(x["k"], size)))
-            rebuilt = F.element_at(F.transform(F.array(placed), lambda p: _by_cell(p, size, lambda i, gone: F.aggregate(gone, F.get(state["cells"], i), _minus))), 1)
+            rebuilt = F.element_at(F.transform(F.array(_placed(found, size)), lambda p: _by_cell(p, size, lambda i, gone: F.aggregate(gone, F.get(state["cells"], i), _minus))), 1)
             left = F.when(F.size(found) > 0, rebuilt).otherwise(state["cells"])
             ones = F.size(F.filter(found, lambda x: x["n"] == 1))
             return F.struct(left.cast(_CELLS).alias("cells"), (state["first"] + ones).alias("first"), (state["second"] + F.size(found) - ones).alias("second"), (F.size(found) > 0).alias("go"))
@@ -131,23 +151,43 @@ def peel(cells: Column, size: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), start, round_, finish)
 
 
-def _grouped(a: Column, b: Column, cells: int) -> Column:
-    """Peels larger sketches, group by group; null if any group gets stuck."""
+def _larger(a: Column, b: Column) -> Column:
+    """Peels larger sketches of two texts, group by group of digests, each of the least of LEVELS that peels; null if a group gets stuck in all."""
     groups = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / GROUP)).cast("int")
+    none = F.struct(F.lit(0).alias("first"), F.lit(0).alias("second"))
 
     def dealt(n: Column) -> Column:
-        part = lambda keys, g: F.filter(keys, lambda k: F.pmod(F.xxhash64(k, F.lit(5)), n) == g)
-        each = F.transform(F.sequence(F.lit(0), n - 1), lambda g: peel(difference(part(a, g), part(b, g), cells), cells))
-        return F.element_at(F.transform(F.array(each), lambda e: F.when(~F.exists(e, lambda x: x.isNull()), F.struct(F.aggregate(e, F.lit(0), lambda s, x: s + x["first"]).alias("first"), F.aggregate(e, F.lit(0), lambda s, x: s + x["second"]).alias("second")))), 1)
+        s = F.ceil(F.sqrt(n)).cast("int")  # groups lie in rows of about the root of their number, so that few digests are tried for each
+
+        def place(x: Column) -> Column:
+            g = F.pmod(F.xxhash64(x["k"], F.lit(5)), n).cast("int")
+            return F.struct(x["n"].alias("n"), x["k"].alias("k"), x["c"].alias("c"), F.floor(g / s).cast("int").alias("row"), F.pmod(g, s).alias("col"))
+
+        items = F.transform(F.concat(_signed(a, 1), _signed(b, -1)), place)
+
+        def group(mine: Column) -> Column:
+            return F.when(F.size(mine) == 0, none).otherwise(F.coalesce(*[peel(_table(mine, m), m) for m in LEVELS]))
+
+        def row(near: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), s - 1), lambda j: F.element_at(F.transform(F.array(F.filter(near, lambda x: x["col"] == j)), group), 1))
+
+        def rows(every: Column) -> Column:
+            return F.flatten(F.transform(F.sequence(F.lit(0), s - 1), lambda i: F.element_at(F.transform(F.array(F.filter(every, lambda x: x["row"] == i)), row), 1)))
+
+        each = F.element_at(F.transform(F.array(items), rows), 1)
+        sums = lambda e: F.aggregate(e, none, lambda t, x: F.struct((t["first"] + x["first"]).alias("first"), (t["second"] + x["second"]).alias("second")))
+        return F.element_at(F.transform(F.array(each), lambda e: F.when(~F.exists(e, lambda x: x.isNull()), sums(e))), 1)
 
     return F.element_at(F.transform(F.array(groups), dealt), 1)
 
 
 def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
-    """Shared digests over all digests of two texts, 0 to 1, from the peeled differences; 1 for two empty texts."""
-    outright = F.struct(F.size(F.array_except(a, b)).alias("first"), F.size(F.array_except(b, a)).alias("second"))
+    """Shared digests over all digests of two texts, 0 to 1, from the peeled differences of their sketches; 1 for two empty texts.
+
+    Null if some group of digests gets stuck in tables of all LEVELS (a chance of about one in 10**13).
+    """
     # a table can't hold more digests than it has cells: the numbers say when only a larger sketch can do
-    differ = F.coalesce(F.when(F.abs(F.size(a) - F.size(b)) <= BASE, peel(subtract(cells_a, cells_b), BASE)), _grouped(a, b, LARGE), _grouped(a, b, 4 * LARGE), outright)
+    differ = F.coalesce(F.when(F.abs(F.size(a) - F.size(b)) <= BASE, peel(subtract(cells_a, cells_b), BASE)), _larger(a, b))
     got = F.element_at(F.transform(F.array(differ), lambda d: (F.size(a) - d["first"]) / F.greatest(F.lit(1), F.size(a) + d["second"])), 1)
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(got)
 
@@ -158,49 +198,47 @@ def serial(keys: Column, cells: Column) -> Column:
     return F.concat_ws(":", F.size(keys).cast("string"), F.array_join(hexed, ","))
 
 
-def _cuts(docs: DataFrame, rows: int, per_bucket: int) -> list:
-    """Ids that cut docs into ranges of about per_bucket rows, sorted; at most 4096."""
-    n = min(4096, max(1, rows // per_bucket))
-    if n < 2:
-        return []
-    got = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0]
-    return sorted(set(got or []))
+def _ranged(rows: DataFrame, range_bytes: int) -> DataFrame:
+    """rows (doc_id, text) with rank (their order) and bucket (rising with the rank, of about range_bytes of text).
 
-
-def _range(id_: Column, cuts: list) -> Column:
-    """Number of the range of an id: the cuts at or below it; -1 for null. Two steps of about the root of their number."""
-    if not cuts:
-        return F.when(id_.isNull(), F.lit(-1)).otherwise(F.lit(0))
-    step = max(1, int(len(cuts) ** 0.5))
-    coarse = F.array(*[F.lit(c) for c in cuts[::step]])
-    fine = F.array(*[F.array(*[F.lit(c) for c in cuts[i : i + step]]) for i in range(0, len(cuts), step)])
-    block = F.size(F.filter(coarse, lambda c: c <= id_))
-    return F.when(id_.isNull(), F.lit(-1)).when(block == 0, F.lit(0)).otherwise((block - 1) * step + F.size(F.filter(F.element_at(fine, F.greatest(block, F.lit(1))), lambda c: c <= id_)))
-
-
-def with_next(docs: DataFrame, per_bucket: int = 1000) -> DataFrame:
-    """doc_id, text, keys and those of the next row by falling doc_id (null ids last, equal ids by digest); the first follows the last.
+    Cuts have two levels, so that neither holds more than SIDE: the first is part of the expression,
+    the second a broadcast table of a row for each stretch of the first. An id that fills whole
+    ranges, or null, is dealt over buckets by the leading bits of its texts' hash, in which order its rows stand.
+    """
+    order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("a"), F.col("doc_id").isNotNull().alias("b"), F.xxhash64("text").alias("c"), F.xxhash64(F.lit(1), F.col("text")).alias("d"))
+    rows = rows.withColumn("rank", order)
+    size, n, nulls = rows.agg(F.sum(F.octet_length("text").cast("long") + 64), F.count(F.lit(1)), F.sum(F.col("doc_id").isNull().cast("long"))).first()
+    ranges = max(1, (size or 0) // range_bytes)
+    side = min(SIDE, int(ranges**0.5 + 0.999))
+    shares = [i / side for i in range(1, side)] or [0.5]
+    first = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 100 * SIDE)).first()[0] or [])) if side > 1 else []
+    coarse = F.size(F.filter(F.array(*[F.lit(c) for c in first]), lambda c: c <= F.col("doc_id"))) if first else F.lit(0)
+    rows = rows.withColumn("coarse", F.when(F.col("doc_id").isNotNull(), coarse))
+    second = rows.filter("coarse IS NOT NULL").groupBy("coarse").agg(F.percentile_approx("doc_id", shares, 10 * SIDE).alias("fine"))
+    rows = rows.join(F.broadcast(second), "coarse", "left")  # SIDE rows of SIDE numbers at most
+    part = F.shiftright("rank.c", 54) + 512
+    hot = F.size(F.filter("fine", lambda c: c == F.col("doc_id"))) > 1
+    within = F.when(F.col("doc_id").isNull(), part if (nulls or 0) * ranges > n else F.lit(0)).when(hot, part).otherwise(2047)
+    at = F.when(F.col("doc_id").isNull(), 0).otherwise(1 + F.col("coarse") * (side + 1) + F.size(F.filter("fine", lambda c: c <= F.col("doc_id"))))
+    return rows.select("doc_id", "text", "rank", (at.cast("long") * 2048 + within).alias("bucket"))
+
+
+def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """doc_id, text, keys and those of the next row by falling doc_id (null ids last, equal ids by their texts' hashes); the first follows the last.
 
     Rows are dealt by ranges of doc_id, in one shuffle; each range also gets a copy of the first row
     of the range that follows it, so neighbours never have to be looked for elsewhere.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = rows.count()
-    cuts = _cuts(rows, n, per_bucket)
-    ranged = rows.withColumn("bucket", _range(F.col("doc_id"), cuts))
-    heads = sorted(((r["bucket"], r["head"]) for r in ranged.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()), reverse=True)  # one row for each range
-    order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("a"), F.col("doc_id").isNotNull().alias("b"), F.xxhash64("text").alias("c"), F.xxhash64("text", F.lit(1)).alias("d"))
-    ranged = ranged.withColumn("rank", order).withColumn("copy", F.lit(False))
-    if heads:
-        follows = {heads[i][0]: heads[(i + 1) % len(heads)] for i in range(len(heads))}
-        spark = docs.sparkSession
-        pairs = spark.createDataFrame([(b, nb, h) for b, (nb, h) in follows.items()], "to int, of int, head long")
-        first = ranged.join(F.broadcast(pairs), (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head")))  # at most 4097 small rows
-        first = first.groupBy("to", "doc_id").agg(F.max(F.struct("rank", "text")).alias("x"))
-        copies = first.select("doc_id", F.col("x.text").alias("text"), F.col("to").alias("bucket"), F.col("x.rank").alias("rank"), F.lit(True).alias("copy"))
-        ranged = ranged.unionByName(copies)
+    ranged = _ranged(rows, range_bytes)
+    heads = ranged.groupBy("bucket").agg(F.max("rank").alias("rank"))
+    falling = Window.orderBy(F.desc("bucket"))  # one row for each range
+    follows = heads.select(F.col("bucket").alias("to"), F.coalesce(F.lead(F.struct("bucket", "rank")).over(falling), F.first(F.struct("bucket", "rank")).over(falling)).alias("x"))
+    follows = materialize(follows.select("to", F.col("x.bucket").alias("of"), F.col("x.rank").alias("head")), "fingerprints-heads")
+    copies = ranged.join(F.broadcast(follows), (F.col("bucket") == F.col("of")) & (F.col("rank") == F.col("head"))).select("doc_id", "text", "rank", F.col("to").alias("bucket")).dropDuplicates(["bucket"])
+    every = ranged.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)))
     w = Window.partitionBy("bucket").orderBy("copy", F.desc("rank"))
-    keyed = ranged.withColumn("keys", digests(F.col("text")))
+    keyed = every.withColumn("keys", digests(F.col("text")))
     led = keyed.select("doc_id", "text", "keys", "copy", F.lead(F.struct("text", "keys")).over(w).alias("next"))
     return led.filter(~F.col("copy")).select("doc_id", "text", "keys", F.col("next.text").alias("next_text"), F.col("next.keys").alias("next_keys"))
 
@@ -208,7 +246,8 @@ def with_next(docs: DataFrame, per_bucket: int = 1000) -> DataFrame:
 def fingerprint_versions(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: one row for each input row.
 
-    Null texts are empty. Repeated ids are separate rows, ordered by a hash of their texts.
+    Null texts are empty. Repeated ids are separate rows, ordered by a hash of their texts. An empty
+    table has no rows; a single row is its own next.
     """
     rows = with_next(docs)
     n = F.length("text")

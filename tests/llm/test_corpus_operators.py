@@ -216,8 +216,21 @@ def test_mixing(spark, docs_of, monkeypatch):
 # --- fingerprints
 
 
-def pieces(t):
-    return {p for p in re.split(r"\n|(?<=[aeiou][.!?]) ", t or "") if p}
+def by_content(piece):
+    """Plain re-implementation of the breaks in long pieces."""
+    ends = lambda x: xxhash.xxh64_intdigest(x.encode(), 42) % iblt.EVERY == 0
+    out = ""
+    for w in piece.split(" "):
+        if len(w) > iblt.LONG:
+            out += "".join(c + "\n" * ends(w[max(0, i - 1) : i + 1]) for i, c in enumerate(w)) + " "
+        else:
+            out += w + ("\n" if ends(w) else " ")
+    return out.split("\n")
+
+
+def whole_pieces(t):
+    cut = re.split(r"\n|(?<=[.!?]) |(?<=[。！？])", t)
+    return {p for c in cut for p in (by_content(c) if len(c) > iblt.LONG else [c]) if p}
 
 
 def test_fingerprints(docs_of, odd_texts):
@@ -230,45 +243,45 @@ def test_fingerprints(docs_of, odd_texts):
         k = len(t) // 3
         edited = t[: len(t) - k] + nxt[:k]
         like = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
-        r = rows[i]
+        r, of = rows[i], whole_pieces
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert r["near_edited"] == pytest.approx(like(pieces(t), pieces(edited))) and r["near_next"] == pytest.approx(like(pieces(t), pieces(nxt)))
-    assert len({rows[i]["fingerprint"] for i, t in enumerate(texts)}) == len({frozenset(pieces(t)) for t in texts})
+        assert r["near_edited"] == pytest.approx(like(of(t), of(edited))) and r["near_next"] == pytest.approx(like(of(t), of(nxt)))
+    assert len({rows[i]["fingerprint"] for i, t in enumerate(texts)}) == len({frozenset(whole_pieces(t or "")) for t in texts})
+
+
+def test_peeling_retries_larger(docs_of, monkeypatch):
+    """Tables too small for their groups are retried larger; where all get stuck, the likeness is null."""
+    texts = ["\n".join(prose(i, 3) for i in range(k, k + 60)) for k in (0, 20, 100)]
+    want = {0: 0.0, 1: 40 / 80, 2: 0.0}
+    monkeypatch.setattr(iblt, "LEVELS", (6, 12, 96))
+    got = {r["doc_id"]: r["near_next"] for r in iblt.fingerprint_versions(docs_of(texts)).collect()}
+    assert got == pytest.approx(want)
+    monkeypatch.setattr(iblt, "LEVELS", (3,))
+    assert iblt.fingerprint_versions(docs_of(texts)).filter("doc_id = 0").first()["near_next"] is None
 
 
-def test_fingerprint_ranges(docs_of, monkeypatch):
+def test_fingerprint_ranges(docs_of):
     """Neighbours over many ranges, with null and repeated ids."""
-    cuts = iblt._cuts
-    monkeypatch.setattr(iblt, "_cuts", lambda docs, n, per: cuts(docs, n, 3))
     rows = [(i * 7 % 50, f"text {i}.", "en", "s") for i in range(50)] + [(None, "null", "en", "s"), (3, "again", "en", "s")]
-    got = iblt.with_next(docs_of(rows)).collect()
+    got = iblt.with_next(docs_of(rows), 150).collect()
     assert len(got) == 52 and sorted(r["text"] for r in got) == sorted(r["next_text"] for r in got)
     ids = {r["text"]: r["doc_id"] for r in got}
     for r in got:
         if r["doc_id"] not in (None, 0):
             assert ids[r["next_text"]] in (r["doc_id"], r["doc_id"] - 1)
     assert ids[next(r for r in got if r["text"] == "null")["next_text"]] == 49
+    hot = [(x, f"{x} {i}", "en", "s") for x in (None, 9, 4, 30) for i in range(300 if x in (None, 9) else 2)]
+    got = {r["text"]: r["next_text"] for r in iblt.with_next(docs_of(hot), 500).collect()}
+    assert len(got) == 604 == len(set(got.values())) and iblt._ranged(docs_of(hot).select("doc_id", "text"), 500).select("bucket").distinct().count() > 100
+    at, seen = next(t for t, n in got.items() if n.startswith("30") and t.startswith("None")), []
+    for _ in range(604):
+        at = got[at]
+        seen.append(at.split()[0])
+    assert seen == ["30"] * 2 + ["9"] * 300 + ["4"] * 2 + ["None"] * 300
     one = iblt.with_next(docs_of(["only"])).collect()
     assert [(r["text"], r["next_text"]) for r in one] == [("only", "only")] and iblt.with_next(docs_of(["a"]).limit(0)).count() == 0
 
 
-def by_content(piece):
-    """Plain re-implementation of the breaks in long pieces."""
-    ends = lambda x: xxhash.xxh64_intdigest(x.encode(), 42) % iblt.EVERY == 0
-    out = ""
-    for w in piece.split(" "):
-        if len(w) > iblt.LONG:
-            out += "".join(c + "\n" * ends(w[max(0, i - 1) : i + 1]) for i, c in enumerate(w)) + " "
-        else:
-            out += w + ("\n" if ends(w) else " ")
-    return out.split("\n")
-
-
-def whole_pieces(t):
-    cut = re.split(r"\n|(?<=[.!?]) |(?<=[。！？])", t)
-    return {p for c in cut for p in (by_content(c) if len(c) > iblt.LONG else [c]) if p}
-
-
 def test_fingerprint_pieces(docs_of):
     """Every sentence end cuts, whatever stands before it, and long pieces are cut by content."""
     rng = random.Random(4)
