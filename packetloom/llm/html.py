@@ -2,8 +2,9 @@
 
 A page is cut into blocks at block-level tags. Each block knows its words, the share of them in
 links, the same of its neighbours, and the kind of region it stands in (article, boilerplate by tag
-or by class name, or neither). A decision tree, grown on the small table LABELLED, says which blocks
-are main text. Scripts, styles, markup and comments never become blocks.
+or by class name, or neither). A decision tree, grown on the blocks of a few invented pages
+(labelled), says which blocks are main text; a run of link-only blocks is a menu even in an article,
+a lone one between sentences is text. Scripts, styles, markup and comments never become blocks.
 """
 
 from __future__ import annotations
@@ -22,18 +23,21 @@ from pyspark.sql import functions as F
 from packetloom.llm._common import arrow_map, table
 
 #: Tags whose text is never shown (fixed values).
-SKIP = frozenset("script style noscript template svg math iframe object head title select textarea canvas audio video".split())
+SKIP = frozenset("script style noscript template iframe head title select textarea canvas audio video".split())
 #: Tags that end a block (fixed values).
 BLOCK = frozenset("address article aside blockquote body br button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Tags of regions that are not main text (fixed values).
 BOILER = frozenset("nav footer aside form header menu button dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_BAD_NAME = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|notice|gdpr|nav(?:bar|igation)?|menu|breadcrumbs?|side-?bar|footer|masthead|site-header|comments?|comment-?list|replies|disqus|related|recommend(?:ed|ations)?|share|sharing|social|newsletter|subscribe|signup|login|popup|modal|widget|pagination|pager|toolbar|copyright|legal)(?![a-z])")
+_BAD_NAME = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|notice|gdpr|nav(?:bar|igation)?|menu|breadcrumbs?|side-?bar|footer|masthead|site-header|comments?|comment-?list|replies|disqus|newsletter|subscribe|signup|login|popup|modal|widget|pagination|pager|toolbar)(?![a-z])")
+#: Names that mean boilerplate on containers only: a paragraph of an article may have them too.
+_BOX_NAME = re.compile(r"(?:^|[^a-z])(?:related|recommend(?:ed|ations)?|share|sharing|social|copyright|legal)(?![a-z])")
+_BOX = frozenset("div section aside ul ol nav footer header form table dl".split())
 _GOOD_NAME = re.compile(r"(?:^|[^a-z])(?:article(?:-?body)?|post(?:-?body|-?content)?|entry(?:-?content)?|story(?:-?body)?|main(?:-?content)?|content|body-?text)(?![a-z])")
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>\"']*+(?:\"[^\"]*\"[^>\"']*+|'[^']*'[^>\"']*+)*+)>|<!--.*?(?:-->|\Z)|<[!?][^>]*>", re.S)
 _OPEN_END = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")  # a page cut off inside a tag
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "title", "textarea", "noscript", "iframe", "template", "svg")}
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "title", "textarea", "noscript", "iframe", "template")}
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "boiler", "region")
 
@@ -117,7 +121,7 @@ def blocks(page: str | None) -> list[Block]:
             close(tag)
         names = " ".join(a or b or c for _, a, b, c in _ATTR.findall(m.group(3))).lower() if "=" in m.group(3) else ""
         good = tag in ("article", "main") or bool(names and _GOOD_NAME.search(names))
-        bad = tag in SKIP or bool(names and _BAD_NAME.search(names)) or tag in BOILER and not (tag == "header" and state[0])
+        bad = tag in SKIP or bool(names and (_BAD_NAME.search(names) or tag in _BOX and _BOX_NAME.search(names))) or tag in BOILER and not (tag == "header" and state[0])
         stack.append((tag, good, bad))
         opened[tag] += 1
         state[0] += good
@@ -139,31 +143,68 @@ def block_features(found: list[Block]) -> np.ndarray:
     return np.column_stack([words, links, before, l_before, after, l_after, flags])
 
 
-#: Blocks with their label (1: main text), columns as FEATURES. Fixed values, written by hand.
-LABELLED = [
-    (9, 0.0, 6, 1.0, 80, 0.0, 1, 0, 1, 1), (80, 0.0, 9, 0.0, 60, 0.0, 1, 0, 1, 1), (60, 0.1, 80, 0.0, 1, 0.0, 1, 0, 1, 1),
-    (1, 0.0, 60, 0.0, 2, 0.0, 1, 0, 1, 1), (2, 0.0, 1, 0.0, 70, 0.0, 1, 0, 1, 1), (4, 1.0, 70, 0.0, 50, 0.0, 1, 0, 1, 1),
-    (120, 0.02, 2, 0.0, 7, 0.0, 1, 0, 1, 1), (7, 0.0, 120, 0.0, 9, 0.3, 1, 0, 1, 1), (3, 0.0, 0, 0.0, 3, 0.0, 1, 0, 1, 1),
-    (5, 0.0, 8, 0.0, 0, 0.0, 1, 0, 1, 1), (300, 0.0, 5, 0.0, 6, 0.0, 1, 0, 1, 1), (14, 0.5, 40, 0.0, 30, 0.0, 1, 0, 1, 1),
-    (50, 0.0, 60, 0.0, 2, 1.0, 1, 0, 1, 1), (8, 0.0, 2, 1.0, 3, 1.0, 1, 0, 1, 1), (2, 1.0, 2, 1.0, 2, 1.0, 1, 0, 1, 1),
-    (3, 0.8, 3, 1.0, 4, 1.0, 1, 0, 1, 1), (40, 0.9, 3, 0.0, 2, 0.0, 1, 0, 1, 1), (25, 0.0, 1, 1.0, 12, 0.9, 1, 0, 1, 1),
-    (200, 0.0, 150, 0.0, 90, 0.0, 1, 0, 1, 1), (18, 0.0, 22, 0.0, 19, 0.0, 1, 0, 1, 1), (1, 0.0, 1, 0.0, 1, 0.0, 1, 0, 1, 1),
-    (30, 0.0, 25, 0.7, 8, 0.6, 1, 0, 1, 1), (6, 0.0, 90, 0.0, 5, 1.0, 1, 0, 1, 1), (1, 1.0, 45, 0.0, 0, 0.0, 1, 0, 1, 1),
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 1, 0), (2, 1.0, 1, 1.0, 9, 0.0, 0, 1, 1, 0),
-    (8, 0.0, 90, 0.0, 0, 0.0, 0, 1, 1, 0), (12, 0.0, 2, 1.0, 9, 0.0, 0, 1, 1, 0), (40, 0.0, 70, 0.0, 35, 0.0, 0, 1, 1, 0),
-    (30, 0.0, 80, 0.0, 12, 0.0, 1, 1, 1, 0), (6, 1.0, 80, 0.0, 60, 0.0, 1, 1, 1, 0), (90, 0.0, 70, 0.0, 20, 0.0, 1, 1, 1, 0),
-    (3, 0.0, 0, 0.0, 40, 0.0, 1, 1, 1, 0), (10, 0.0, 4, 1.0, 50, 0.0, 0, 0, 1, 0), (60, 0.0, 3, 1.0, 20, 0.0, 0, 0, 1, 0),
-    (5, 0.0, 100, 0.0, 0, 0.0, 0, 0, 1, 0), (3, 1.0, 2, 1.0, 3, 1.0, 0, 0, 1, 0), (150, 0.0, 10, 0.0, 60, 0.0, 0, 0, 1, 0),
-    (20, 0.0, 45, 0.0, 30, 0.0, 0, 0, 1, 0), (4, 0.0, 8, 0.0, 120, 0.0, 0, 0, 1, 0), (45, 0.1, 60, 0.0, 2, 0.0, 0, 0, 1, 0),
-    (45, 0.0, 5, 0.0, 50, 0.0, 0, 0, 0, 1), (90, 0.05, 45, 0.0, 12, 0.0, 0, 0, 0, 1), (12, 0.0, 90, 0.0, 40, 0.0, 0, 0, 0, 1),
-    (20, 0.0, 30, 0.0, 25, 0.1, 0, 0, 0, 1), (15, 0.0, 1, 0.0, 60, 0.0, 0, 0, 0, 1), (35, 0.2, 2, 1.0, 40, 0.0, 0, 0, 0, 1),
-    (70, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 1), (28, 0.1, 50, 0.0, 2, 1.0, 0, 0, 0, 1), (6, 0.0, 3, 0.0, 50, 0.0, 0, 0, 0, 1),
-    (8, 0.0, 55, 0.0, 45, 0.0, 0, 0, 0, 1), (1, 0.0, 70, 0.0, 30, 0.0, 0, 0, 0, 1), (4, 0.0, 2, 1.0, 90, 0.0, 0, 0, 0, 1),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (3, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0), (12, 0.9, 3, 1.0, 4, 1.0, 0, 0, 0, 0),
-    (30, 0.8, 12, 0.9, 10, 0.7, 0, 0, 0, 0), (4, 0.5, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (25, 0.6, 40, 0.0, 5, 1.0, 0, 0, 0, 0),
-    (2, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 4, 0.8, 0, 0, 0, 0), (6, 1.0, 60, 0.0, 50, 0.0, 0, 0, 0, 0),
-    (20, 0.0, 30, 0.0, 9, 1.0, 0, 1, 0, 0), (60, 0.0, 50, 0.0, 40, 0.0, 0, 1, 0, 0), (4, 0.0, 60, 0.0, 30, 0.0, 0, 1, 0, 0),
-]
+#: Each invented page is shown with paragraphs of these lengths, and a leaf of the tree holds LEAF blocks at least.
+SCALES = (0.7, 1.0, 1.5, 2.5)
+LEAF = 3
+
+
+def _text(tag: str, *words: int, attrs: str = "") -> str:
+    return "".join(f"<{tag}{attrs}>{'word ' * n}</{tag}>" for n in words)
+
+
+def _links(n: int, words: int = 1) -> str:
+    return "<ul>" + f"<li><a href=x>{'word ' * words}</a></li>" * n + "</ul>"
+
+
+def _linked(words: int, of: int) -> str:
+    """A paragraph of words of which the first are a link."""
+    return f"<p><a href=x>{'word ' * of}</a> {'word ' * (words - of)}</p>"
+
+
+def labelled(scale: float) -> list[list[tuple[int, str]]]:
+    """Invented pages as runs of blocks with their label (1: main text). Fixed values, written by hand; paragraphs are longer by the scale."""
+    p, bar, foot = (lambda *n: _text("p", *[max(1, round(k * scale)) for k in n])), "<nav>" + _links(6) + "</nav>", "<footer>" + _text("p", 8) + _links(3) + "</footer>"
+    ad, opened, closed = _text("div", 9, attrs=" class=ad"), "<article>", "</article>"
+    return [
+        # pages that mark their article
+        [(0, bar + ad + opened), (1, _text("h1", 6) + p(40, 3, 80, 12, 60)), (0, closed + foot)],
+        [(0, opened), (1, _text("h1", 1) + p(2, 7) + _text("li", 1, 1, 3, 1) + p(1)), (0, closed + foot)],
+        [(0, "<header>" + _links(2) + "</header>" + opened), (1, _text("h2", 5) + p(150) + _linked(12, 2) + p(30)), (0, "<aside>" + p(40) + _links(4) + "</aside>"), (1, p(45, 200)), (0, _links(9)), (1, p(18, 25)), (0, closed + foot)],
+        [(0, bar + opened), (1, p(20) + _linked(4, 4) + p(35) + _linked(1, 1) + p(9) + _linked(14, 9) + p(50)), (0, "<div class=share>" + _links(4) + "</div><section class=comments>" + p(30, 12, 60) + "</section>" + closed)],
+        [(0, opened), (1, p(25, 14) + _linked(40, 34) + p(60)), (0, _links(20, 2) + closed + "<div id=sidebar>" + p(80, 20) + _links(3) + "</div>")],
+        [(0, "<main><div class=cookie-consent>" + p(30) + "</div>"), (1, _text("h1", 8) + p(70, 15) + _text("li", 6, 1, 9) + _linked(8, 2) + _text("li", 2, 4)), (0, _links(3, 3) + "</main>" + foot + p(14))],
+        [(0, p(60) + _text("h3", 4) + _links(2) + opened), (1, p(1, 1, 1) + p(90)), (0, "<form>" + p(12, 3) + "</form>" + closed + p(45, 20))],
+        [(0, opened), (1, _text("h1", 4) + p(33) + _linked(2, 2) + p(28)), (0, closed + "<h3>word word word</h3>" + p(25, 150, 9))],
+        [(0, bar + opened), (1, _text("h1", 7) + p(35, 4, 50, 22))],  # cut off
+        [(0, opened), (1, p(30) + _text("li", 2, 3) + p(2))],
+        [(0, foot + opened), (1, p(1, 1) + _text("div", 1))],
+        # pages that don't
+        [(1, p(60))],
+        [(1, p(30, 20))],
+        [(0, _links(5)), (1, p(40, 50))],
+        [(0, _links(7)), (1, _text("h1", 7) + p(60, 45, 12, 90, 8, 70)), (0, _links(5) + p(5))],
+        [(0, _links(4) + _text("div", 3)), (0, _links(6)), (1, p(55, 20, 33, 15, 40)), (0, _text("h4", 2) + _links(8, 2) + _text("div", 4))],
+        [(0, _text("h2", 2) + _links(9, 3) + _text("h2", 3) + _links(12, 2) + _text("h2", 1) + _links(5, 4) + p(6))],
+        [(0, _links(3)), (1, p(48) + _linked(30, 4) + p(3, 75) + _linked(25, 6) + p(22, 18)), (0, _linked(20, 14) + _links(4) + _linked(12, 8))],
+        [(0, ad + _links(5)), (1, _text("h1", 5) + p(80) + _text("li", 6, 9, 4, 11) + p(65)), (0, "<div class=newsletter>" + p(30) + "</div>" + _links(2) + p(7))],
+        [(0, _text("div", 2) + _links(10)), (1, p(28, 19, 36)), (0, _links(6) + _text("div", 9) + _links(3, 5))],
+        [(0, "<div class=banner>" + p(25, 60) + "</div>"), (1, p(120, 10, 14, 95)), (0, foot)],
+        [(0, _text("span", 3) + _links(3) + "<form>" + p(10) + "</form>" + _links(4)), (1, p(42, 17, 21)), (0, _linked(16, 11) + _linked(18, 12) + _linked(9, 7))],
+    ]
+
+
+def training_table() -> tuple[np.ndarray, np.ndarray]:
+    """Features and label of every block of the labelled pages."""
+    x, y = [], []
+    for page in [page for scale in SCALES for page in labelled(scale)]:
+        at, done = "", 0
+        for label, run in page:
+            at += run
+            n = len(blocks(at))
+            y += [label] * (n - done)
+            done = n
+        x.append(block_features(blocks(at)))
+    return np.concatenate(x), np.array(y)
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
@@ -172,10 +213,12 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
     if depth == 0 or len(set(y.tolist())) < 2:
         return (label,)
     best = None
-    for f in (6, 7, 8, 1, 0, 2, 3, 4, 5):  # of equal splits the first
+    for f in range(x.shape[1]):  # of equal splits the first
         values = np.unique(x[:, f])
         for cut in (values[1:] + values[:-1]) / 2:
             low = x[:, f] <= cut
+            if min(low.sum(), (~low).sum()) < LEAF:
+                continue
             cost = sum(s.sum() * (1 - (2 * y[s].mean() - 1) ** 2) for s in (low, ~low))
             if best is None or cost < best[0] - 1e-9:
                 best = (cost, f, cut, low)
@@ -187,8 +230,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
 
 @cache
 def tree() -> tuple:
-    rows = np.array(LABELLED, float)
-    return grow(rows[:, :-1], rows[:, -1].astype(int))
+    return grow(*training_table())
 
 
 def classify(x: np.ndarray, node: tuple | None = None) -> np.ndarray:

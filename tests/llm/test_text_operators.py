@@ -215,6 +215,35 @@ PAGE = """<!doctype html><html><head><title>t</title><style>p{}</style><script>v
  text &lt;here&gt; &#233;.</p><aside>see also</aside><div class="ad">Buy</div><p>x</p><ul><li>One</li><li>Two</li></ul><section class="comments"><p>First!</p></section></article><form><p>Mail</p></form><footer>&copy; me</footer></body></html>"""
 
 
+def test_pages_tree_uses_neighbours():
+    """The tree is grown on blocks of labelled pages, and the same page reads otherwise without its neighbours."""
+    import numpy as np
+
+    x, y = html.training_table()
+    assert (html.classify(x) == y).mean() > 0.99
+
+    def used(node):
+        return set() if len(node) == 1 else {html.FEATURES[node[0]]} | used(node[2]) | used(node[3])
+
+    assert used(html.tree()) & {"words_before", "links_before"} and used(html.tree()) & {"words_after", "links_after"}
+    menu = "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(20))
+    page = f"<nav>{menu}</nav><article><h1>A title</h1><p>{'text ' * 40}</p><p><a href=x>One link</a></p><p>{'more ' * 40}</p><ul>{menu}</ul><p>{'last ' * 30}</p></article><footer>end</footer>"
+    lines = html.main_text(page).split("\n")
+    assert [line.split()[0] for line in lines] == ["A", "text", "One", "more", "last"]
+    found = html.blocks(page)
+    alone = html.block_features(found)
+    alone[:, 2:6] = 0
+    assert (html.classify(alone) != html.classify(html.block_features(found))).any()
+    assert not np.array_equal(html.grow(np.delete(x, [2, 3, 4, 5], 1), y), html.tree())
+
+
+def test_pages_without_article():
+    links = "".join(f"<a href=x>Menu {i}</a><br>" for i in range(6))
+    page = f"<div>{links}</div><h1>The title of this page here now</h1><div>{'first ' * 50}</div><div>{'second ' * 40}</div><div>{'third ' * 60}</div><div>{links}</div><p>Imprint</p>"
+    assert [line.split()[0] for line in html.main_text(page).split("\n")] == ["The", "first", "second", "third"]
+    assert html.main_text("<article><p>Let <math><mi>x</mi></math> be</p><p class=legal>law</p><svg><text>fig</text></svg><div class=share>s</div></article>") == "Let x be\nlaw\nfig"
+
+
 def test_pages(spark, sf):
     assert html.main_text(PAGE) == "The & title\nSome bold text <here> é.\nx\nOne\nTwo"
     assert html.main_text(None) == "" == html.main_text("") == html.main_text("<p") and html.main_text("<nav>a</nav>") == ""
