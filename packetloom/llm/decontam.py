@@ -4,9 +4,8 @@ The windows of all benchmark items are hashed into a set that is broadcast. Text
 stretches of STRIDE words (and the words that their last windows need), every window of a stretch is
 hashed and looked up in the set, and a hit counts only if the words themselves agree. A set of more
 than SET_BYTES is dealt by hash into shards, each broadcast in a scan of its own; the way of a hit is
-the same at every size. Hits belong to a text, known by two hashes of 64 bits, so equal texts share
-them and no row numbers are needed. Contaminated texts lose their covered words (cut_spans), or go
-(remove_contaminated).
+the same at every size. The same scan hands on every row once. Contaminated texts, known by two
+hashes of 64 bits, lose their covered words (cut_spans), or go (remove_contaminated).
 """
 
 from __future__ import annotations
@@ -43,6 +42,10 @@ def text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
 
 
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """h, len, key (the window's words joined by spaces), items (ids of the items that hold it; null ids left out): one row for each window.
 
@@ -53,35 +56,48 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     starts = F.sequence(F.lit(1), F.size("w") - size + 1)
     keys = F.transform(starts, lambda i: F.array_join(F.slice("w", i, size), " "))
     each = items.select("item_id", size.alias("len"), F.explode(keys).alias("key"))
-    return each.groupBy("len", "key").agg(F.collect_set("item_id").alias("items")).select(F.xxhash64(F.split("key", " ")).alias("h"), "len", "key", "items")
+    return each.groupBy("len", "key").agg(F.collect_set("item_id").alias("items")).select(F.xxhash64(_hashed(F.split("key", " "))).alias("h"), "len", "key", "items")
+
 
+def _scan(rows: DataFrame, windows: DataFrame, lens: list[int]) -> DataFrame:
+    """row, rest, n_words, at, len, items: a row with len 0 for each of rows (row, rest, w), and one for each place of a window.
 
-def _found(stretches: DataFrame, windows: DataFrame, lens: list[int]) -> DataFrame:
-    """k1, k2, at (number of a word, from 0), len, items of every place of a window."""
+    Words are hashed once; a window's hash is that of its words' hashes. The join with the broadcast
+    windows finds them by hash and compares their words.
+    """
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("w") - 1) / STRIDE).cast("int"))), lambda s: F.struct((s * STRIDE).alias("base"), F.slice("w", s * STRIDE + 1, F.lit(STRIDE + WINDOW - 1)).alias("w")))
+    stretches = rows.select("row", F.col("rest").alias("all"), F.size("w").alias("n_words"), F.explode(cut).alias("s")).select("row", F.when(F.col("s.base") == 0, F.col("all")).alias("rest"), "n_words", "s.base", "s.w", _hashed(F.col("s.w")).alias("v"))
+    none = F.array().cast("array<bigint>")
 
     def hashes(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.least(F.size("w") - n + 1, F.lit(STRIDE)))
-        return F.when(F.size("w") >= n, F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice("w", i, F.lit(n))).alias("h"), i.alias("i"), F.lit(n).alias("n")))).otherwise(F.array().cast("array<struct<h:bigint,i:int,n:int>>"))
+        starts = F.sequence(F.lit(1), F.least(F.size("v") - n + 1, F.lit(STRIDE)))
+        got = F.when(F.size("v") >= n, F.transform(starts, lambda i: F.xxhash64(F.slice("v", i, F.lit(n))))).otherwise(none)
+        return F.struct(F.lit(n).alias("n"), got.alias("hs"))
 
-    each = stretches.select("k1", "k2", "base", "w", F.explode(F.concat(*map(hashes, lens))).alias("x")).select("k1", "k2", "base", "w", "x.h", "x.i", "x.n")
-    same = (each["h"] == windows["h"]) & (F.col("n") == F.col("len")) & (F.col("key") == F.array_join(F.slice("w", F.col("i"), F.col("n")), " "))
-    return each.join(F.broadcast(windows), same).select("k1", "k2", (F.col("base") + F.col("i") - 1).alias("at"), "len", "items")
+    first = F.struct(F.lit(0).alias("n"), F.when(F.col("base") == 0, F.array(F.lit(0).cast("long"))).otherwise(none).alias("hs"))
+    each = stretches.select("row", "rest", "n_words", "base", "w", F.explode(F.array(first, *map(hashes, lens))).alias("x")).select("row", "rest", "n_words", "base", "w", "x.n", F.posexplode("x.hs").alias("i", "h"))
+    each = each.select("row", F.when(F.col("n") == 0, F.col("rest")).alias("rest"), "n_words", "base", "w", "n", "i", "h")
+    same = (each["h"] == windows["h"]) & (F.col("n") == F.col("len")) & (F.col("key") == F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " "))
+    return each.join(F.broadcast(windows), same).select("row", "rest", "n_words", (F.col("base") + F.col("i")).alias("at"), "len", "items")
 
 
-def text_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """k1, k2, items (sorted ids of the items found), spans (start and end of covered words): one row for each distinct text with a hit."""
+def found(rows: DataFrame, benchmark: DataFrame, text: Column) -> DataFrame:
+    """rest (a column of rows), n_words, items (sorted ids of the items found), spans (start and end of covered words): one row for each of rows; items and spans are null without a hit."""
+    spark = rows.sparkSession
     windows = materialize(item_windows(benchmark), "decontam-windows")
     lens = sorted(r["len"] for r in windows.select("len").distinct().collect())  # at most WINDOW numbers
-    if not lens:
-        return docs.sparkSession.createDataFrame([], f"k1 long, k2 long, items array<string>, spans {_SPANS}")
     per_row = F.octet_length("key") + 64 + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 16)
-    shards = max(1, -(-windows.agg(F.sum(per_row.cast("long"))).first()[0] // SET_BYTES))
-    words = docs.select(*text_keys(F.col(text_col)), words_of(F.col(text_col)).alias("w"))
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / STRIDE).cast("int")), lambda s: F.struct((s * STRIDE).alias("base"), F.slice("w", s * STRIDE + 1, F.lit(STRIDE + WINDOW - 1)).alias("w")))
-    stretches = words.filter(F.size("w") > 0).select("k1", "k2", F.explode(cut).alias("s")).select("k1", "k2", "s.base", "s.w")
-    found = [materialize(_found(stretches, windows.filter(F.pmod("h", F.lit(shards)) == s), lens), "decontam-found") for s in range(shards)]
-    every = reduce(DataFrame.unionByName, found)
-    each = every.groupBy("k1", "k2").agg(F.collect_set("items").alias("items"), F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("len")).cast("int").alias("end")))).alias("at"))
+    shards = max(1, -(-(windows.agg(F.sum(per_row.cast("long"))).first()[0] or 0) // SET_BYTES))
+    words = rows.select(F.monotonically_increasing_id().alias("row"), "rest", words_of(text).alias("w"))
+    if shards > 1:
+        words = materialize(words, "decontam-words")  # several scans must see the same row numbers
+    itself = spark.range(1).select(F.lit(0).cast("long").alias("h"), F.lit(0).alias("len"), F.lit("").alias("key"), F.array().cast("array<string>").alias("items"))
+    parts = []
+    for s in range(shards):
+        mine = windows.filter(F.pmod("h", F.lit(shards)) == s)
+        parts.append(materialize(_scan(words, mine.unionByName(itself) if s == 0 else mine, lens), "decontam-scan"))
+    every = reduce(DataFrame.unionByName, parts)
+    each = every.filter("len > 0").groupBy("row").agg(F.collect_set("items").alias("items"), F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("len")).cast("int").alias("end")))).alias("at"))
     start = F.struct(F.array().cast(_SPANS).alias("done"), F.lit(None).cast("struct<at:int,end:int>").alias("open"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -91,7 +107,8 @@ def text_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
         return F.struct(done.alias("done"), now.alias("open"))
 
     spans = F.aggregate("at", start, step, lambda a: F.concat(a["done"], F.array(a["open"])))
-    return each.select("k1", "k2", F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"), spans.alias("spans"))
+    sure = each.select("row", F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"), spans.alias("spans"))
+    return parts[0].filter("len = 0").select("row", "rest", F.col("n_words").cast("long").alias("n_words")).join(sure, "row", "left").drop("row")
 
 
 def _covered(spans: Column) -> Column:
@@ -105,9 +122,16 @@ def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataF
     null id mark words but aren't named. A benchmark without words marks nothing.
     """
     keep = [c for c in docs.columns if c not in {text_col, "n_words", "n_hit", "items", "spans"}]
-    sized = docs.select(F.struct(*keep).alias("_rest"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"), *text_keys(F.col(text_col)))
-    out = sized.join(text_hits(docs, benchmark, text_col), ["k1", "k2"], "left")
-    return out.select("_rest.*", "n_words", F.coalesce(_covered(F.col("spans")), F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+    rest = F.struct(*keep) if keep else F.struct(F.lit(0).alias("none"))
+    out = found(docs.select(rest.alias("rest"), F.col(text_col).alias("text")), benchmark, F.col("text"))
+    return out.select(*[F.col(f"rest.`{c}`") for c in keep], "n_words", F.coalesce(_covered(F.col("spans")), F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+
+
+def text_hits(docs: DataFrame, benchmark: DataFrame, text_col: str) -> DataFrame:
+    """k1, k2, n_words, spans: one row for each distinct text with a hit."""
+    rows = docs.select(F.struct(*text_keys(F.col(text_col))).alias("rest"), F.col(text_col).alias("text"))
+    got = found(rows, benchmark, F.col("text")).filter("spans IS NOT NULL")
+    return got.select("rest.k1", "rest.k2", "n_words", "spans").dropDuplicates(["k1", "k2"])
 
 
 def _keyed(docs: DataFrame, text_col: str) -> tuple[DataFrame, str, str]:
@@ -125,11 +149,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.
     together; an empty benchmark removes nothing. Documents never move: the hashes of the texts that
     go are broadcast, up to BROADCAST_TEXTS of them.
     """
-    found = text_hits(docs, benchmark, text_col)
-    if share > 0:
-        sizes = docs.select(*text_keys(F.col(text_col)), F.size(words_of(F.col(text_col))).alias("n")).distinct()
-        found = found.join(sizes, ["k1", "k2"]).filter(_covered(F.col("spans")) > share * F.col("n"))
-    bad = materialize(found.select(F.col("k1").alias("_b1"), F.col("k2").alias("_b2")), "decontam-bad")
+    over = text_hits(docs, benchmark, text_col).filter(_covered(F.col("spans")) > share * F.col("n_words"))
+    bad = materialize(over.select(F.col("k1").alias("_b1"), F.col("k2").alias("_b2")), "decontam-bad")
     keyed, a, b = _keyed(docs, text_col)
     few = bad.count() <= BROADCAST_TEXTS
     return keyed.join(F.broadcast(bad) if few else bad, (F.col(a) == F.col("_b1")) & (F.col(b) == F.col("_b2")), "left_anti").drop(a, b)
@@ -143,7 +164,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
     names = docs.columns
     keyed, a, b = _keyed(docs, text_col)
     spans = free_name(docs, "_spans")
-    found = text_hits(docs, benchmark, text_col).select(F.col("k1").alias("_b1"), F.col("k2").alias("_b2"), F.col("spans").alias(spans))
+    hit = text_hits(docs, benchmark, text_col).select(F.col("k1").alias("_b1"), F.col("k2").alias("_b2"), F.col("spans").alias(spans))
     tokens = F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(_TOKEN), F.lit(0))
     led = F.regexp_like(F.col(text_col).cast("string"), F.lit("^" + _GAP)).cast("int")  # does a gap come first
 
@@ -152,7 +173,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
         return ~F.exists(spans, lambda s: (s["at"] <= word) & (word < s["end"]))
 
     cut = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(tokens, kept), ""))
-    out = keyed.join(found, (F.col(a) == F.col("_b1")) & (F.col(b) == F.col("_b2")), "left")
+    out = keyed.join(hit, (F.col(a) == F.col("_b1")) & (F.col(b) == F.col("_b2")), "left")
     return out.withColumn(text_col, cut).select(*[F.col(f"`{c}`") for c in names])
 
 
