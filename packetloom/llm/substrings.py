@@ -6,14 +6,15 @@ windows have equal anchors, and consecutive windows mostly share one, so a docum
 for every ten words or so.
 
 1. A census counts the places of every anchor. Only anchors with two or more can hold a repeat.
-2. Every document is cut into segments (the words of consecutive windows with one anchor); those of
-   recurring anchors go to the anchor's shard. The recurring anchors travel as a bit set of bounded
-   size, which may let other segments through but loses none. Equal segments of a batch travel once.
-   Anchors with very many places are dealt by window instead, so no anchor gathers in one task.
-3. A shard counts the windows of an anchor and so confirms the recurring passages (runs of windows
-   with two or more places), compiles them into Aho-Corasick automata over word numbers, and streams
-   all of its segments through them. Every occurrence becomes a span of covered words.
-4. Spans return to the texts by their hash and the words are removed.
+2. Every document is cut into segments (the words of consecutive windows with one anchor), kept if
+   their anchor may recur. The recurring anchors travel as a bit set of bounded size, which may let
+   other segments through but loses none. Equal segments of a batch are one row with a list of
+   places. Anchors with very many places are dealt by window instead, so no anchor gathers in one task.
+3. Distinct segments, with their number but without their places, go to their anchor's shard. There
+   windows are counted, which confirms the recurring passages (runs of windows with two or more
+   places); the passages are compiled into Aho-Corasick automata over word numbers and the segments
+   streamed through them. The occurrences, verified by the words' hashes, give each segment its spans.
+4. Spans meet the places of their segment, and by the texts' hashes the texts, of which the words are removed.
 """
 
 from __future__ import annotations
@@ -29,14 +30,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm._common import materialize, table
+from packetloom.llm._common import byte_slices, materialize, table
 
 WINDOW = 35
 ANCHOR = 16
 #: Most bits of a set that travels to all tasks.
 MAX_BITS = 1 << 28
 #: Anchors with more places than this, or than a 10,000th of all, are dealt by window (at most 10,000 anchors then).
-HOT = 10_000
+HOT = 1_000
+#: Bytes that stand for a word: 48 bits of its hash.
+WORD = 6
+#: Bytes of distinct segments that a task gathers before it hands them on.
+HELD_BYTES = 16 << 20
 #: Windows of one segment, and pattern words of one automaton, at most about.
 MAX_RUN = 64
 MAX_PATTERN_WORDS = 200_000
@@ -62,7 +67,7 @@ def words_of(text: str | None) -> list[bytes]:
 def text_key(text: str | None) -> tuple[int, int]:
     raw = (text or "").encode("utf-8", "surrogatepass")
     h = xxhash.xxh64_intdigest(raw)
-    return (h - (1 << 64) if h >= 1 << 63 else h), zlib.crc32(raw)
+    return _signed(h), zlib.crc32(raw)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -132,10 +137,10 @@ def bit_set(keys: DataFrame, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(v).tobytes() for v in held.values()], pa.binary())], names=["stretch", "bits"])
 
     got = keys.mapInArrow(places, "stretch long, bit long").repartition("stretch").mapInArrow(build, "stretch long, bits binary").collect()  # MAX_BITS / 8 bytes at most
-    out = np.zeros(bits, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     for r in got:
-        out[r["stretch"] * each : (r["stretch"] + 1) * each] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))
-    return np.packbits(out)
+        out[r["stretch"] * each // 8 : (r["stretch"] + 1) * each // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 def may_hold(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -146,7 +151,7 @@ def may_hold(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids = _Ids()
-    for b in batches:
+    for b in byte_slices(batches):
         found = []
         for text in b.column(0).to_pylist():
             words = words_of(text)
@@ -157,113 +162,140 @@ def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["anchor", "n"])
 
 
-_PLACE = pa.struct([("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
-_SEGMENT = pa.schema([("shard", pa.int64()), ("words", pa.binary()), ("places", pa.list_(_PLACE))])
+_PLACE = pa.struct([("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32())])
+_SEGMENT = pa.schema([("shard", pa.int64()), ("segment", pa.int64()), ("words", pa.binary()), ("n", pa.int64()), ("places", pa.list_(_PLACE))])
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >= 1 << 63 else h
 
 
 def _segments(recurring, hot):  # noqa: ANN001, ANN202 - broadcast variables
+    def rows(held: dict[tuple[int, bytes], list]) -> Iterator[pa.RecordBatch]:
+        every = list(held.items())
+        for at in range(0, len(every), 20_000):
+            part = every[at : at + 20_000]
+            flat = [p for _, v in part for p in v]
+            place = pa.StructArray.from_arrays([pa.array([p[i] for p in flat], f.type) for i, f in enumerate(_PLACE)], fields=list(_PLACE))
+            offsets = np.concatenate([[0], np.cumsum([len(v) for _, v in part])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([k for (k, _), _ in part], pa.int64()), pa.array([_signed(xxhash.xxh64_intdigest(w)) for (_, w), _ in part], pa.int64()), pa.array([w for (_, w), _ in part], pa.binary()),
+                pa.array([sum(p[3] for p in v) for _, v in part], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), place),
+            ], schema=_SEGMENT)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, packed, very = _Ids(), recurring.value, hot.value
-        for b in batches:
+        held: dict[tuple[int, bytes], list] = {}
+        size = 0
+        for b in byte_slices(batches):
             texts: dict[tuple[int, int], list] = {}
             for text in b.column(0).to_pylist():
                 texts.setdefault(text_key(text), [text, 0])[1] += 1
-            held: dict[tuple[int, bytes], list] = {}
             for (k1, k2), (text, times) in texts.items():
                 words = words_of(text)
                 if len(words) < WINDOW:
                     continue
                 h = np.fromiter(map(ids.__getitem__, words), _U64, len(words))
                 anchor, _ = window_anchors(h)
-                first, size = runs_of(anchor)
+                first, n_windows = runs_of(anchor)
                 keys = anchor[first]
                 live = may_hold(packed, keys)
-                small = h.astype(np.uint32)
-                for f, n, key in zip(first[live].tolist(), size[live].tolist(), keys[live].view(np.int64).tolist(), strict=True):
+                small = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD].tobytes()
+                for f, n, key in zip(first[live].tolist(), n_windows[live].tolist(), keys[live].view(np.int64).tolist(), strict=True):
                     if key in very:
-                        for i in range(f, f + n):
-                            raw = small[i : i + WINDOW].tobytes()
-                            held.setdefault((xxhash.xxh64_intdigest(raw) >> 1, raw), []).append((k1, k2, i, times))
+                        cuts = [(None, i, i + WINDOW) for i in range(f, f + n)]
                     else:
-                        held.setdefault((key, small[f : f + n + WINDOW - 1].tobytes()), []).append((k1, k2, f, times))
-            rows = list(held.items())
-            for at in range(0, len(rows), 20_000):
-                part = rows[at : at + 20_000]
-                places = [[dict(zip(("k1", "k2", "at", "n"), p, strict=True)) for p in v] for _, v in part]
-                yield pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in part], pa.int64()), pa.array([w for (_, w), _ in part], pa.binary()), pa.array(places, _SEGMENT.field(2).type)], schema=_SEGMENT)
+                        cuts = [(key, f, f + n + WINDOW - 1)]
+                    for shard, lo, hi in cuts:
+                        raw = small[WORD * lo : WORD * hi]
+                        name = (xxhash.xxh64_intdigest(raw, 3) >> 1 if shard is None else shard, raw)
+                        if name not in held:
+                            held[name] = []
+                            size += len(raw) + 200
+                        held[name].append((k1, k2, lo, times))
+                        size += 120
+                if size > HELD_BYTES:
+                    yield from rows(held)
+                    held, size = {}, 0
+        yield from rows(held)
 
     return run
 
 
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _SEGMENT sorted by shard: spans of words covered by confirmed passages."""
-    step, width = 4, 4 * WINDOW
+    """Rows (shard, segment, words, n) sorted by shard: spans of words in a segment that confirmed passages cover."""
+    width = WORD * WINDOW
+    out = pa.schema([("shard", pa.int64()), ("segment", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
+
+    def letters(raw: bytes) -> tuple[int, ...]:
+        return tuple(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, WORD)[:, :4]).view("<u4")[:, 0].tolist())
 
-    def stream(segments: list[tuple[bytes, list]], passages: set[bytes]) -> Iterator[pa.RecordBatch]:
+    def stream(segments: list[tuple[int, int, bytes]], passages: set[bytes]) -> Iterator[pa.RecordBatch]:
         if not passages:
             return
         machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         for p in passages:
-            machine.add_word(tuple(np.frombuffer(p, np.uint32).tolist()), len(p) // step)
+            machine.add_word(letters(p), len(p) // WORD)
         machine.make_automaton()
-        k1, k2, at, end = [], [], [], []
-        for raw, places in segments:
+        rows = []
+        for shard, segment, raw in segments:
             spans: list[list[int]] = []
-            for last, n in machine.iter(tuple(np.frombuffer(raw, np.uint32).tolist())):
+            for last, n in machine.iter(letters(raw)):
                 a, b = last - n + 1, last + 1
+                if raw[WORD * a : WORD * b] not in passages:  # equal in 32 bits of each word only
+                    continue
                 while spans and spans[-1][1] >= a:
                     a = min(a, spans.pop()[0])
                 spans.append([a, b])
-            for a, b in spans:
-                for p in places:
-                    k1.append(p["k1"])
-                    k2.append(p["k2"])
-                    at.append(p["at"] + a)
-                    end.append(p["at"] + b)
-        if k1:
-            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(at, pa.int32()), pa.array(end, pa.int32())], names=["k1", "k2", "at", "end"])
-
-    def confirmed(group: dict[bytes, list]) -> set[bytes]:
+            if spans:
+                rows.append({"shard": shard, "segment": segment, "spans": [{"a": a, "b": b} for a, b in spans]})
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=out)
+
+    def confirmed(group: dict[bytes, list[int]]) -> set[bytes]:
         """Runs of windows that have two or more places."""
         counts: dict[bytes, int] = {}
-        for raw, places in group.items():
-            times = sum(p["n"] for p in places)
-            for i in range(0, len(raw) - width + 1, step):
+        for raw, (_, times) in group.items():
+            for i in range(0, len(raw) - width + 1, WORD):
                 w = raw[i : i + width]
                 counts[w] = counts.get(w, 0) + times
-        out = set()
+        found = set()
         for raw in group:
             start = None
-            for i in range(0, len(raw) - width + step + 1, step):
+            for i in range(0, len(raw) - width + WORD + 1, WORD):
                 again = i <= len(raw) - width and counts[raw[i : i + width]] > 1
                 if again and start is None:
                     start = i
                 elif not again and start is not None:
-                    out.add(raw[start : i - step + width])
+                    found.add(raw[start : i - WORD + width])
                     start = None
-        return out
+        return found
 
-    group: dict[bytes, list] = {}
+    group: dict[bytes, list[int]] = {}  # distinct segments of one shard: their number and count
     shard = None
-    segments: list[tuple[bytes, list]] = []
+    segments: list[tuple[int, int, bytes]] = []
     passages: set[bytes] = set()
     n_words = 0
+
+    def close() -> None:
+        nonlocal n_words
+        if len(group) > 1 or any(times > 1 or len(raw) > width for raw, (_, times) in group.items()):
+            new = confirmed(group)
+            if new:
+                passages.update(new)
+                n_words += sum(map(len, new)) // WORD
+                segments.extend((shard, segment, raw) for raw, (segment, _) in group.items())
+
     for b in batches:
-        for key, raw, places in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+        for key, segment, raw, times in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             if key != shard:
-                if group and (len(group) > 1 or sum(p["n"] for v in group.values() for p in v) > 1 or any(len(r) > width for r in group)):
-                    passages |= (new := confirmed(group))
-                    n_words += sum(map(len, new)) // step
-                    if new:
-                        segments += group.items()
+                close()
                 group, shard = {}, key
                 if n_words > MAX_PATTERN_WORDS:
                     yield from stream(segments, passages)
                     segments, passages, n_words = [], set(), 0
-            group.setdefault(raw, []).extend(places)
-    passages |= (new := confirmed(group))
-    if new:
-        segments += group.items()
+            group.setdefault(raw, [segment, 0])[1] += times
+    close()
     yield from stream(segments, passages)
 
 
@@ -277,9 +309,12 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     very = [r["anchor"] for r in twice.filter(F.col("n") > max(HOT, places // 10_000)).select("anchor").collect()]  # at most 10,000
     recurring = spark.sparkContext.broadcast(bit_set(twice.select("anchor"), n))
     hot = spark.sparkContext.broadcast(frozenset(very))
-    segments = texts.mapInArrow(_segments(recurring, hot), "shard long, words binary, places array<struct<k1:long,k2:long,at:int,n:int>>")
-    found = segments.repartition("shard").sortWithinPartitions("shard").mapInArrow(_locate, "k1 long, k2 long, at int, end int")
-    return found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("at", "end"))).alias("spans"))
+    segments = materialize(texts.mapInArrow(_segments(recurring, hot), "shard long, segment long, words binary, n long, places array<struct<k1:long,k2:long,at:int>>"), "substrings-segments")
+    distinct = segments.select("shard", "segment", "words", "n").repartition("shard").sortWithinPartitions("shard")
+    covered = distinct.mapInArrow(_locate, "shard long, segment long, spans array<struct<a:int,b:int>>")
+    each = segments.select("shard", "segment", "places").join(covered, ["shard", "segment"]).select("spans", F.explode("places").alias("p"))
+    spans = each.select("p.k1", "p.k2", F.explode(F.transform("spans", lambda s: F.struct((F.col("p.at") + s["a"]).alias("at"), (F.col("p.at") + s["b"]).alias("end")))).alias("s"))
+    return spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("s")).alias("spans"))
 
 
 def _joined(words: list[bytes], digest: bool) -> str:
@@ -299,7 +334,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts without spans are done; the others keep their text for the join with theirs."""
-        for b in batches:
+        for b in byte_slices(batches):
             texts = b.column(1).to_pylist()
             keys = [text_key(t) for t in texts]
             maybe = may_hold(covered.value, np.array([k for k, _ in keys], np.int64).view(_U64)) if n else np.zeros(len(texts), bool)
@@ -320,7 +355,7 @@ def _finish(halves: DataFrame, spans: DataFrame, digest: bool) -> DataFrame:
     joined = halves.filter("text IS NOT NULL").select("doc_id", "text", "k1", "k2").join(spans, ["k1", "k2"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in byte_slices(batches):
             n_words, n_removed, kept = [], [], []
             for text, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = words_of(text)
