@@ -7,10 +7,12 @@ Links are found among distinct fingerprints, in tiles. The 64 bits are cut into
 fingerprints agree on some combination of blocks, since ``radius`` differing bits spoil at most
 ``radius`` blocks. Each combination deals the fingerprints into tiles by the agreeing bits, so tiles
 that can't hold a link are never paired, and the number of blocks follows the number of
-fingerprints. In a tile, all pairs are compared with numpy's exclusive-or and bit count. A tile
-larger than ``TILE`` is split by population count, and only those pairs of parts are compared
-whose population counts differ by no more than the radius. A comparison passes on a spanning forest
-of its links, never all pairs. Classes come from distributed star contraction.
+fingerprints. Fingerprints that agree are sorted by population count and cut into tiles of ``STEP``;
+two tiles are compared, by numpy's exclusive-or and bit count, only if their population counts come
+within the radius of each other (in groups of up to ``SMALL`` each fingerprint is a tile). Groups larger
+than ``TILE`` are first dealt over tasks by population count, pairs of parts beyond the radius left
+out. A comparison passes on a spanning forest of its links, never all pairs. Classes come from
+distributed star contraction.
 """
 
 from __future__ import annotations
@@ -26,9 +28,15 @@ from pyspark.sql import functions as F
 
 from packetloom.llm._common import arrow_map, free_name, materialize, table
 
-#: Fingerprints in a tile before it is split by population count.
+#: Fingerprints that agree on some blocks before they are dealt over tasks by population count.
 TILE = 4096
-_ROWS = 1 << 20  # cells of one exclusive-or
+#: Fingerprints of a tile, and of a group that is compared one by one.
+STEP = 256
+SMALL = 48
+#: Most rounds of star contraction; it takes about the logarithm of the longest chain.
+ROUNDS = 64
+#: Rows whose keys are broadcast to filter documents in place; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -93,23 +101,32 @@ class _Forest:
                 self.root = up
 
 
-def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forest over the links of one tile (right None) or between two tiles: arrays of linked classes' members and roots."""
+def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Forest over the links of one group (right None) or between two: linked fingerprints, their roots, and the number of tile pairs compared."""
+    by_count = lambda f: f[np.argsort(np.bitwise_count(f), kind="stable")]
+    left = by_count(left)
+    right = None if right is None else by_count(right)
     every = left if right is None else np.concatenate([left, right])
-    forest, n = _Forest(len(every)), len(left)
     other = every if right is None else right
-    step = max(1, _ROWS // max(1, len(other)))
-    for at in range(0, n, step):
-        rows = left[at : at + step]
-        first = at + 1 if right is None else 0
-        cols = other[first:] if right is None else other
-        near = np.bitwise_count(rows[:, None] ^ cols[None, :]) <= radius
-        i, j = np.nonzero(near)
-        i, j = i + at, j + (first if right is None else n)
-        keep = i < j
-        forest.join(i[keep], j[keep])
+    forest, shift, compared = _Forest(len(every)), 0 if right is None else len(left), 0
+    count, other_count = np.bitwise_count(left).astype(int), np.bitwise_count(other).astype(int)
+    for at in range(0, len(left), STEP):
+        rows = left[at : at + STEP]
+        lo, hi = count[at] - radius, count[min(at + STEP, len(left)) - 1] + radius
+        first = at if right is None else 0  # a pair within one group is compared once
+        for to in range(first, len(other), STEP):
+            end = min(to + STEP, len(other)) - 1
+            if other_count[to] > hi:
+                break
+            if other_count[end] < lo:
+                continue
+            compared += 1
+            i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ other[None, to : end + 1]) <= radius)
+            i, j = i + at, j + to + shift
+            keep = i < j
+            forest.join(i[keep], j[keep])
     member = np.flatnonzero(forest.root != np.arange(len(every)))
-    return every[member], every[forest.root[member]]
+    return every[member], every[forest.root[member]], compared
 
 
 def _compare(radius: int):  # noqa: ANN202
@@ -123,12 +140,13 @@ def _compare(radius: int):  # noqa: ANN202
             starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, int)
             sizes = np.diff(np.append(starts, len(k)))
             a, b = [], []
-            small = sizes <= 48
+            small = sizes <= SMALL
             many = np.repeat(small, sizes)
             ks, fs = k[many], f[many]
-            for d in range(1, int(sizes[small].max(initial=1))):  # all small tiles at once: members d apart
-                same = (ks[d:] == ks[:-d]) & (np.bitwise_count(fs[d:] ^ fs[:-d]) <= radius)
-                at = np.flatnonzero(same)
+            pops = np.bitwise_count(fs).astype(np.int8)
+            for d in range(1, int(sizes[small].max(initial=1))):  # all small groups at once: members d apart
+                at = np.flatnonzero((ks[d:] == ks[:-d]) & (np.abs(pops[d:] - pops[:-d]) <= radius))
+                at = at[np.bitwise_count(fs[at + d] ^ fs[at]) <= radius]
                 a.append(fs[at])
                 b.append(fs[at + d])
             if a and sum(map(len, a)):
@@ -141,7 +159,7 @@ def _compare(radius: int):  # noqa: ANN202
             for at, n in zip(starts[~small], sizes[~small], strict=True):
                 ft, st = f[at : at + n], s[at : at + n]
                 two = st.any()
-                x, y = tile_links(ft[st == 0] if two else ft, ft[st == 1] if two else None, radius)
+                x, y, _ = tile_links(ft[st == 0] if two else ft, ft[st == 1] if two else None, radius)
                 a.append(x)
                 b.append(y)
             if a and sum(map(len, a)):
@@ -193,18 +211,19 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """node, root (the least node of its component) for all nodes of edges (a, b), by large-star and small-star steps."""
     e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     last = None
-    for _ in range(64):
+    for _ in range(ROUNDS):
+        # aggregates are written before they are joined, so that a hub's rows can be split over tasks
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
+        large = materialize(both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
         e = materialize(small, name)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         last = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    raise RuntimeError(f"components not settled after {ROUNDS} rounds")
 
 
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
@@ -218,24 +237,35 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
     found = components(link_fingerprints(fps.select("fp"), fps.count(), radius), "simhash-cc")
     rooted = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    rooted = materialize(rooted, "simhash-rooted")
+    named = materialize(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-named")
     label = materialize(rooted.join(named, "root").select("fp", "root", "component_id"), "simhash-labels")
     return rows.join(label, "fp").select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("root").alias("class_root"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """docs with one row for each class: that with the least doc_id, and of several with that id the one with the least text hash."""
-    first = simhash_classes(docs, id_col, text_col, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    texts = first.groupBy("class_root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
-    keep = texts.groupBy("class_root", F.col("doc_id").alias("_keep_id")).agg(F.min(F.struct("text_hash", "times")).alias("x")).select("_keep_id", F.col("x.text_hash").alias("_keep_hash"), F.col("x.times").alias("_times"))
-    keep = materialize(keep, "simhash-keep")
+    """docs with one row for each class: that with the least doc_id, and of several with that id the one with the least text hash.
+
+    Texts without words (null, empty) are one class. Of rows equal in id and text one stays. An empty
+    table stays empty. Documents never move: the keys of the rows that go are broadcast, up to
+    BROADCAST_ROWS of them.
+    """
+    rows = materialize(simhash_classes(docs, id_col, text_col, radius).select("doc_id", "text_hash", "component_id", "class_root"), "simhash-rows")
+    texts = materialize(rows.groupBy("class_root", "component_id", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times")), "simhash-texts")
+    first = texts.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("class_root").agg(F.min("text_hash").alias("first_hash"))
+    first = materialize(first, "simhash-first")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))
+    judged = texts.join(first, "class_root").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), "times", stays.alias("stays"))
+    gone = materialize(judged.filter("not stays OR times > 1"), "simhash-gone")
     name = free_name(docs, "_hash")
     hashed = docs.withColumn(name, F.xxhash64(text_col)).alias("d")
-    match = F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("k._keep_id")) & (F.col(f"d.`{name}`") == F.col("k._keep_hash"))
-    out = hashed.join(keep.filter("_times = 1").alias("k"), match, "left_semi").drop(name)
-    repeated = keep.filter("_times > 1")
+    match = F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("k._id")) & (F.col(f"d.`{name}`") == F.col("k._text"))
+    few = gone.count() <= BROADCAST_ROWS
+    keys = gone.select("_id", "_text").alias("k")
+    out = hashed.join(F.broadcast(keys) if few else keys, match, "left_anti").drop(name)
+    repeated = gone.filter("stays")
     if not repeated.isEmpty():
-        out = out.unionByName(hashed.join(repeated.alias("k"), match, "left_semi").dropDuplicates([id_col, name]).drop(name))
+        out = out.unionByName(hashed.join(repeated.select("_id", "_text").alias("k"), match, "left_semi").dropDuplicates([id_col, name]).drop(name))
     return out
 
 

@@ -77,6 +77,30 @@ def test_links_in_tiles(spark, monkeypatch, tile):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, slow.values()))
 
 
+def test_tiles_are_skipped_by_population_count(monkeypatch):
+    """Tile pairs whose counts lie beyond the radius are never compared, and no link is lost."""
+    monkeypatch.setattr(simhash, "STEP", 8)
+    rng = np.random.default_rng(1)
+    fps = np.unique(np.concatenate([np.array([sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for _ in range(20)], np.uint64) for k in range(2, 60, 4)]))
+    fps = np.unique(np.concatenate([fps, fps[::3] ^ np.uint64(5)]))
+    want = {(int(a), int(b)) for i, a in enumerate(fps) for b in fps[i + 1 :] if int(a ^ b).bit_count() <= 4}
+    x, y, compared = simhash.tile_links(fps, None, 4)
+    group = {int(f): int(f) for f in fps}
+    for a, b in zip(x.tolist(), y.tolist(), strict=True):
+        group[a] = group[b] if b in group else b
+    assert all(group[a] == group[b] for a, b in want) and want
+    tiles = -(-len(fps) // 8)
+    assert compared < tiles * (tiles + 1) / 2 / 3
+    x, y, _ = simhash.tile_links(fps[::2], fps[1::2], 4)
+    assert len(x) > 0
+
+
+def test_components_raise_when_not_settled(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="not settled"):
+        simhash.components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"))
+
+
 @pytest.mark.parametrize("n", [100, 1 << 23, 1 << 31])
 def test_masks_cover_the_radius(n):
     masks = [m & (2**64 - 1) for m in simhash.block_masks(n, 4)]
