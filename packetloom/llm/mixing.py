@@ -19,21 +19,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from packetloom.llm._common import materialize, table
 
 MAX_COPIES = 3
 #: Documents that one group holds, about; a source of more is dealt over salts.
 GROUP = 4096
+#: Most rounds of the filling of targets, and most bytes of the table of sources that is broadcast.
+FILL_ROUNDS = 200
+BROADCAST_BYTES = 32 << 20
 #: Groups whose open documents meet in one group of the next level.
 FAN_IN = 64
 
 
 def water_fill(sizes: list[int], weights: list[float], cap: float = MAX_COPIES) -> list[float]:
-    """Targets that share the sum of sizes by weight, none above cap times its size: what is above is shared again."""
+    """Targets that share the sum of sizes by weight, none above cap times its size: what is above is shared again (the plain way, for tests)."""
     target, open_, left = [0.0] * len(sizes), list(range(len(sizes))), float(sum(sizes))
     while open_:
         unit = left / sum(weights[i] for i in open_)
@@ -49,17 +51,41 @@ def water_fill(sizes: list[int], weights: list[float], cap: float = MAX_COPIES)
     return target
 
 
-def targets(sized: DataFrame) -> tuple[DataFrame, int]:
-    """source, source_no, source_size, target, salts of each source of sized (source, size), and the number of sources.
+def _ranked(sources: DataFrame) -> DataFrame:
+    """sources with source_no, their rank by code point (null last): sorted in ranges, each range numbered from the number of rows before it."""
+    ranged = sources.repartitionByRange(F.asc_nulls_last("source")).withColumn("range", F.spark_partition_id())
+    ranged = materialize(ranged, "mixing-ranges")
+    counts = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}  # one row for each task of the sort
+    before, at = [], 0
+    for k in sorted(counts):
+        before += [F.lit(k), F.lit(at).cast("long")]
+        at += counts[k]
+    w = Window.partitionBy("range").orderBy(F.asc_nulls_last("source"))
+    start = F.create_map(*before)[F.col("range")] if before else F.lit(0).cast("long")
+    return ranged.withColumn("source_no", start + F.row_number().over(w) - 1).drop("range")
 
-    The table of sources is held by the driver: it has a row for each source, not for each document.
+
+def targets(sized: DataFrame) -> DataFrame:
+    """source, source_no, source_size, target, salts of each source of sized (source, size).
+
+    Sources stay distributed. The level to which targets fill is found by Newton's method, one sum
+    over the sources a round: sources above MAX_COPIES times their size are left at that, the others share the rest.
     """
-    spark = sized.sparkSession
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).collect()
-    rows.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
-    got = water_fill([r["size"] for r in rows], [1.0 + i % 3 for i in range(len(rows))])
-    schema = "source string, source_no int, source_size long, target double, salts int"
-    return spark.createDataFrame([(r["source"], i, r["size"], t, max(1, -(-r["docs"] // GROUP))) for i, (r, t) in enumerate(zip(rows, got, strict=True))], schema), len(rows)
+    sums = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")), "mixing-sources")
+    ranked = materialize(_ranked(sums).withColumn("weight", 1 + F.col("source_no") % 3), "mixing-ranked")
+    cap = F.col("source_size") * MAX_COPIES
+    total = ranked.agg(F.sum("source_size")).first()[0] or 0
+    unit, last = 0.0, -1
+    for _ in range(FILL_ROUNDS):
+        over = F.col("weight") * F.lit(unit) > cap if unit else F.lit(False)
+        weight, full, n = ranked.agg(F.sum(F.when(~over, F.col("weight"))), F.sum(F.when(over, cap)), F.sum(over.cast("long"))).first()
+        if n == last or not weight:
+            break
+        unit, last = (total - (full or 0)) / weight, n
+    else:
+        raise RuntimeError(f"targets not settled after {FILL_ROUNDS} rounds")
+    target = F.least(F.col("weight") * F.lit(float(unit)), cap.cast("double")) if last is not None and unit else F.lit(0.0)
+    return ranked.select("source", "source_no", "source_size", target.alias("target"), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("docs") / GROUP)).cast("int").alias("salts"))
 
 
 def _coin(key: int, other: int) -> float:
@@ -75,7 +101,7 @@ class _Pivot:
     def add(self, index: int, key: int, size: int, p: float) -> list[tuple[int, int]]:
         """Meets the open document with another; gives (index, 0 or 1) of those that were settled."""
         if size == 0 or p <= 1e-12 or p >= 1 - 1e-12:
-            return [(index, int(p > 0.5))]
+            return [(index, int(size > 0 and p > 0.5))]
         if self.open is None:
             self.open = (index, key, size, p)
             return []
@@ -94,8 +120,8 @@ class _Pivot:
         return done
 
 
-_COLUMNS = "row long, key long, source_no int, salt int, size long, p double, whole int, extra int"
-_OUT = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("source_no", pa.int32()), ("salt", pa.int32()), ("size", pa.int64()), ("p", pa.float64()), ("whole", pa.int32()), ("extra", pa.int32())])
+_COLUMNS = "row long, key long, source_no long, salt int, size long, p double, whole int, extra int"
+_OUT = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("source_no", pa.int64()), ("salt", pa.int32()), ("size", pa.int64()), ("p", pa.float64()), ("whole", pa.int32()), ("extra", pa.int32())])
 
 
 def _settle(group: tuple[str, ...], last: bool):  # noqa: ANN202
@@ -114,7 +140,7 @@ def _settle(group: tuple[str, ...], last: bool):  # noqa: ANN202
             pivot.open, held = None, None
             return out
 
-        for b in batches:
+        for b in batches:  # a few numbers a row
             done: list[tuple] = []
             rows = list(zip(*(b.column(i).to_pylist() for i in range(len(_OUT))), strict=True))
             at = {n: i for i, n in enumerate(b.schema.names)}
@@ -144,20 +170,22 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """The columns carry of docs (default: all), size, source_size, target and copies (0 to MAX_COPIES), by how often the mix takes each row.
 
     Null texts and texts without words have size 0 and are taken as often as the whole part says.
-    A null source is a source of its own, the last. Rows with the same id and size are settled apart.
+    A null source is a source of its own, the last. Rows with the same id, size and text are settled
+    apart, in any order. An empty table gives none.
     """
     size = F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")
     rest = F.struct(*[c for c in carry or docs.columns if c not in {"_size", "_source_size", "_target", "_copies"}])
-    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), rest.alias("rest"))
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"), rest.alias("rest"))
     slim = materialize(slim, "mixing-sized")
-    per_source, n = targets(slim)
+    per_source = materialize(targets(slim), "mixing-targets")
     numbered = per_source.withColumnRenamed("source", "s")
-    numbered = F.broadcast(numbered) if n <= 100_000 else numbered
-    rows = slim.select("row", "id", "source", "size").join(numbered, F.col("source").eqNullSafe(F.col("s")))
+    size_of = per_source.agg(F.sum(F.octet_length(F.coalesce("source", F.lit(""))).cast("long") + 64)).first()[0] or 0
+    numbered = F.broadcast(numbered) if size_of <= BROADCAST_BYTES else numbered
+    rows = slim.select("row", "id", "source", "size", "hash").join(numbered, F.col("source").eqNullSafe(F.col("s")))
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(MAX_COPIES)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     whole = F.floor(rate + 1e-12).cast("int")
     rows = rows.select(
-        "row", F.xxhash64("id", "size").alias("key"), "source_no",
+        "row", F.xxhash64("id", "size", "hash").alias("key"), "source_no",
         F.pmod(F.xxhash64("id", F.lit("salt")), F.col("salts")).cast("int").alias("salt"), "size", F.greatest(F.lit(0.0), rate - whole).alias("p"), whole.alias("whole"), F.lit(None).cast("int").alias("extra"),
         "source_size", "target",
     )

@@ -1,8 +1,10 @@
 """Decontamination, near-duplicates, repeated passages, mixing and fingerprints."""
 
 import hashlib
+import math
 import random
 import re
+import struct
 
 import numpy as np
 import pytest
@@ -237,6 +239,80 @@ def test_mixing(spark, docs_of, monkeypatch):
     assert mixing.copies(docs.limit(0)).count() == 0
 
 
+def spark_hash(*parts):
+    """Spark's xxhash64 of longs and strings, each seeded by the hash before it."""
+    h = 42
+    for p in parts:
+        h = h if p is None else xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else struct.pack("<q", p), h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def slow_copies(rows):
+    """Pivotal rounding the plain way: (id, text) -> copies."""
+    size = [len((t or "").split()) for _, t, _, _ in rows]
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    total = [sum(n for n, r in zip(size, rows, strict=True) if r[3] == s) for s in names]
+    target = mixing.water_fill(total, [1 + i % 3 for i in range(len(names))])
+    out, open_ = {}, {}
+    for (i, t, _, s), n in zip(rows, size, strict=True):
+        k = names.index(s)
+        rate = min(3.0, target[k] / total[k]) if total[k] else 0.0
+        whole = math.floor(rate + 1e-12)
+        salts = -(-sum(r[3] == s for r in rows) // mixing.GROUP)
+        key, text = spark_hash(str(i), n, spark_hash(t)), (i, t)
+        out[text] = whole
+        open_.setdefault((k, spark_hash(str(i), "salt") % salts), []).append([-n, key, n, max(0.0, rate - whole), text])
+    most = max(-(-sum(r[3] == s for r in rows) // mixing.GROUP) for s in names)
+    while True:
+        left = {}
+        for (k, salt), group in open_.items():
+            held = None
+            for x in sorted(group, key=lambda x: x[:2]):
+                if x[2] == 0 or x[3] <= 1e-12 or x[3] >= 1 - 1e-12:
+                    out[x[4]] += int(x[2] > 0 and x[3] > 0.5)
+                    continue
+                if held is None:
+                    held = x
+                    continue
+                up, down = min((1 - held[3]) * held[2], x[3] * x[2]), min(held[3] * held[2], (1 - x[3]) * x[2])
+                move = up if xxhash.xxh64_intdigest(f"{held[1]}:{x[1]}", 11) / 2**64 * (up + down) < down else -down
+                held[3], x[3] = held[3] + move / held[2], x[3] - move / x[2]
+                pair = [held, x]
+                for y in pair:
+                    if y[3] <= 1e-9 or y[3] >= 1 - 1e-9:
+                        out[y[4]] += int(y[3] > 0.5)
+                held = next((y for y in pair if 1e-9 < y[3] < 1 - 1e-9), None)
+            if held is not None:
+                if most == 1:
+                    out[held[4]] += int(held[3] >= 0.5)
+                else:
+                    left.setdefault((k, salt // mixing.FAN_IN), []).append(held)
+        if most == 1:
+            return out
+        open_, most = left, -(-most // mixing.FAN_IN)
+
+
+def test_mixing_is_pivotal_rounding(docs_of, monkeypatch):
+    """Row by row the same as the plain way, over several levels of the tree."""
+    monkeypatch.setattr(mixing, "GROUP", 20)
+    monkeypatch.setattr(mixing, "FAN_IN", 3)
+    rng = random.Random(8)
+    rows = [(i, prose(i, rng.randrange(0, 60)) or None, "en", rng.choice(["b", "a", "a", "c", "é", None])) for i in range(400)]
+    rows = [(i, t if t else None, lang, s) for i, t, lang, s in rows] + [(900 + i, "w " * 5, "en", "tiny") for i in range(3)]
+    got = {(r["doc_id"], r["text"]): r["_copies"] for r in mixing.copies(docs_of(rows)).collect()}
+    assert got == slow_copies(rows)
+
+
+@pytest.mark.parametrize("sizes", [[5, 500, 7, 80, 1], [1000, 10, 10], [0, 0, 3], [0], list(range(1, 40))])
+def test_targets_in_spark(spark, sizes):
+    """Ranks and targets as water_fill gives them; null comes last."""
+    names = [*[f"s{i:03}" for i in range(len(sizes) - 1)], None]
+    rows = spark.createDataFrame([(n, k) for n, k in zip(names, sizes, strict=True) for _ in range(2)], "source string, size long")
+    got = sorted(mixing.targets(rows).collect(), key=lambda r: r["source_no"])
+    assert [r["source"] for r in got] == names and [r["source_no"] for r in got] == list(range(len(names)))
+    assert [r["target"] for r in got] == pytest.approx(mixing.water_fill([2 * k for k in sizes], [1 + i % 3 for i in range(len(sizes))]))
+
+
 # --- fingerprints
 
 
