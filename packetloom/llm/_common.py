@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
+_made: list[tuple[SparkSession, str]] = []  # written tables, in order
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,26 +36,43 @@ def work_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
+        warnings.warn("spark.checkpoint.dir is not set: intermediate tables go to a temporary folder of this machine", stacklevel=3)
         _local[app] = "file://" + tempfile.mkdtemp(prefix="packetloom-")
     return _local[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: a cut of the lineage that outlives lost executors."""
+    """Writes df to the shared folder and reads it back: a cut of the lineage that outlives lost executors.
+
+    Tables go when drop_tables is called, and when Python ends.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def tables_made() -> int:
+    """Number of tables written so far, for drop_tables."""
+    return len(_made)
 
-    def remove() -> None:
+
+def drop_tables(since: int, *keep: DataFrame) -> None:
+    """Removes the tables written since then, but for those that materialize gave as keep. What still has to be computed from others is lost."""
+    stay = {df._table_path for df in keep}
+    for spark, path in [t for t in _made[since:] if t[1] not in stay]:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # noqa: BLE001 - the session may have ended before Python does
-            return
+            continue
+    _made[since:] = [t for t in _made[since:] if t[1] in stay]
+
 
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+atexit.register(drop_tables, 0)
 
 
 def crc_mod(id_col: str | Column, n: int) -> Column:

@@ -213,7 +213,11 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mix: each row of docs as often as it is taken, with the number of the copy (_copy, from 1, in place of a column of that name)."""
+    """The mix: each row of docs as often as it is taken, with the number of the copy (_copy, from 1, in place of a column of that name).
+
+    Columns of docs that are named as those of copies give way. Nulls, empty texts, repeats and empty
+    tables are as in copies.
+    """
     got = copies(docs).filter("_copies > 0")
     own = {"_copy", "_size", "_source_size", "_target", "_copies"}
     return got.select(*[c for c in docs.columns if c not in own], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))

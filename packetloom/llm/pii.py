@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.llm._common import arrow_map, table
+from packetloom.llm._common import arrow_map, byte_slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -49,7 +49,7 @@ _SPELLED_PART = re.compile(rf"plus[ -]+|{_WORDY}|[0-9]+|[ \-,.]+", re.I)
 _BRACKET_AT = re.compile(r"\s?[\[({<]\s?(?:at|@|arroba)\s?[\])}>]\s?", re.I)
 _BRACKET_DOT = re.compile(r"\s?[\[({<]\s?(?:dot|\.|punkt|punto|point)\s?[\])}>]\s?", re.I)
 # bare words count only as a whole address: name at host dot ending
-_BARE = re.compile(r"(?<![\w.%+-])([A-Za-z0-9_%+-]{1,64}(?:(?: dot |\.)[A-Za-z0-9_%+-]{1,64}){0,4})( at |@)([A-Za-z0-9-]{1,63}(?:(?: dot |\.)[A-Za-z0-9-]{2,63}){1,4})(?![\w-])", re.I)
+_BARE = re.compile(r"(?<![\w.%+-])(?<![\w%+-] dot )([A-Za-z0-9_%+-]++(?:(?: dot |\.)[A-Za-z0-9_%+-]++)*+)( at |@)([A-Za-z0-9-]++(?:(?: dot |\.)[A-Za-z0-9-]{2,}+)++)(?![\w-])", re.I)
 _BARE_IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?:(?: dot |\.)[0-9]{1,3}){3}(?![\w])", re.I)
 _BARE_DOT = re.compile(r" dot ", re.I)
 
@@ -224,12 +224,16 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with personal data replaced in text_col, and length_col (if there is one) set to the new length."""
+    """docs with personal data replaced in text_col, and length_col (if there is one) set to the new length.
+
+    One row for each input row, repeats included, in docs' columns. A null text stays null and its
+    length becomes null; an empty one stays empty; an empty table stays empty.
+    """
     at = docs.columns.index(text_col)
     named = docs.toDF(*map(str, range(len(docs.columns))))
 
     def run(batches):  # noqa: ANN001, ANN202
-        for b in batches:
+        for b in byte_slices(batches):
             cols = list(b.columns)
             cols[at] = pa.array([redact_text(t) for t in cols[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=list(b.schema.names))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm._common import arrow_map, free_name, materialize, table
+from packetloom.llm._common import arrow_map, drop_tables, free_name, materialize, table, tables_made
 
 #: Fingerprints that agree on some blocks before they are dealt over tasks by population count.
 TILE = 4096
@@ -209,6 +209,7 @@ def _hot_tiles(rows: DataFrame, radius: int) -> DataFrame:
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """node, root (the least node of its component) for all nodes of edges (a, b), by large-star and small-star steps."""
+    since = tables_made()
     e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     last = None
     for _ in range(ROUNDS):
@@ -219,6 +220,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
         e = materialize(small, name)
+        drop_tables(since, e)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
