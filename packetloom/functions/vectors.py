@@ -62,12 +62,22 @@ def bark_cos(i: Column, n: int, rate: int, size: int) -> Column:
 
 
 def imdct(x: Column, half: int) -> Column:
-    """2 * half values from half, by the definition."""
+    """2 * half values from half, by the definition.
+
+    cos(pi / half * (n + 1/2 + half / 2) * (k + 1/2)) has the period 8 * half in (2n + 1 + half)(2k + 1), so one
+    period of cosines is a constant array and each term a product with one of its values. With the
+    symmetries of the two halves, half of the sums are enough.
+    """
+    waves = F.array(*[F.lit(math.cos(math.pi * j / (4 * half))) for j in range(8 * half)])
+
     def value(n: Column) -> Column:
-        term = lambda v, k: v.cast("double") * F.cos(F.lit(math.pi / half) * (n + 0.5 + half / 2) * (k + 0.5))
-        return F.aggregate(F.transform(x, term), F.lit(0.0), lambda a, t: a + t)
+        odd = 2 * n + (1 + half)
+        return F.aggregate(F.zip_with(x, F.sequence(F.lit(0), F.lit(half - 1)), lambda v, k: v.cast("double") * F.get(waves, F.pmod(odd * (2 * k + 1), F.lit(8 * half)))), F.lit(0.0), lambda a, t: a + t)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(2 * half - 1)), value)
+    # y[half - 1 - n] = -y[n] in the first half, y[3 * half - 1 - n] = y[n] in the second
+    quarter, third = F.sequence(F.lit(0), F.lit(half // 2 - 1)), F.sequence(F.lit(half), F.lit(half + half // 2 - 1))
+    left, right = F.transform(quarter, value), F.transform(third, value)
+    return F.element_at(F.transform(F.array(F.struct(left.alias("l"), right.alias("r"))), lambda s: F.concat(s["l"], F.transform(F.reverse(s["l"]), lambda v: -v), s["r"], F.reverse(s["r"]))), 1)
 
 
 def overlap_add(fresh: Column, before: Column, slope: Column) -> Column:
@@ -87,9 +97,9 @@ def eps_mismatch(a: Column, b: Column, eps: float) -> Column:
     return F.size(F.filter(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: F.abs(x - y)), lambda d: d >= eps))
 
 
-def block_geometry(n: Column, short: int, long: Column, prev_long: Column, next_long: Column) -> Column:
+def block_geometry(n: Column, short: int | Column, long: Column, prev_long: Column, next_long: Column) -> Column:
     """Struct of left, left_end, right and end of a block (see operators.decode.block_shape)."""
-    q = F.lit(short // 4)
+    q = F.lit(short // 4) if isinstance(short, int) else F.floor(short / 4).cast("int")
     div = lambda x, k: F.floor(x / k).cast("int")
     narrow_left, narrow_right = long & ~prev_long, long & ~next_long
     return F.struct(

@@ -10,19 +10,20 @@ class EndOfPacket(Exception):
 
 
 class BitReader:
-    """Reads a packet held as one integer."""
+    """Reads a packet; each read looks at the bytes that hold its bits alone, so its time doesn't grow with the packet."""
+
+    __slots__ = ("at", "data", "size")
 
     def __init__(self, data: bytes) -> None:
-        self.value, self.size, self.at = int.from_bytes(data, "little"), 8 * len(data), 0
+        self.data, self.size, self.at = data, 8 * len(data), 0
 
     def read(self, n: int) -> int:
         """Unsigned field of n bits; no bits: 0, nothing consumed."""
-        end = self.at + n
+        at, end = self.at, self.at + n
         if end > self.size:
             raise EndOfPacket
-        out = (self.value >> self.at) & ((1 << n) - 1)
         self.at = end
-        return out
+        return int.from_bytes(self.data[at >> 3 : (end + 7) >> 3], "little") >> (at & 7) & ((1 << n) - 1)
 
     def signed(self, n: int) -> int:
         return sign_extend(self.read(n), n)
@@ -35,7 +36,8 @@ class BitReader:
 
     def peek(self, n: int) -> int:
         """The next n bits, zeros beyond the end; nothing consumed."""
-        return (self.value >> self.at) & ((1 << n) - 1)
+        at = self.at
+        return int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7) & ((1 << n) - 1)
 
     def advance(self, n: int) -> None:
         if self.at + n > self.size:

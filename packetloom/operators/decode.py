@@ -214,11 +214,12 @@ def _read_partition(bits: BitReader, res: Residue, book, out: np.ndarray, at: in
             out[at + i : at + i + dims * stride : stride] += book.read_vector(bits)
         return
     done = 0
-    while done < size and dims:
+    while done < size and dims:  # whole vectors: the last may reach beyond the partition, but not beyond the end
         v = book.read_vector(bits)
-        take = min(dims, size - done)
-        out[at + done : at + done + take] += v[:take]
-        done += take
+        if at + done + dims > len(out):
+            return
+        out[at + done : at + done + dims] += v
+        done += dims
 
 
 def inverse_couple(m: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from packetloom.functions import vectors
+from packetloom.functions import bits, vectors
 from packetloom.operators.codebook import BadHeader
 from packetloom.operators.decode import BadAudio, Block, decode_packet, overlap, shape_of
-from packetloom.operators.headers import Floor0, Ident, Setup, read_comments, read_ident, read_setup, split_extradata
+from packetloom.operators.headers import MAGIC, Floor0, Ident, Setup, read_comments, read_ident, read_setup, split_extradata
 from packetloom.plans import timeline
 from packetloom.sources.ogg import own_packets
 
-#: Packets that one task decodes in a row; the packet before them is decoded again for its kept half.
+#: Packets that one task decodes in a row. They are led by the last TAIL packets before them, of which one is decoded again for its kept half.
 BUCKET = 4096
+TAIL = 16
+#: Samples of an output batch, about.
+CHUNK = 1 << 19
 
 
 class PacketDecoder:
@@ -146,91 +151,183 @@ def setup_summary(packets: DataFrame) -> DataFrame:
     return _parsed(header_packets(packets), some, schema, "file string, link_idx int, part string, idx int, kind int, detail string")
 
 
-_ROW = [*_KEY, ("bucket", pa.int64()), ("kind", pa.int8()), ("pkt_idx", pa.int64()), ("data", pa.binary()), ("ident", pa.binary()), ("setup", pa.binary()), ("absgp_page", pa.int64()), ("last_in_page", pa.bool_()), ("last_in_stream", pa.bool_())]
-_SHAPE_DDL = "file string, link_idx int, pkt_idx long, status string, sample_rate long, n int, samples int, absgp_page long, last_in_page boolean, last_in_stream boolean"
-_OUT = pa.schema([*_KEY, ("pkt_idx", pa.int64()), ("status", pa.string()), ("sample_rate", pa.int64()), ("n", pa.int32()), ("samples", pa.int32()), ("absgp_page", pa.int64()), ("last_in_page", pa.bool_()), ("last_in_stream", pa.bool_()), ("planar", pa.list_(pa.list_(pa.float32())))])
+#: The first error of a link's headers, or ok, and what the first bits of its packets are read with.
+_LINK_DDL = "file string, link_idx int, sample_rate long, bs0 int, bs1 int, longs array<boolean>, link_status string"
 
 
-def _dealt(packets: DataFrame) -> DataFrame:
-    """Audio packets by bucket, each bucket led by its link's headers and the packet before it."""
-    own = own_packets(packets)
-    audio = own.filter("pkt_idx >= 3").withColumn("bucket", F.floor((F.col("pkt_idx") - 3) / BUCKET))
-    extra = audio.filter((F.col("pkt_idx") - 3) % BUCKET == BUCKET - 1).withColumn("bucket", F.col("bucket") + 1).withColumn("kind", F.lit(1).cast("byte"))
-    head = header_packets(packets).join(audio.select("file", "link_idx", "bucket").distinct(), ["file", "link_idx"])
+def link_table(packets: DataFrame) -> DataFrame:
+    """file, link_idx, sample_rate, bs0, bs1 (exponents of the block sizes), longs (by mode: long blocks?), link_status."""
+
+    def one(r: dict) -> list[dict]:
+        status, ident, setup = _header_status(r)
+        known = {"sample_rate": ident.rate, "bs0": ident.bs0, "bs1": ident.bs1, "longs": [long for long, _ in setup.modes]} if setup else {}
+        return [{"file": r["file"], "link_idx": r["link_idx"], "sample_rate": None, "bs0": None, "bs1": None, "longs": None, "link_status": status} | known]
+
+    schema = pa.schema([*_KEY, ("sample_rate", pa.int64()), ("bs0", pa.int32()), ("bs1", pa.int32()), ("longs", pa.list_(pa.bool_())), ("link_status", pa.string())])
+    return _parsed(header_packets(packets), one, schema, _LINK_DDL)
+
+
+def packet_kind(data: Column) -> Column:
+    """audio, ident, comment, setup, or the error of a packet's first bytes."""
+    first = F.hex(F.substring(data, 1, 7))
+    kind = F.conv(F.substring(first, 1, 2), 16, 10).cast("int")
+    named = F.create_map(*[x for k, v in ((1, "ident"), (3, "comment"), (5, "setup")) for x in (F.lit(k), F.lit(v))])[kind]
+    return F.when(F.length(data) == 0, "EndOfPacket").when(kind % 2 == 0, "audio").when(F.substring(first, 3, 12) == MAGIC.hex().upper(), F.coalesce(named, F.lit("HeaderBadType"))).otherwise("NotVorbisHeader")
+
+
+def shapes(packets: DataFrame) -> DataFrame:
+    """file, link_idx, pkt_idx, status, sample_rate, n, samples, position and page columns of every audio packet, from its first three bytes.
+
+    samples are those that decoding gives, cut at the end of the stream; position is that after the
+    packet, null while unknown. Packets that fail only in their body count as if they decoded. All
+    is done with functions on columns; only the headers are parsed in Python.
+    """
+    keys = ["file", "link_idx"]
+    own = own_packets(packets).filter("pkt_idx >= 3")
+    heads = own.select(*keys, "pkt_idx", F.rpad(F.hex(F.substring("data", 1, 3)), 6, "0").alias("hex"), (8 * F.length("data")).alias("bits"), "absgp_page", "last_in_page", "last_in_stream")
+    byte = lambda i: F.conv(F.substring("hex", 2 * i + 1, 2), 16, 10).cast("long")
+    rows = heads.join(link_table(packets), keys, "left").withColumn("v", byte(0) + byte(1) * 256 + byte(2) * 65536)
+    rows = rows.withColumn("w", bits.ilog(F.size("longs") - 1))
+    at = lambda skip, width: F.pmod(F.floor(F.col("v") / F.pow(F.lit(2), skip)), F.pow(F.lit(2), width)).cast("int")
+    rows = rows.withColumn("mode", at(F.lit(1), F.col("w")))
+    rows = rows.withColumn("long", F.coalesce(F.get("longs", F.col("mode")), F.lit(False)))
+    known = F.when(F.coalesce("link_status", F.lit("EndOfPacket")) != "ok", F.coalesce("link_status", F.lit("EndOfPacket")))
+    known = known.when(F.col("bits") == 0, "EndOfPacket").when(F.col("v") % 2 == 1, "AudioIsHeader").when(F.col("bits") < 1 + F.col("w"), "EndOfPacket")
+    known = known.when(F.col("mode") >= F.size("longs"), "AudioBadFormat").when(F.col("long") & (F.col("bits") < 3 + F.col("w")), "EndOfPacket")
+    rows = rows.withColumn("head", known)
+    short, one = F.pow(F.lit(2), F.col("bs0")).cast("int"), F.lit(1)
+    n = F.when(F.col("head").isNull(), F.when(F.col("long"), F.pow(F.lit(2), F.col("bs1"))).otherwise(F.pow(F.lit(2), F.col("bs0"))).cast("int"))
+    rows = rows.withColumn("n", n).withColumn("g", vectors.block_geometry(F.col("n"), short, F.col("long"), F.col("long") & (at(1 + F.col("w"), one) == 1), F.col("long") & (at(2 + F.col("w"), one) == 1)))
+    good = F.col("head").isNull()
+    past = Window.partitionBy(*keys).orderBy("pkt_idx").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.last(F.when(good, F.col("g.end") - F.col("g.right")), ignorenulls=True).over(past))
+    rows = rows.withColumn("violates", F.col("before") > F.col("g.left_end") - F.col("g.left"))
+    rows = timeline.slope_status(rows, keys, "pkt_idx", "violates", good)
+    rows = rows.withColumn("status", F.coalesce("head", "status"))
+    count = F.when((F.col("status") == "ok") & F.col("before").isNotNull() & ~F.col("restarts"), F.col("g.right") - F.col("g.left")).otherwise(0)
+    rows = rows.withColumn("count", count)
+    ends = (F.col("status") == "ok") & F.col("last_in_page") & F.col("absgp_page").isNotNull()
+    rows = timeline.position(rows, keys, "pkt_idx", F.col("count"), ends, F.col("absgp_page"))
+    known_before = F.lag("position").over(Window.partitionBy(*keys).orderBy("pkt_idx"))
+    stay = timeline.end_trim(F.col("count"), known_before, F.col("absgp_page"), F.col("last_in_stream")).cast("int")
+    return rows.select(*keys, "pkt_idx", "status", "sample_rate", F.coalesce("n", F.lit(0)).alias("n"), stay.alias("samples"), "position", "absgp_page", "last_in_page", "last_in_stream")
+
+
+_INFO = [("status", pa.string()), ("sample_rate", pa.int64()), ("n", pa.int32()), ("samples", pa.int32()), ("position", pa.int64()), ("absgp_page", pa.int64()), ("last_in_page", pa.bool_()), ("last_in_stream", pa.bool_())]
+_SHAPE_DDL = "file string, link_idx int, pkt_idx long, status string, sample_rate long, n int, samples int, position long, absgp_page long, last_in_page boolean, last_in_stream boolean"
+_FLAT = pa.schema([*_KEY, ("pkt_idx", pa.int64()), *_INFO])
+
+
+def _dealt(packets: DataFrame, info: DataFrame) -> DataFrame:
+    """Audio packets by bucket, each with its row of info before it; a bucket is led by its link's headers and the TAIL packets before it."""
+    keys = ["file", "link_idx"]
+    bucket, in_bucket = F.floor((F.col("pkt_idx") - 3) / BUCKET), F.pmod(F.col("pkt_idx") - 3, F.lit(BUCKET))
+
+    def both(rows: DataFrame, *cols: Column) -> DataFrame:
+        """Each row in its own bucket (section 2), the last ones also in the next (section 1)."""
+        here = F.struct(bucket.alias("bucket"), F.lit(2).alias("section"))
+        there = F.struct((bucket + 1).alias("bucket"), F.lit(1).alias("section"))
+        at = F.explode(F.when(in_bucket >= BUCKET - TAIL, F.array(here, there)).otherwise(F.array(here))).alias("b")
+        return rows.select(*keys, "pkt_idx", *cols, at).select(*keys, "b.bucket", "b.section", "pkt_idx", "info", "data", "ident", "setup")
+
     none = lambda t: F.lit(None).cast(t)
-    names = [n for n, _ in _ROW]
-    head = head.select("file", "link_idx", "bucket", F.lit(0).cast("byte").alias("kind"), F.lit(-1).cast("long").alias("pkt_idx"), none("binary").alias("data"), "ident", "setup", none("long").alias("absgp_page"), none("boolean").alias("last_in_page"), none("boolean").alias("last_in_stream"))
-    audio = audio.withColumn("kind", F.lit(2).cast("byte")).unionByName(extra).withColumn("ident", none("binary")).withColumn("setup", none("binary")).select(*names)
-    return head.unionByName(audio).repartition("file", "link_idx", "bucket").sortWithinPartitions("file", "link_idx", "bucket", "kind", "pkt_idx")
+    struct = "struct<" + ", ".join(f.replace(" ", ":", 1).strip() for f in _SHAPE_DDL.split(", ")[3:]) + ">"
+    facts = both(info, F.struct(*[n for n, _ in _INFO]).cast(struct).alias("info"), none("binary").alias("data"), none("binary").alias("ident"), none("binary").alias("setup"))
+    audio = both(own_packets(packets).filter("pkt_idx >= 3"), none(struct).alias("info"), F.col("data"), none("binary").alias("ident"), none("binary").alias("setup"))
+    used = own_packets(packets).filter("pkt_idx >= 3").select(*keys, bucket.alias("bucket")).distinct()
+    head = header_packets(packets).join(used, keys).select(*keys, "bucket", F.lit(0).alias("section"), F.lit(-1).cast("long").alias("pkt_idx"), none(struct).alias("info"), none("binary").alias("data"), "ident", "setup")
+    rows = head.unionByName(facts).unionByName(audio).withColumn("second", F.col("info").isNull())
+    return rows.repartition(*keys, "bucket").sortWithinPartitions(*keys, "bucket", "section", "pkt_idx", "second").drop("bucket", "second")
 
 
-def _run(whole: bool):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder: PacketDecoder | None = None
-        fault, first = "", True
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                if r["kind"] == 0:
-                    first = True
-                    try:
-                        decoder, fault = PacketDecoder.from_headers(r["ident"] or b"", r["setup"] or b""), ""
-                    except BadHeader as e:
-                        decoder, fault = None, str(e)
-                    continue
-                if r["kind"] == 1:
-                    first = False
+@lru_cache(maxsize=32)
+def _decoder(ident: bytes, setup: bytes) -> PacketDecoder | None:
+    try:
+        return PacketDecoder.from_headers(ident, setup)
+    except BadHeader:
+        return None
+
+
+def _planar(blocks: list[np.ndarray]) -> pa.Array:
+    """List of channels of samples, built from the blocks' own memory."""
+    sizes = [n for b in blocks for n in [b.shape[1]] * len(b)]
+    flat = np.concatenate([b.ravel() for b in blocks]) if blocks else np.zeros(0, np.float32)
+    inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.astype(np.float32, copy=False)))
+    outer = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(outer), inner)
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    decoder: PacketDecoder | None = None
+    info: dict | None = None
+    primer: bytes | None = None
+    rows: list[dict] = []
+    pcm: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal rows, pcm, size
+        flat = pa.RecordBatch.from_pylist(rows, schema=_FLAT)
+        out = pa.RecordBatch.from_arrays([*flat.columns, _planar(pcm)], names=[*_FLAT.names, "planar"])
+        rows, pcm, size = [], [], 0
+        return out
+
+    nothing = np.zeros((0, 0), np.float32)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            for r in batch.slice(at, 512).to_pylist():
+                if r["section"] == 0:
+                    decoder, info, primer = _decoder(r["ident"] or b"", r["setup"] or b""), None, None
                     if decoder:
-                        decoder.prime(r["data"])
+                        decoder.reset()
                     continue
-                got = {k: r[k] for k in ("file", "link_idx", "pkt_idx", "absgp_page", "last_in_page", "last_in_stream")} | {"status": fault or "ok", "sample_rate": decoder.ident.rate if decoder else None, "n": 0, "samples": 0, "planar": []}
-                if decoder:
+                if r["info"] is not None:
+                    info = r["info"]
+                    continue
+                if r["section"] == 1:  # the last packet that decodes leaves its half, one that fails at its slope none
+                    if info["status"] == "ok":
+                        primer = r["data"]
+                    elif info["n"]:
+                        primer = None
+                    continue
+                if primer is not None and decoder:
+                    decoder.prime(primer)
+                primer = None
+                got, block = {k: r[k] for k in ("file", "link_idx", "pkt_idx")} | info, nothing
+                if decoder and got["status"] == "ok":
                     try:
-                        s = shape_of(r["data"], decoder.ident, decoder.setup)
-                        got["n"] = s.n
-                        if whole:
-                            pcm = decoder.decode(r["data"])
-                            got["samples"], got["planar"] = pcm.shape[1], [c.tolist() for c in pcm]
-                        else:
-                            got["samples"] = 0 if first else s.right - s.left
-                        first = False
+                        block = decoder.decode(r["data"])[:, : got["samples"]]
                     except BadAudio as e:
-                        got["status"] = str(e)
-                out.append(got)
-            schema = _OUT if whole else _OUT.remove(len(_OUT) - 1)
-            yield pa.RecordBatch.from_pylist([{k: x[k] for k in schema.names} for x in out], schema=schema)
+                        got["status"], block = str(e), nothing
+                    got["samples"] = block.shape[1]
+                elif decoder and got["n"]:
+                    decoder.reset()
+                rows.append(got)
+                pcm.append(block)
+                size += block.size
+                if size > CHUNK:
+                    yield flush()
+    if rows:
+        yield flush()
 
-    return run
+
+def _samples(packets: DataFrame, info: DataFrame) -> DataFrame:
+    return _dealt(packets, info).mapInArrow(_decode, _SHAPE_DDL + ", planar array<array<float>>")
 
 
 def decode(packets: DataFrame, fail_fast: bool = False) -> DataFrame:
-    """Samples of every audio packet: status, and planar (channels of floats; none for the first packet and for bad ones).
+    """Samples of every audio packet with its position: status, and planar (channels of floats; none for the first packet and for bad ones).
 
-    With fail_fast the first bad packet raises instead.
+    The last packet of a link is cut to its end, if the position before it is known. Positions and
+    lengths are those of shapes, computed before decoding, so samples are never shuffled. With
+    fail_fast the first bad packet raises instead.
     """
-    out = _dealt(packets).mapInArrow(_run(True), _SHAPE_DDL + ", planar array<array<float>>")
+    out = _samples(packets, shapes(packets))
     if fail_fast:
         out = out.withColumn("status", F.when(F.col("status") != "ok", F.raise_error(F.concat(F.lit("packet "), F.col("pkt_idx").cast("string"), F.lit(": "), F.col("status")))).otherwise(F.col("status")))
     return out
 
 
-def shapes(packets: DataFrame) -> DataFrame:
-    """As decode, without samples: only the first bits of each packet are read."""
-    return _dealt(packets).mapInArrow(_run(False), _SHAPE_DDL)
-
-
-def positioned(samples: DataFrame) -> DataFrame:
-    """Adds position (after each packet, samples per channel; null while unknown) and cuts the last packet of each link to its end."""
-    keys = ["file", "link_idx"]
-    ends = F.col("last_in_page") & F.col("absgp_page").isNotNull()
-    out = timeline.position(samples, keys, "pkt_idx", F.col("samples"), ends, F.col("absgp_page"))
-    before = F.lag("position").over(Window.partitionBy(*keys).orderBy("pkt_idx"))
-    out = out.withColumn("_stay", timeline.end_trim(F.col("samples"), before, F.col("absgp_page"), F.col("last_in_stream")).cast("int"))
-    if "planar" in samples.columns:
-        out = out.withColumn("planar", F.transform("planar", lambda c: F.slice(c, F.lit(1), F.col("_stay"))))
-    return out.withColumn("samples", F.col("_stay")).drop("_stay")
-
-
 def as_i16(samples: DataFrame, interleaved: bool = False) -> DataFrame:
     """planar as 16-bit samples, or (interleaved) one array."""
     out = samples.withColumn("planar", F.transform("planar", lambda c: F.transform(c, vectors.quantize)))
@@ -240,15 +337,22 @@ def as_i16(samples: DataFrame, interleaved: bool = False) -> DataFrame:
 
 
 def skip(packets: DataFrame, n: int) -> DataFrame:
-    """Samples of each link from sample n on, decoding no more than the packet before it."""
-    counts = shapes(packets)
-    hit = timeline.skip_samples(counts, ["file", "link_idx"], "pkt_idx", F.col("samples"), n)
-    start = hit.groupBy("file", "link_idx").agg(F.min("pkt_idx").alias("_from"), F.max(F.when(F.col("role") == "target", F.col("pkt_idx"))).alias("_at"), F.max("leftover").alias("_left"))
-    kept = own_packets(packets).join(start, ["file", "link_idx"]).filter((F.col("pkt_idx") < 3) | (F.col("pkt_idx") >= F.col("_from"))).drop("_from", "_at", "_left")
-    out = decode(kept).join(start, ["file", "link_idx"]).filter(F.col("pkt_idx") >= F.col("_at"))
+    """As decode from sample n of each link on, decoding no more than the packet before it; leftover is 0.
+
+    A link of no more than n samples has one row with status EndOfStream and what is left to skip as leftover.
+    """
+    keys = ["file", "link_idx"]
+    info = shapes(packets)
+    hit = timeline.skip_samples(info.filter("n > 0"), keys, "pkt_idx", F.col("samples"), n)
+    start = hit.groupBy(*keys).agg(F.min("pkt_idx").alias("_from"), F.max(F.when(F.col("role") == "target", F.col("pkt_idx"))).alias("_at"), F.max("leftover").alias("_left"))
+    kept = own_packets(packets).join(start, keys).filter((F.col("pkt_idx") < 3) | (F.col("pkt_idx") >= F.col("_from"))).drop("_from", "_at", "_left")
+    cut_info = info.join(start, keys).filter(F.col("pkt_idx") >= F.col("_from")).drop("_from", "_at", "_left")
+    out = _samples(kept, cut_info).join(start, keys).filter(F.col("pkt_idx") >= F.col("_at"))
     cut = F.when(F.col("pkt_idx") == F.col("_at"), F.col("_left")).otherwise(0).cast("int")
     out = out.withColumn("planar", F.transform("planar", lambda c: F.slice(c, cut + 1, F.greatest(F.size(c) - cut, F.lit(0)))))
-    return out.withColumn("samples", F.col("samples") - cut).drop("_from", "_at", "_left")
+    out = out.withColumn("samples", F.col("samples") - cut).drop("_from", "_at", "_left").withColumn("leftover", F.lit(0).cast("long"))
+    short = info.groupBy(*keys).agg(F.sum("samples").alias("_all")).filter(F.col("_all") <= n).select(*keys, F.lit("EndOfStream").alias("status"), F.lit(0).alias("samples"), (n - F.col("_all")).alias("leftover"))
+    return out.unionByName(short, allowMissingColumns=True)
 
 
 def seek(packets: DataFrame, target: int) -> DataFrame:
@@ -264,13 +368,13 @@ def durations(packets: DataFrame) -> DataFrame:
     return s.groupBy("file").agg(F.sum("packets").alias("packets"), F.sum("seconds").alias("seconds"))
 
 
-def synthetic_files(spark: SparkSession, files: int = 4, n_packets: int = 40) -> DataFrame:
-    """path, content of small made-up files, made by the tasks."""
+def synthetic_files(spark: SparkSession, files: int = 4, n_packets: int = 40, **options: int) -> DataFrame:
+    """path, content of made-up files, made by the tasks; options go to made_up."""
     from packetloom.sources.synth import made_up
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([f"made-up-{i}.ogg" for i in ids]), pa.array([made_up(i, n_packets) for i in ids], pa.binary())], names=["path", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"made-up-{i}.ogg" for i in ids]), pa.array([made_up(i, n_packets, **options) for i in ids], pa.binary())], names=["path", "content"])
 
     return spark.range(files).mapInArrow(make, "path string, content binary")

@@ -494,9 +494,9 @@ def ogg_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ogg_decode_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded, positioned, trimmed and interleaved 16-bit samples of made-up files."""
-    from packetloom.plans.decode import as_i16, decode, positioned
+    from packetloom.plans.decode import as_i16, decode
 
-    return as_i16(positioned(decode(_made_up(spark))), interleaved=True)
+    return as_i16(decode(_made_up(spark)), interleaved=True)
 
 
 @query()

@@ -58,7 +58,7 @@ def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
         n = pcm.shape[1]
         if r.last_in_stream and position is not None and not pd.isna(r.absgp_page):
             n = min(n, max(0, int(r.absgp_page) - position))
-        if r.last_in_page and not pd.isna(r.absgp_page):
+        if status == "ok" and r.last_in_page and not pd.isna(r.absgp_page):
             position = int(r.absgp_page)
         elif position is not None:
             position += n

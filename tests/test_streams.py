@@ -62,7 +62,7 @@ def test_packet_over_pages_and_foreign_serials():
 
 
 def test_decode_matches_plain_python(spark, packets):
-    got = plan.positioned(plan.decode(packets)).cache()
+    got = plan.decode(packets).cache()
     for i in range(6):
         for link, want in reference_decode(synth.made_up(i, 30)).items():
             assert np.array_equal(gathered(got.filter((F.col("file") == f"made-up-{i}.ogg") & (F.col("link_idx") == link))), want)
@@ -142,6 +142,6 @@ def test_files_source_and_streaming(spark, tmp_path):
         batch.coalesce(1).write.mode("append").parquet(str(table))
         q.processAllAvailable()
     q.stop()
-    want = plan.positioned(plan.decode(direct)).select("file", "link_idx", "pkt_idx", "samples", "planar", "position")
+    want = plan.decode(direct).select("file", "link_idx", "pkt_idx", "samples", "planar", "position")
     got = spark.table("decoded").select("file", "link_idx", "pkt_idx", "samples", "planar", "position")
     assert got.count() == want.count() and got.drop("position").exceptAll(want.drop("position")).count() == 0
