@@ -53,7 +53,7 @@ def _book(w: BitWriter, dims: int, lengths: list[int], lookup: tuple[int, float,
         w.put(v, 4)
 
 
-def setup_header(channels: int = 2, floor: int = 1, residue: int = 2, coupling: bool = True) -> bytes:
+def setup_header(channels: int = 2, floor: int = 1, residue: int = 2, coupling: bool = True, partition: int = 8) -> bytes:
     """Five books, one floor, one residue, a mapping for each block size's mode."""
     w = BitWriter()
     w.put(4, 8)
@@ -73,7 +73,7 @@ def setup_header(channels: int = 2, floor: int = 1, residue: int = 2, coupling:
         w.put(1, 2).put(7, 4)
         for x in (12, 40, 25, 90):
             w.put(x, 7)
-    w.put(0, 6).put(residue, 16).put(0, 24).put(96, 24).put(7, 24).put(1, 6).put(0, 8)
+    w.put(0, 6).put(residue, 16).put(0, 24).put(96, 24).put(partition - 1, 24).put(1, 6).put(0, 8)
     w.put(1, 3).put(0, 1).put(3, 3).put(0, 1)  # class 0: pass 0; class 1: passes 0 and 1
     w.put(1, 8).put(1, 8).put(1, 8)
     w.put(0, 6).put(0, 16).put(0, 1)
