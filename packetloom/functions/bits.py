@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 
 def low_mask(n: int | Column) -> Column:
-    return (F.lit(1).cast("long") if isinstance(n, int) else F.lit(1).cast("long")) * F.pow(F.lit(2), F.lit(n) if isinstance(n, int) else n).cast("long") - 1
+    return F.pow(F.lit(2), F.lit(n) if isinstance(n, int) else n).cast("long") - 1
+
+
+def byte_mask(n: Column) -> Column:
+    """As low_mask, but 0 stands for a whole byte."""
+    return F.when(n == 0, F.lit(255).cast("long")).otherwise(low_mask(n))
 
 
 def bit_field(x: Column, at: int, width: int) -> Column:
@@ -15,6 +20,11 @@ def bit_field(x: Column, at: int, width: int) -> Column:
     return F.shiftright(x.cast("long"), at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
+def field_of(x: Column, at: Column, width: Column) -> Column:
+    """As bit_field, with a place and a width (up to 31) for each row; no width: 0."""
+    return F.pmod(F.floor(x.cast("decimal(20,0)") / F.pow(F.lit(2), at).cast("decimal(20,0)")).cast("long"), F.pow(F.lit(2), width).cast("long"))
+
+
 def sign_extend(x: Column, width: int) -> Column:
     """The low width bits as a signed number."""
     return F.shiftright(F.shiftleft(x.cast("long"), 64 - width), 64 - width)
@@ -53,3 +63,9 @@ def render_point(x0: Column, y0: Column, x1: Column, y1: Column, x: Column) -> C
     """Integer line from (x0, y0) to (x1, y1) at x, truncated towards y0."""
     step = F.floor((F.abs(y1 - y0) * (x - x0)) / (x1 - x0)).cast("long")
     return F.when(y1 >= y0, y0 + step).otherwise(y0 - step)
+
+
+def prefix_neighbor(seen: Column, x: Column, low: bool) -> tuple[Column, Column]:
+    """The nearest smaller (or larger) value among those seen before x, and its place, the first of equal ones; null without one."""
+    found = F.array_max(F.filter(seen, lambda v: v < x)) if low else F.array_min(F.filter(seen, lambda v: v > x))
+    return found, F.array_position(seen, found) - 1

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 
 def tolerance_diff(a: DataFrame, b: DataFrame, keys: list[str], at: str, value: str, packet: str, tolerance: float) -> DataFrame:
-    """keys, packets, differing, percent: packets of a with a sample that b lacks or has farther off than the tolerance."""
-    other = b.select(*keys, F.col(at), F.col(value).alias("_other"))
-    joined = a.join(other, [*keys, at], "left")
-    far = F.col("_other").isNull() | (F.abs(F.col(value) - F.col("_other")) > tolerance)
-    each = joined.groupBy(*keys, packet).agg(F.max(far.cast("int")).alias("_far"))
-    return each.groupBy(*keys).agg(F.count(F.lit(1)).alias("packets"), F.sum("_far").alias("differing"), (F.avg("_far") * 100).alias("percent"))
+    """keys, packets, differing, percent, extra: packets of a with a sample that b lacks or has farther off than the tolerance, and the samples that only b has."""
+    mine = a.select(*keys, at, packet, F.col(value).alias("_value"), F.lit(True).alias("_mine"))
+    joined = mine.join(b.select(*keys, at, F.col(value).alias("_other")), [*keys, at], "full")
+    far = F.col("_other").isNull() | (F.abs(F.col("_value") - F.col("_other")) > tolerance)
+    each = joined.groupBy(*keys, packet).agg(F.max(F.when(F.col("_mine"), far.cast("int"))).alias("_far"), F.sum(F.col("_mine").isNull().cast("long")).alias("_extra"))
+    return each.groupBy(*keys).agg(F.count("_far").alias("packets"), F.sum("_far").alias("differing"), (F.avg("_far") * 100).alias("percent"), F.sum("_extra").alias("extra"))
 
 
 def integrity(df: DataFrame, content: Column, expected: DataFrame, key: str) -> DataFrame:

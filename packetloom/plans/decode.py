@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions import bits, vectors
-from packetloom.operators.codebook import BadHeader
+from packetloom.operators.bits import BitReader, EndOfPacket
+from packetloom.operators.codebook import BadHeader, PrefixTable
 from packetloom.operators.decode import BadAudio, Block, decode_packet, overlap, shape_of
-from packetloom.operators.headers import MAGIC, Floor0, Ident, Setup, read_comments, read_ident, read_setup, split_extradata
+from packetloom.operators.headers import MAGIC, Floor0, Floor1, Ident, Setup, read_comments, read_ident, read_setup, split_extradata
 from packetloom.plans import timeline
 from packetloom.sources.ogg import own_packets
 
@@ -139,18 +140,65 @@ def codebooks(packets: DataFrame) -> DataFrame:
 def setup_summary(packets: DataFrame) -> DataFrame:
     """file, link_idx, part (floor, residue, mapping, mode), idx, kind, detail: the other tables of the setup header."""
 
+    def number_list(*values) -> str:  # noqa: ANN002
+        return " ".join("-" if v is None else str(v) for v in values)
+
+    def floor(f: Floor0 | Floor1) -> str:
+        if isinstance(f, Floor0):
+            return number_list(f.order, f.rate, f.map_size, f.amplitude_bits, f.amplitude_offset, *f.books)
+        return number_list(f.multiplier, *f.partitions) + "; " + number_list(*f.xs)
+
     def some(r: dict) -> list[dict]:
         s = _header_status(r)[2]
         if not s:
             return []
-        rows = [("floor", i, 0 if isinstance(f, Floor0) else 1, str(f)) for i, f in enumerate(s.floors)]
-        rows += [("residue", i, x.kind, str(x)) for i, x in enumerate(s.residues)] + [("mapping", i, 0, str(m)) for i, m in enumerate(s.mappings)] + [("mode", i, int(long), f"mapping={m}") for i, (long, m) in enumerate(s.modes)]
+        rows = [("floor", i, 0 if isinstance(f, Floor0) else 1, floor(f)) for i, f in enumerate(s.floors)]
+        rows += [("residue", i, x.kind, number_list(x.begin, x.end, x.partition, x.classes, x.classbook) + "; " + "; ".join(number_list(*c) for c in x.books)) for i, x in enumerate(s.residues)]
+        rows += [("mapping", i, 0, "; ".join(number_list(*x) for x in ([c for pair in m.coupling for c in pair], m.mux, m.floors, m.residues))) for i, m in enumerate(s.mappings)]
+        rows += [("mode", i, int(long), str(m)) for i, (long, m) in enumerate(s.modes)]
         return [{"file": r["file"], "link_idx": r["link_idx"], "part": p, "idx": i, "kind": k, "detail": d} for p, i, k, d in rows]
 
     schema = pa.schema([*_KEY, ("part", pa.string()), ("idx", pa.int32()), ("kind", pa.int32()), ("detail", pa.string())])
     return _parsed(header_packets(packets), some, schema, "file string, link_idx int, part string, idx int, kind int, detail string")
 
 
+def extradata(bundles: DataFrame) -> DataFrame:
+    """key, status, channels, sample_rate, sizes (bytes of the three headers) of header bundles (key, bundle)."""
+
+    def one(r: dict) -> list[dict]:
+        try:
+            heads = split_extradata(r["bundle"] or b"")
+            ident = read_ident(heads[0])
+            read_setup(heads[2], ident.channels)
+            return [{"key": r["key"], "status": "ok", "channels": ident.channels, "sample_rate": ident.rate, "sizes": [len(h) for h in heads]}]
+        except BadHeader as e:
+            return [{"key": r["key"], "status": str(e), "channels": None, "sample_rate": None, "sizes": None}]
+
+    schema = pa.schema([("key", pa.string()), ("status", pa.string()), ("channels", pa.int32()), ("sample_rate", pa.int64()), ("sizes", pa.list_(pa.int32()))])
+    return _parsed(bundles.select("key", "bundle"), one, schema, "key string, status string, channels int, sample_rate long, sizes array<int>")
+
+
+def read_symbols(rows: DataFrame, lengths: list[int], n: int) -> DataFrame:
+    """key, symbols, bits: the first n codewords of data (key, data) in the code of these lengths, up to the end of the data, and the bits they take."""
+
+    def one(r: dict, table: PrefixTable) -> dict:
+        bits, out = BitReader(r["data"] or b""), []
+        try:
+            while len(out) < n:
+                out.append(table.read(bits))
+        except EndOfPacket:
+            pass
+        return {"key": r["key"], "symbols": out, "bits": bits.at}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = PrefixTable(lengths)
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([one(r, table) for r in b.to_pylist()], schema=schema)
+
+    schema = pa.schema([("key", pa.int64()), ("symbols", pa.list_(pa.int32())), ("bits", pa.int32())])
+    return rows.select("key", "data").mapInArrow(run, "key long, symbols array<int>, bits int")
+
+
 #: The first error of a link's headers, or ok, and what the first bits of its packets are read with.
 _LINK_DDL = "file string, link_idx int, sample_rate long, bs0 int, bs1 int, longs array<boolean>, link_status string"
 
@@ -368,13 +416,20 @@ def durations(packets: DataFrame) -> DataFrame:
     return s.groupBy("file").agg(F.sum("packets").alias("packets"), F.sum("seconds").alias("seconds"))
 
 
-def synthetic_files(spark: SparkSession, files: int = 4, n_packets: int = 40, **options: int) -> DataFrame:
-    """path, content of made-up files, made by the tasks; options go to made_up."""
+def made_up_files(numbers: DataFrame, number: Column, n_packets: int = 40, **options: int) -> DataFrame:
+    """path, content of made-up files, made by the tasks: one for each id of numbers (id), its content that of made_up(number); options go there."""
     from packetloom.sources.synth import made_up
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        content = lru_cache(maxsize=8)(lambda k: made_up(k, n_packets, **options))
         for b in batches:
-            ids = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([f"made-up-{i}.ogg" for i in ids]), pa.array([made_up(i, n_packets, **options) for i in ids], pa.binary())], names=["path", "content"])
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                yield pa.RecordBatch.from_arrays([pa.array([f"made-up-{i}.ogg" for i in part.column(0).to_pylist()]), pa.array([content(k) for k in part.column(1).to_pylist()], pa.binary())], names=["path", "content"])
+
+    return numbers.select(F.col("id").cast("long"), number.cast("long").alias("number")).mapInArrow(make, "path string, content binary")
 
-    return spark.range(files).mapInArrow(make, "path string, content binary")
+
+def synthetic_files(spark: SparkSession, files: int = 4, n_packets: int = 40, **options: int) -> DataFrame:
+    """made_up_files, one for each number below files."""
+    return made_up_files(spark.range(files), F.col("id"), n_packets, **options)

@@ -33,3 +33,17 @@ def test_same_samples(floor, residue, channels, partition):
         assert np.allclose(got, want, rtol=1e-4, atol=1e-5 * max(1, np.abs(want).max(initial=0)))
         samples += np.count_nonzero(want)
     assert samples > 0 or (floor, channels) == (0, 2)  # two channels of random bits seldom both name a book
+
+
+def test_fixed_rows():
+    """The rows in queries.py are those of the plain reader and decoder."""
+    from plain_rows import book_rows, link_row, links_of
+
+    from packetloom import queries
+
+    rows = lambda text: [tuple(float(x) for x in line.strip("(), ").split(", ")) for line in text.strip().splitlines()]
+    contents = {k: links_of(synth.made_up(k)) for k in range(6)}
+    assert rows(queries.LINKS) == [link_row(k, i, link) for k, links in contents.items() for i, link in enumerate(links)]
+    for links in contents.values():
+        for _, _, packets in links:
+            assert rows(queries.BOOKS) == list(book_rows(Stream(packets[0][0], packets[2][0])))
