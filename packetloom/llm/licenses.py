@@ -238,3 +238,20 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licenses named in every document."""
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and base phrases of every document (-1 for places where there are none)."""
+    places = [F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in ("first_word", "last_word")]
+    return op5_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", *places, "base_labels")
+
+
+BASE_ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (
+  SELECT doc_id, w, [i FOR i IN range(1, len(w)) IF w[i] = 'mit' AND w[i + 1] = 'license'] AS mit, [i FOR i IN range(1, len(w)) IF w[i] = 'apache' AND w[i + 1] = 'license'] AS apache,
+    [i FOR i IN range(1, len(w) - 1) IF w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license'] AS gpl FROM d
+), a AS (SELECT *, mit || apache || gpl AS every FROM p)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(every) AS BIGINT) AS n_base, coalesce(list_min(every), 0) - 1 AS first_word, coalesce(list_max(every), 0) - 1 AS last_word,
+  concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels FROM a
+"""

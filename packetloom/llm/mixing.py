@@ -227,3 +227,22 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     got = copies(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return got.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).cast("long").alias("taken"))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document and its source, and the source's target."""
+    got = copies(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return got.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.round("_target", 4).alias("target"))
+
+
+# the level is that of the first source, by rising cap a weight, that it doesn't fill
+TARGETS_ORACLE = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size) AS n, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
+o AS (
+  SELECT 3.0 * n / w AS r, coalesce(sum(3 * n) OVER (ORDER BY 3.0 * n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+    sum(w) OVER (ORDER BY 3.0 * n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(n) OVER () AS total FROM s
+), u AS (SELECT CAST(total - filled AS DOUBLE) / CAST(rest AS DOUBLE) AS unit FROM o WHERE (total - filled) / rest <= r ORDER BY r LIMIT 1)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS source_size, round(least(w * unit, CAST(3 * n AS DOUBLE)), 4) AS target
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, u
+"""

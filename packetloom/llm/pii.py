@@ -246,3 +246,20 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     return detect(table(spark, sf_dir, "documents"))
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of plain identifiers of every document."""
+    return op1_pii(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in KINDS])
+
+
+BASE_ORACLE = r"""
+WITH m AS (
+  SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') AS ip,
+    [regexp_replace(x, '[^0-9]', '', 'g') FOR x IN regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+')] AS card, [regexp_replace(x, '[^0-9]', '', 'g') FOR x IN regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]')] AS phone
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+)
+SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email, CAST(len([x FOR x IN ip IF list_max([coalesce(try_cast(p AS HUGEINT), 999) FOR p IN string_split(x, '.')]) <= 255]) AS BIGINT) AS n_ip,
+  CAST(len([x FOR x IN card IF len(x) BETWEEN 13 AND 19 AND list_sum([CASE WHEN i % 2 = 0 THEN CAST(reverse(x)[i + 1] AS INTEGER) ELSE CAST(reverse(x)[i + 1] AS INTEGER) * 2 - CASE WHEN reverse(x)[i + 1] > '4' THEN 9 ELSE 0 END END FOR i IN range(len(x))]) % 10 = 0]) AS BIGINT) AS n_card,
+  CAST(len([x FOR x IN phone IF len(x) BETWEEN 9 AND 15]) AS BIGINT) AS n_phone FROM m
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import decontam
+from packetloom.llm import decontam, licenses, mixing, pii, substrings
 from packetloom.llm.decontam import op3_decontamination
 from packetloom.llm.html import op10_html_extraction
 from packetloom.llm.iblt import op9_fingerprints
@@ -29,6 +29,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_fingerprints": op9_fingerprints,
     "op10_html_extraction": op10_html_extraction,
+    # columns of the above that SQL can express
+    "pii_base": pii.pii_base,
+    "license_base": licenses.license_base,
+    "mixing_targets": mixing.mixing_targets,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontam.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": decontam.ORACLE,
+    "op6_substring_dedup": substrings.ORACLE,
+    "pii_base": pii.BASE_ORACLE,
+    "license_base": licenses.BASE_ORACLE,
+    "mixing_targets": mixing.TARGETS_ORACLE,
+}

@@ -13,7 +13,7 @@ COLUMNS = {
 }
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.startswith("op")))
 def test_rows_and_columns(spark, sf, name):
     df = QUERIES[name](spark, sf)
     assert set(COLUMNS[name.split("_")[0]].split()) <= set(df.columns)
@@ -32,7 +32,7 @@ def test_sql(spark, sf, name):
 
 
 def test_all_ten():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
 
 
 def test_pipeline_stages_keep_columns(spark, sf):
