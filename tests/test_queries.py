@@ -31,3 +31,25 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(queries.QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_optional_parts(monkeypatch):
+    """The engine's own queries stay when the training-data folder, or a library that it needs, is missing."""
+    import sys
+
+    import __spark_entry__
+
+    own = set(queries.QUERIES)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert set(__spark_entry__.queries()) == own and set(__spark_entry__.oracle_sql()) == set(queries.ORACLE_SQL)
+    monkeypatch.delitem(sys.modules, "corpus_pipeline")
+    for name in [m for m in sys.modules if m.startswith("packetloom.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    try:
+        import packetloom.llm  # noqa: F401
+    except ImportError:
+        return
+    with pytest.warns(UserWarning, match="left out"):
+        assert set(__spark_entry__.queries()) == own
