@@ -207,19 +207,27 @@ def _read_vectors(bits: BitReader, res: Residue, setup: Setup, used: list[bool],
 
 
 def _read_partition(bits: BitReader, res: Residue, book, out: np.ndarray, at: int) -> None:  # noqa: ANN001
+    """Reads the codewords of a partition, then adds their vectors at once; those read before the packet ends count."""
     size, dims = res.partition, book.dims
-    if res.kind == 0:
-        stride = size // dims if dims else 0
-        for i in range(stride):
-            out[at + i : at + i + dims * stride : stride] += book.read_vector(bits)
+    if not dims:
         return
-    done = 0
-    while done < size and dims:  # whole vectors: the last may reach beyond the partition, but not beyond the end
-        v = book.read_vector(bits)
-        if at + done + dims > len(out):
-            return
-        out[at + done : at + done + dims] += v
-        done += dims
+    strided = res.kind == 0
+    room = size // dims if strided else (len(out) - at) // dims
+    # whole vectors: the last of kinds 1 and 2 may reach beyond the partition, but one that reaches beyond the end is read and dropped
+    wanted = room if strided else min(-(-size // dims), room + 1)
+    entries: list[int] = []
+    try:
+        read = book.table.read
+        for _ in range(wanted):
+            entries.append(read(bits))
+    finally:
+        if n := min(len(entries), room):
+            found = book.vectors[entries[:n]]
+            if strided:
+                for j in range(dims):
+                    out[at + j * room : at + j * room + n] += found[:, j]
+            else:
+                out[at : at + n * dims] += found.ravel()
 
 
 def inverse_couple(m: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
