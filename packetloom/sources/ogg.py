@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 _MIRROR = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
@@ -120,36 +120,66 @@ def own_packets(all_packets: DataFrame) -> DataFrame:
     return all_packets.filter(F.col("link_idx").isNotNull())
 
 
+def _listed(root_path: str) -> list[tuple[int, str]]:
+    """(time of change in ns, path) of all files under a path, in that order."""
+    from pyarrow import fs
+
+    files, root = fs.FileSystem.from_uri(root_path) if "://" in root_path else (fs.LocalFileSystem(), root_path)
+    info = files.get_file_info(root)
+    found = [info] if info.is_file else files.get_file_info(fs.FileSelector(root, recursive=True))
+    prefix = root_path.split("://")[0] + "://" if "://" in root_path else ""
+    return sorted((f.mtime_ns or 0, prefix + f.path) for f in found if f.is_file)
+
+
 class _File(InputPartition):
     def __init__(self, path: str) -> None:
         self.path = path
 
 
+def _read_file(path: str) -> Iterator[tuple]:
+    from pyarrow import fs
+
+    files, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    with files.open_input_stream(inner) as f:
+        content = f.read()
+    for p in packets(content):
+        yield (path, *p.values())
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str) -> None:
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        from pyarrow import fs
-
-        files, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
-        info = files.get_file_info(root)
-        found = [info] if info.is_file else files.get_file_info(fs.FileSelector(root, recursive=True))
-        prefix = self.path.split("://")[0] + "://" if "://" in self.path else ""
-        return [_File(prefix + f.path) for f in found if f.is_file]
+        return [_File(path) for _, path in _listed(self.path)]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        from pyarrow import fs
+        return _read_file(partition.path)
 
-        files, path = fs.FileSystem.from_uri(partition.path) if "://" in partition.path else (fs.LocalFileSystem(), partition.path)
-        with files.open_input_stream(path) as f:
-            content = f.read()
-        for p in packets(content):
-            yield (partition.path, *p.values())
+
+class _StreamReader(DataSourceStreamReader):
+    """Files in the order of their change; an offset is the last file read. A file that appears with an older time than that is passed over."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"changed": -1, "path": ""}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        found = _listed(self.path)
+        return {"changed": found[-1][0], "path": found[-1][1]} if found else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        lo, hi = ((o["changed"], o["path"]) for o in (start, end))
+        return [_File(path) for changed, path in _listed(self.path) if lo < (changed, path) <= hi]
+
+    def read(self, partition: _File) -> Iterator[tuple]:
+        return _read_file(partition.path)
 
 
 class OggVorbisSource(DataSource):
-    """spark.dataSource.register(OggVorbisSource); spark.read.format("oggvorbis").load(path): one partition for each file."""
+    """spark.dataSource.register(OggVorbisSource); spark.read (or readStream) .format("oggvorbis").load(path): one partition for each file."""
 
     @classmethod
     def name(cls) -> str:
@@ -160,3 +190,6 @@ class OggVorbisSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
         return _Reader(self.options["path"])
+
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: ANN001, N802
+        return _StreamReader(self.options["path"])

@@ -145,3 +145,75 @@ def test_files_source_and_streaming(spark, tmp_path):
     want = plan.decode(direct).select("file", "link_idx", "pkt_idx", "samples", "planar", "position")
     got = spark.table("decoded").select("file", "link_idx", "pkt_idx", "samples", "planar", "position")
     assert got.count() == want.count() and got.drop("position").exceptAll(want.drop("position")).count() == 0
+
+
+def test_files_as_they_appear(spark, tmp_path):
+    """Both ways to follow a folder give every file once."""
+    src = tmp_path / "in"
+    src.mkdir()
+    spark.dataSource.register(ogg.OggVorbisSource)
+    streams = {"followed": spark.readStream.format("oggvorbis").load(str(src)), "binary": stream.files_stream(spark, f"file://{src}")}
+    started = []
+    (src / "0.ogg").write_bytes(synth.made_up(0, 12))
+    for name, df in streams.items():
+        started.append(df.writeStream.format("memory").queryName(name).outputMode("append").start())
+    for i in (1, 2):
+        for q in started:
+            q.processAllAvailable()
+        (src / f"{i}.ogg").write_bytes(synth.made_up(i, 12))
+    for q in started:
+        q.processAllAvailable()
+        q.stop()
+    want = ogg.read_packets(spark, str(src)).drop("file")
+    for name in streams:
+        got = spark.table(name).drop("file")
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_skip_trims_and_tells_what_is_left(packets):
+    n = plan.shapes(packets).groupBy("file", "link_idx").agg(F.sum("samples").alias("n")).collect()
+    most = max(r["n"] for r in n)
+    got = {(r["file"], r["link_idx"]): r for r in plan.skip(packets, most).collect()}
+    assert {k: r["leftover"] for k, r in got.items()} == {(r["file"], r["link_idx"]): most - r["n"] for r in n} and {r["status"] for r in got.values()} == {"EndOfStream"}
+    last = plan.skip(packets, 10).filter("last_in_stream").count()
+    assert last == len(n) and plan.skip(packets, 10).agg(F.sum("samples")).first()[0] == sum(max(0, r["n"] - 10) for r in n)
+
+
+def test_malformed_buckets_do_not_matter(packets, monkeypatch):
+    """Slope errors and bad packets around the borders of buckets leave status, samples and position as one pass over the link gives them."""
+    def broken(p):
+        return {7: b"\x01", 8: b"", 14: synth.BitWriter().put(0, 3).done(), 15: synth.BitWriter().put(0, 3).done(), 21: synth.BitWriter().put(0b0010, 4).done()}.get(p["pkt_idx"], p["data"])
+
+    change = F.udf(lambda i, d: broken({"pkt_idx": i, "data": d}), "binary")
+    bad = packets.withColumn("data", F.when(F.col("pkt_idx") >= 3, change("pkt_idx", "data")).otherwise(F.col("data"))).cache()
+    cols = ["file", "link_idx", "pkt_idx", "status", "samples", "position", "planar"]
+    want = {}
+    for r in sorted(ogg.own_packets(bad).collect(), key=lambda r: (r["file"], r["link_idx"], r["pkt_idx"])):
+        key = r["file"], r["link_idx"]
+        if r["pkt_idx"] < 3:
+            want.setdefault(key, {"heads": [], "rows": [], "position": None})["heads"].append(bytes(r["data"]))
+            continue
+        w = want[key]
+        w.setdefault("decoder", plan.PacketDecoder.from_headers(w["heads"][0], w["heads"][2]))
+        try:
+            pcm, status = w["decoder"].decode(bytes(r["data"])), "ok"
+            if r["last_in_stream"] and w["position"] is not None:
+                pcm = pcm[:, : max(0, r["absgp_page"] - w["position"])]
+            w["position"] = r["absgp_page"] if r["last_in_page"] else None if w["position"] is None else w["position"] + pcm.shape[1]
+        except plan.BadAudio as e:
+            pcm, status = None, str(e)
+        w["rows"].append((r["pkt_idx"], status, 0 if pcm is None else pcm.shape[1], w["position"]))
+    for bucket, tail in ((4096, 16), (5, 4)):
+        monkeypatch.setattr(plan, "BUCKET", bucket)
+        monkeypatch.setattr(plan, "TAIL", tail)
+        got = plan.decode(bad).select(*cols).collect()
+        for key, w in want.items():
+            assert sorted((r["pkt_idx"], r["status"], r["samples"], r["position"]) for r in got if (r["file"], r["link_idx"]) == key) == w["rows"]
+    assert any(s == "AudioBadFormat" for w in want.values() for _, s, _, _ in w["rows"])
+
+
+def test_samples_are_not_shuffled(packets):
+    text = plan.decode(packets)._jdf.queryExecution().toString()
+    physical = text[text.index("== Physical Plan ==") :]
+    kernel = next(i for i, line in enumerate(physical.splitlines()) if "MapInArrow" in line and "planar" in line)
+    assert not any("Exchange" in line for line in physical.splitlines()[:kernel])
