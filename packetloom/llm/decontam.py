@@ -65,8 +65,13 @@ def _scan(rows: DataFrame, windows: DataFrame, lens: list[int]) -> DataFrame:
     Words are hashed once; a window's hash is that of its words' hashes. The join with the broadcast
     windows finds them by hash and compares their words.
     """
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("w") - 1) / STRIDE).cast("int"))), lambda s: F.struct((s * STRIDE).alias("base"), F.slice("w", s * STRIDE + 1, F.lit(STRIDE + WINDOW - 1)).alias("w")))
-    stretches = rows.select("row", F.col("rest").alias("all"), F.size("w").alias("n_words"), F.explode(cut).alias("s")).select("row", F.when(F.col("s.base") == 0, F.col("all")).alias("rest"), "n_words", "s.base", "s.w", _hashed(F.col("s.w")).alias("v"))
+    cut = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("w") - 1) / STRIDE).cast("int"))),
+        lambda s: F.struct((s * STRIDE).alias("base"), F.slice("w", s * STRIDE + 1, F.lit(STRIDE + WINDOW - 1)).alias("w"))
+    )
+    stretches = rows.select("row", F.col("rest").alias("all"), F.size("w").alias("n_words"), F.explode(cut).alias("s")).select(
+        "row", F.when(F.col("s.base") == 0, F.col("all")).alias("rest"), "n_words", "s.base", "s.w", _hashed(F.col("s.w")).alias("v")
+    )
     none = F.array().cast("array<bigint>")
 
     def hashes(n: int) -> Column:
@@ -75,7 +80,9 @@ def _scan(rows: DataFrame, windows: DataFrame, lens: list[int]) -> DataFrame:
         return F.struct(F.lit(n).alias("n"), got.alias("hs"))
 
     first = F.struct(F.lit(0).alias("n"), F.when(F.col("base") == 0, F.array(F.lit(0).cast("long"))).otherwise(none).alias("hs"))
-    each = stretches.select("row", "rest", "n_words", "base", "w", F.explode(F.array(first, *map(hashes, lens))).alias("x")).select("row", "rest", "n_words", "base", "w", "x.n", F.posexplode("x.hs").alias("i", "h"))
+    each = stretches.select(
+        "row", "rest", "n_words", "base", "w", F.explode(F.array(first, *map(hashes, lens))).alias("x")
+    ).select("row", "rest", "n_words", "base", "w", "x.n", F.posexplode("x.hs").alias("i", "h"))
     each = each.select("row", F.when(F.col("n") == 0, F.col("rest")).alias("rest"), "n_words", "base", "w", "n", "i", "h")
     same = (each["h"] == windows["h"]) & (F.col("n") == F.col("len")) & (F.col("key") == F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " "))
     return each.join(F.broadcast(windows), same).select("row", "rest", "n_words", (F.col("base") + F.col("i")).alias("at"), "len", "items")
@@ -97,7 +104,9 @@ def found(rows: DataFrame, benchmark: DataFrame, text: Column) -> DataFrame:
         mine = windows.filter(F.pmod("h", F.lit(shards)) == s)
         parts.append(materialize(_scan(words, mine.unionByName(itself) if s == 0 else mine, lens), "decontam-scan"))
     every = reduce(DataFrame.unionByName, parts)
-    each = every.filter("len > 0").groupBy("row").agg(F.collect_set("items").alias("items"), F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("len")).cast("int").alias("end")))).alias("at"))
+    each = every.filter("len > 0").groupBy("row").agg(
+        F.collect_set("items").alias("items"), F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("len")).cast("int").alias("end")))).alias("at")
+    )
     start = F.struct(F.array().cast(_SPANS).alias("done"), F.lit(None).cast("struct<at:int,end:int>").alias("open"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -124,7 +133,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataF
     keep = [c for c in docs.columns if c not in {text_col, "n_words", "n_hit", "items", "spans"}]
     rest = F.struct(*keep) if keep else F.struct(F.lit(0).alias("none"))
     out = found(docs.select(rest.alias("rest"), F.col(text_col).alias("text")), benchmark, F.col("text"))
-    return out.select(*[F.col(f"rest.`{c}`") for c in keep], "n_words", F.coalesce(_covered(F.col("spans")), F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+    return out.select(
+        *[F.col(f"rest.`{c}`") for c in keep], "n_words", F.coalesce(_covered(F.col("spans")), F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast(_SPANS)).alias("spans")
+    )
 
 
 def text_hits(docs: DataFrame, benchmark: DataFrame, text_col: str) -> DataFrame:
@@ -180,7 +192,10 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     found = hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated")
+    )
 
 
 ORACLE = r"""

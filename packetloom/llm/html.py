@@ -25,11 +25,15 @@ from packetloom.llm._common import arrow_map, table
 #: Tags whose text is never shown (fixed values).
 SKIP = frozenset("script style noscript template iframe head title select textarea canvas audio video".split())
 #: Tags that end a block (fixed values).
-BLOCK = frozenset("address article aside blockquote body br button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCK = frozenset(
+    "address article aside blockquote body br button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
+)
 #: Tags of regions that are not main text (fixed values).
 BOILER = frozenset("nav footer aside form header menu button dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_BAD_NAME = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|notice|gdpr|nav(?:bar|igation)?|menu|breadcrumbs?|side-?bar|footer|masthead|site-header|comments?|comment-?list|replies|disqus|newsletter|subscribe|signup|login|popup|modal|widget|pagination|pager|toolbar)(?![a-z])")
+_BAD_NAME = re.compile(
+    r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|notice|gdpr|nav(?:bar|igation)?|menu|breadcrumbs?|side-?bar|footer|masthead|site-header|comments?|comment-?list|replies|disqus|newsletter|subscribe|signup|login|popup|modal|widget|pagination|pager|toolbar)(?![a-z])"
+)
 #: Names that mean boilerplate on containers only: a paragraph of an article may have them too.
 _BOX_NAME = re.compile(r"(?:^|[^a-z])(?:related|recommend(?:ed|ations)?|share|sharing|social|copyright|legal)(?![a-z])")
 _BOX = frozenset("div section aside ul ol nav footer header form table dl".split())

@@ -41,14 +41,20 @@ def _by_content(piece: Column) -> Column:
         paired = lambda c: F.zip_with(c, F.concat(F.array(F.lit("")), c), lambda x, before: F.when(x.isNull(), "").when(ends(F.concat(before, x)), F.concat(x, F.lit("\n"))).otherwise(x))
         return F.element_at(F.transform(F.array(F.split(word, "")), lambda c: F.array_join(paired(c), "")), 1)
 
-    words = F.transform(F.split(piece, " "), lambda w: F.when(F.length(w) > LONG, F.concat(within(w), F.lit(" "))).when(ends(w), F.concat(w, F.lit("\n"))).otherwise(F.concat(w, F.lit(" "))))
+    words = F.transform(
+        F.split(piece, " "),
+        lambda w: F.when(F.length(w) > LONG, F.concat(within(w), F.lit(" "))).when(ends(w), F.concat(w, F.lit("\n"))).otherwise(F.concat(w, F.lit(" ")))
+    )
     return F.split(F.array_join(words, ""), "\n")
 
 
 def digests(text: Column) -> Column:
     """Distinct digests of the pieces of a text, sorted; none for an empty text."""
     pieces = F.split(text, _CUT)
-    pieces = F.when(F.exists(pieces, lambda p: F.length(p) > LONG), F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) > LONG, _by_content(p)).otherwise(F.array(p))))).otherwise(pieces)
+    pieces = F.when(
+        F.exists(pieces, lambda p: F.length(p) > LONG),
+        F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) > LONG, _by_content(p)).otherwise(F.array(p))))
+    ).otherwise(pieces)
     pieces = F.filter(pieces, lambda p: p != "")
     return F.array_sort(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))))
 
@@ -137,10 +143,15 @@ def peel(cells: Column, size: int) -> Column:
         pure = F.array_distinct(F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["c"] == _check(x["k"]))))
 
         def take(found: Column) -> Column:
-            rebuilt = F.element_at(F.transform(F.array(_placed(found, size)), lambda p: _by_cell(p, size, lambda i, gone: F.aggregate(gone, F.get(state["cells"], i), _minus))), 1)
+            rebuilt = F.element_at(
+                F.transform(F.array(_placed(found, size)), lambda p: _by_cell(p, size, lambda i, gone: F.aggregate(gone, F.get(state["cells"], i), _minus))), 1
+            )
             left = F.when(F.size(found) > 0, rebuilt).otherwise(state["cells"])
             ones = F.size(F.filter(found, lambda x: x["n"] == 1))
-            return F.struct(left.cast(_CELLS).alias("cells"), (state["first"] + ones).alias("first"), (state["second"] + F.size(found) - ones).alias("second"), (F.size(found) > 0).alias("go"))
+            return F.struct(
+                left.cast(_CELLS).alias("cells"), (state["first"] + ones).alias("first"), (state["second"] + F.size(found) - ones).alias("second"),
+                (F.size(found) > 0).alias("go")
+            )
 
         return F.when(state["go"], F.element_at(F.transform(F.array(pure), take), 1)).otherwise(state)
 
@@ -205,7 +216,10 @@ def _ranged(rows: DataFrame, range_bytes: int) -> DataFrame:
     the second a broadcast table of a row for each stretch of the first. An id that fills whole
     ranges, or null, is dealt over buckets by the leading bits of its texts' hash, in which order its rows stand.
     """
-    order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("a"), F.col("doc_id").isNotNull().alias("b"), F.xxhash64("text").alias("c"), F.xxhash64(F.lit(1), F.col("text")).alias("d"))
+    order = F.struct(
+        F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("a"), F.col("doc_id").isNotNull().alias("b"), F.xxhash64("text").alias("c"),
+        F.xxhash64(F.lit(1), F.col("text")).alias("d")
+    )
     rows = rows.withColumn("rank", order)
     size, n, nulls = rows.agg(F.sum(F.octet_length("text").cast("long") + 64), F.count(F.lit(1)), F.sum(F.col("doc_id").isNull().cast("long"))).first()
     ranges = max(1, (size or 0) // range_bytes)
@@ -233,9 +247,13 @@ def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     ranged = _ranged(rows, range_bytes)
     heads = ranged.groupBy("bucket").agg(F.max("rank").alias("rank"))
     falling = Window.orderBy(F.desc("bucket"))  # one row for each range
-    follows = heads.select(F.col("bucket").alias("to"), F.coalesce(F.lead(F.struct("bucket", "rank")).over(falling), F.first(F.struct("bucket", "rank")).over(falling)).alias("x"))
+    follows = heads.select(
+        F.col("bucket").alias("to"), F.coalesce(F.lead(F.struct("bucket", "rank")).over(falling), F.first(F.struct("bucket", "rank")).over(falling)).alias("x")
+    )
     follows = materialize(follows.select("to", F.col("x.bucket").alias("of"), F.col("x.rank").alias("head")), "fingerprints-heads")
-    copies = ranged.join(F.broadcast(follows), (F.col("bucket") == F.col("of")) & (F.col("rank") == F.col("head"))).select("doc_id", "text", "rank", F.col("to").alias("bucket")).dropDuplicates(["bucket"])
+    copies = ranged.join(
+        F.broadcast(follows), (F.col("bucket") == F.col("of")) & (F.col("rank") == F.col("head"))
+    ).select("doc_id", "text", "rank", F.col("to").alias("bucket")).dropDuplicates(["bucket"])
     every = ranged.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)))
     w = Window.partitionBy("bucket").orderBy("copy", F.desc("rank"))
     keyed = every.withColumn("keys", digests(F.col("text")))
@@ -255,7 +273,10 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), n - k), F.substring("next_text", F.lit(1), k))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "keys", "next_keys", edited.alias("edited"))
     rows = rows.select("doc_id", "n_chars", "keys", "next_keys", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("edited")).alias("edited_keys"))
-    rows = rows.select("*", sketch(F.col("keys"), BASE).alias("cells"), sketch(F.col("edited_keys"), BASE).alias("edited_cells"), sketch(F.col("next_keys"), BASE).alias("next_cells"))
+    rows = rows.select(
+        "*", sketch(F.col("keys"), BASE).alias("cells"), sketch(F.col("edited_keys"), BASE).alias("edited_cells"),
+        sketch(F.col("next_keys"), BASE).alias("next_cells")
+    )
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", serial(F.col("keys"), F.col("cells")).alias("fingerprint"), serial(F.col("edited_keys"), F.col("edited_cells")).alias("edited_fingerprint"),
         likeness(F.col("keys"), F.col("edited_keys"), F.col("cells"), F.col("edited_cells")).alias("near_edited"),

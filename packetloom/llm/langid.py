@@ -102,7 +102,10 @@ def fit(texts: list[str], langs: list[str], filters: int = 16, steps: int = 1500
     raw = [to_bytes(t) for t in texts]
     by = [[i for i, x in enumerate(langs) if x == name and raw[i].strip()] for name in names]
     names, by = [n for n, b in zip(names, by, strict=True) if b], [b for b in by if b]
-    net = ByteNet(names, {k: rng.normal(0, 0.3 / k**0.5, (k, 256, filters)).astype(np.float32) for k in WIDTHS}, rng.normal(0, 0.1, (filters * len(WIDTHS), len(names))).astype(np.float32), np.zeros(len(names), np.float32))
+    net = ByteNet(
+        names, {k: rng.normal(0, 0.3 / k**0.5, (k, 256, filters)).astype(np.float32) for k in WIDTHS},
+        rng.normal(0, 0.1, (filters * len(WIDTHS), len(names))).astype(np.float32), np.zeros(len(names), np.float32)
+    )
     params = [*net.filters.values(), net.dense, net.bias]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):

@@ -74,7 +74,13 @@ def rules() -> tuple[tuple[int, str, str, str], ...]:
             major, _, minor = v.partition(".")
             number = rf"{major}(?: {minor})?" if minor in ("0", "") else rf"{major} {minor}"
             tag = f"{label}-{v}"
-            out += _rules_of(0, keyword, [(tag, rf"{under} {name},? {say}{number}(?: or (?:any )?later(?: version)?)?"), (tag, rf"{name} as published by the free software foundation either {say}{number}")])
+            out += _rules_of(
+                0, keyword,
+                [
+                    (tag, rf"{under} {name},? {say}{number}(?: or (?:any )?later(?: version)?)?"),
+                    (tag, rf"{name} as published by the free software foundation either {say}{number}")
+                ]
+            )
             out += _rules_of(1, keyword, [(tag, rf"{name} {say}{number}"), (f"{tag}-or-later", rf"{name} {say}{number} or (?:\(at your option\) )?(?:any )?later")])
         out += _rules_of(2, keyword, [(label, name)])
     for label, versions in (("gpl", ("1", "2", "3")), ("lgpl", ("2", "2 1", "3")), ("agpl", ("1", "3"))):
@@ -84,7 +90,10 @@ def rules() -> tuple[tuple[int, str, str, str], ...]:
         out += _rules_of(2, label, [(label, rf"(?:gnu )?{label}")])
 
     # identifiers
-    for tag in ("mit", "mit 0", "isc", "zlib", "unlicense", "wtfpl", "cc0 1 0", "0bsd", "ncsa", "bsl 1 0", "postgresql", "x11", "apache 2 0", "apache 1 1", "mpl 2 0", "epl 2 0", "epl 1 0"):
+    for tag in (
+        "mit", "mit 0", "isc", "zlib", "unlicense", "wtfpl", "cc0 1 0", "0bsd", "ncsa", "bsl 1 0", "postgresql", "x11", "apache 2 0", "apache 1 1", "mpl 2 0",
+        "epl 2 0", "epl 1 0"
+    ):
         out += _rules_of(0, "spdx", [(tag.replace(" ", "-", 1).replace(" ", "."), rf"spdx license identifier {tag}")])
     for family, v, later in product(("gpl", "lgpl", "agpl"), ("2 0", "2 1", "3 0"), ("", " only", " or later")):
         out += _rules_of(0, "spdx", [(f"{family}-{v.replace(' ', '.')}{later.replace(' ', '-')}", rf"spdx license identifier {family} {v}{later}")])
@@ -92,7 +101,10 @@ def rules() -> tuple[tuple[int, str, str, str], ...]:
         out += _rules_of(0, "spdx", [(f"bsd-{n}-clause", rf"spdx license identifier bsd {n} clause")])
 
     # creative commons
-    parts = {"by": "attribution", "by-sa": "attribution share ?alike", "by-nc": "attribution non ?commercial", "by-nd": "attribution no ?deriv(?:ative)?s", "by-nc-sa": "attribution non ?commercial share ?alike", "by-nc-nd": "attribution non ?commercial no ?deriv(?:ative)?s"}
+    parts = {
+        "by": "attribution", "by-sa": "attribution share ?alike", "by-nc": "attribution non ?commercial", "by-nd": "attribution no ?deriv(?:ative)?s",
+        "by-nc-sa": "attribution non ?commercial share ?alike", "by-nc-nd": "attribution non ?commercial no ?deriv(?:ative)?s"
+    }
     for (kind, words), v in product(parts.items(), ("1 0", "2 0", "2 5", "3 0", "4 0")):
         tag = f"cc-{kind}-{v.replace(' ', '.')}"
         short = kind.replace("-", " ")
@@ -115,10 +127,17 @@ def rules() -> tuple[tuple[int, str, str, str], ...]:
         ("isc", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
         ("hpnd", r"permission to use copy modify and distribute this software and its documentation for any purpose"),
     ])
-    for label, keyword, name in (("mit", "mit", "mit"), ("isc", "isc", "isc"), ("zlib", "zlib", "zlib(?: libpng)?"), ("ncsa", "ncsa", "(?:university of illinois )?ncsa"), ("x11", "x11", "x11"), ("postgresql", "postgresql", "postgresql"), ("ruby", "ruby", "ruby"), ("perl", "perl", "perl"), ("openssl", "openssl", "openssl"), ("json", "json", "json"), ("curl", "curl", "curl"), ("upl", "universal permissive", "universal permissive"), ("ecl", "educational community", "educational community"), ("wtfpl", "do what the", "do what the fuck you want to public")):
+    for label, keyword, name in (
+        ("mit", "mit", "mit"), ("isc", "isc", "isc"), ("zlib", "zlib", "zlib(?: libpng)?"), ("ncsa", "ncsa", "(?:university of illinois )?ncsa"),
+        ("x11", "x11", "x11"), ("postgresql", "postgresql", "postgresql"), ("ruby", "ruby", "ruby"), ("perl", "perl", "perl"),
+        ("openssl", "openssl", "openssl"), ("json", "json", "json"), ("curl", "curl", "curl"), ("upl", "universal permissive", "universal permissive"),
+        ("ecl", "educational community", "educational community"), ("wtfpl", "do what the", "do what the fuck you want to public")
+    ):
         out += _rules_of(0, keyword, [(label, rf"{under} {name} (?:open source )?licen[cs]e")])
         out += _rules_of(1, keyword, [(label, rf"{name} (?:open source |style |public )?licen[cs]ed?")])
-    out += _rules_of(1, "wtfpl", [("wtfpl", "wtfpl")]) + _rules_of(1, "unlicense", [("unlicense", r"(?:the )?unlicense")]) + _rules_of(1, "unencumbered", [("unlicense", r"free and unencumbered software released into the public domain")])
+    out += _rules_of(1, "wtfpl", [("wtfpl", "wtfpl")]) + _rules_of(1, "unlicense", [("unlicense", r"(?:the )?unlicense")]) + _rules_of(
+        1, "unencumbered", [("unlicense", r"free and unencumbered software released into the public domain")]
+    )
 
     # reserved, proprietary and public-domain notices
     out += _rules_of(1, "rights reserved", [("all-rights-reserved", r"all rights reserved"), ("some-rights-reserved", r"some rights reserved")])
@@ -163,7 +182,10 @@ def stretches(line: Column) -> Column:
             back = F.greatest(at - REACH, F.lit(2))
             join = lambda a, n: F.array_join(F.slice(u, a, n), "")
             begin = F.length(join(back, at - back)) + 1
-            return F.struct(begin.alias("begin"), (begin + F.length(join(at, F.lit(CORE)))).alias("end"), F.concat(F.lit(" "), join(back, at - back + CORE + REACH)).alias("text"))
+            return F.struct(
+                begin.alias("begin"), (begin + F.length(join(at, F.lit(CORE)))).alias("end"),
+                F.concat(F.lit(" "), join(back, at - back + CORE + REACH)).alias("text")
+            )
 
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(u) - 1) / CORE).cast("int")), one)
 
@@ -215,10 +237,17 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     base = F.when(F.col("_licensed"), F.regexp_extract_all("_w", F.lit(phrases), F.lit(0))).otherwise(F.array().cast("array<string>"))
     named = named.withColumn("_base", base).withColumn("_pieces", F.when(F.size("_base") > 0, F.split("_w", phrases, -1)))
     gated = "|".join(gate())
-    table_ = F.array(*[F.struct(F.lit(rank).alias("rank"), F.lit(keyword).alias("keyword"), F.lit(label).alias("label"), F.lit(regex).alias("regex")) for rank, keyword, label, regex in rules()])
+    table_ = F.array(
+        *[
+            F.struct(F.lit(rank).alias("rank"), F.lit(keyword).alias("keyword"), F.lit(label).alias("label"), F.lit(regex).alias("regex")) for rank, keyword,
+            label, regex in rules()
+        ]
+    )
     live = F.filter(stretches(F.col("_w")), lambda x: F.rlike(x["text"], F.lit(gated)))
     named = named.withColumn("_live", F.when(F.rlike("_w", F.lit(gated)), live))
-    found = F.when(F.size("_live") > 0, F.array_distinct(F.flatten(F.transform("_live", lambda x: line_labels(x, table_))))).otherwise(F.array().cast("array<struct<rank:int,label:string>>"))
+    found = F.when(
+        F.size("_live") > 0, F.array_distinct(F.flatten(F.transform("_live", lambda x: line_labels(x, table_))))
+    ).otherwise(F.array().cast("array<struct<rank:int,label:string>>"))
     named = named.withColumn("_found", found)
     labels_of = F.create_map(*[x for k, v in BASE.items() for x in (F.lit(k), F.lit(v))])
     base_labels = F.array_sort(F.array_distinct(F.transform("_base", lambda p: labels_of[p])))

@@ -85,7 +85,10 @@ def targets(sized: DataFrame) -> DataFrame:
     else:
         raise RuntimeError(f"targets not settled after {FILL_ROUNDS} rounds")
     target = F.least(F.col("weight") * F.lit(float(unit)), cap.cast("double")) if last is not None and unit else F.lit(0.0)
-    return ranked.select("source", "source_no", "source_size", target.alias("target"), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("docs") / GROUP)).cast("int").alias("salts"))
+    return ranked.select(
+        "source", "source_no", "source_size", target.alias("target"),
+        F.greatest(F.lit(1).cast("long"), F.ceil(F.col("docs") / GROUP)).cast("int").alias("salts")
+    )
 
 
 def _coin(key: int, other: int) -> float:
@@ -121,7 +124,12 @@ class _Pivot:
 
 
 _COLUMNS = "row long, key long, source_no long, salt int, size long, p double, whole int, extra int"
-_OUT = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("source_no", pa.int64()), ("salt", pa.int32()), ("size", pa.int64()), ("p", pa.float64()), ("whole", pa.int32()), ("extra", pa.int32())])
+_OUT = pa.schema(
+    [
+        ("row", pa.int64()), ("key", pa.int64()), ("source_no", pa.int64()), ("salt", pa.int32()), ("size", pa.int64()), ("p", pa.float64()),
+        ("whole", pa.int32()), ("extra", pa.int32())
+    ]
+)
 
 
 def _settle(group: tuple[str, ...], last: bool):  # noqa: ANN202
@@ -175,7 +183,10 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """
     size = F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")
     rest = F.struct(*[c for c in carry or docs.columns if c not in {"_size", "_source_size", "_target", "_copies"}])
-    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"), rest.alias("rest"))
+    slim = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("id"), F.col(source_col).cast("string").alias("source"),
+        size.alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"), rest.alias("rest")
+    )
     slim = materialize(slim, "mixing-sized")
     per_source = materialize(targets(slim), "mixing-targets")
     numbered = per_source.withColumnRenamed("source", "s")
@@ -209,7 +220,10 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     for s in settled[1:]:
         every = every.unionByName(s)
     out = slim.join(kept.join(every, "row"), "row")
-    return out.select("rest.*", F.col("size").alias("_size"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), (F.col("whole") + F.col("extra")).alias("_copies"))
+    return out.select(
+        "rest.*", F.col("size").alias("_size"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"),
+        (F.col("whole") + F.col("extra")).alias("_copies")
+    )
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -226,7 +240,10 @@ def mix(docs: DataFrame) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     got = copies(table(spark, sf_dir, "documents"), carry=["doc_id"])
-    return got.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).cast("long").alias("taken"))
+    return got.select(
+        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
+        (F.col("_copies") * F.col("_size")).cast("long").alias("taken")
+    )
 
 
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:

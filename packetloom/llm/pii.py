@@ -49,7 +49,10 @@ _SPELLED_PART = re.compile(rf"plus[ -]+|{_WORDY}|[0-9]+|[ \-,.]+", re.I)
 _BRACKET_AT = re.compile(r"\s?[\[({<]\s?(?:at|@|arroba)\s?[\])}>]\s?", re.I)
 _BRACKET_DOT = re.compile(r"\s?[\[({<]\s?(?:dot|\.|punkt|punto|point)\s?[\])}>]\s?", re.I)
 # bare words count only as a whole address: name at host dot ending
-_BARE = re.compile(r"(?<![\w.%+-])(?<![\w%+-] dot )([A-Za-z0-9_%+-]++(?:(?: dot |\.)[A-Za-z0-9_%+-]++)*+)( at |@)([A-Za-z0-9-]++(?:(?: dot |\.)[A-Za-z0-9-]{2,}+)++)(?![\w-])", re.I)
+_BARE = re.compile(
+    r"(?<![\w.%+-])(?<![\w%+-] dot )([A-Za-z0-9_%+-]++(?:(?: dot |\.)[A-Za-z0-9_%+-]++)*+)( at |@)([A-Za-z0-9-]++(?:(?: dot |\.)[A-Za-z0-9-]{2,}+)++)(?![\w-])",
+    re.I
+)
 _BARE_IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?:(?: dot |\.)[0-9]{1,3}){3}(?![\w])", re.I)
 _BARE_DOT = re.compile(r" dot ", re.I)
 
@@ -218,7 +221,10 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def run(c: dict[str, list]) -> dict[str, list]:
         found = [find(t) for t in c["text"]]
         counts = {f"n_{k}": [len(b[k]) for b, _ in found] for k in KINDS}
-        return {"doc_id": c["doc_id"], **counts, "base_sha256": [hashlib.sha256(digest(b).encode()).hexdigest() for b, _ in found], "spans": [digest(e) for _, e in found], "n_spans": [sum(map(len, e.values())) for _, e in found]}
+        return {
+            "doc_id": c["doc_id"], **counts, "base_sha256": [hashlib.sha256(digest(b).encode()).hexdigest() for b, _ in found],
+            "spans": [digest(e) for _, e in found], "n_spans": [sum(map(len, e.values())) for _, e in found]
+        }
 
     return rows.mapInArrow(arrow_map(run, out), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 

@@ -66,7 +66,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, text_hash, fp (long): the fingerprint of every whole text. A null text has no words."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     out = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
-    return rows.mapInArrow(arrow_map(lambda c: {"doc_id": c["doc_id"], "text_hash": c["text_hash"], "fp": [fingerprint(t, shingle) for t in c["text"]]}, out), "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(
+        arrow_map(lambda c: {"doc_id": c["doc_id"], "text_hash": c["text_hash"], "fp": [fingerprint(t, shingle) for t in c["text"]]}, out),
+        "doc_id long, text_hash long, fp long"
+    )
 
 
 def block_masks(n: int, radius: int) -> list[int]:
@@ -189,7 +192,9 @@ def link_fingerprints(fps: DataFrame, n: int, radius: int) -> DataFrame:
         tiles = keyed.select("key", F.lit(0).cast("byte").alias("side"), "fp")
     else:
         hot = materialize(hot, "simhash-hot")
-        tiles = keyed.join(hot, "key", "left_anti").select("key", F.lit(0).cast("byte").alias("side"), "fp").unionByName(_hot_tiles(keyed.join(hot, "key", "left_semi"), radius))
+        tiles = keyed.join(hot, "key", "left_anti").select("key", F.lit(0).cast("byte").alias("side"), "fp").unionByName(
+            _hot_tiles(keyed.join(hot, "key", "left_semi"), radius)
+        )
     ordered = tiles.repartition("key").sortWithinPartitions("key")
     return ordered.mapInArrow(_compare(radius), "a long, b long")
 
@@ -202,7 +207,17 @@ def _hot_tiles(rows: DataFrame, radius: int) -> DataFrame:
     each = parts.select("key", "pop", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     one, two = each.select("key", F.struct("pop", "part").alias("t")), each.select("key", F.struct("pop", "part").alias("u"))
     pairs = one.join(two, "key").filter((F.col("t") <= F.col("u")) & (F.abs(F.col("t.pop") - F.col("u.pop")) <= radius))
-    ends = pairs.select("key", F.xxhash64("key", "t", "u").alias("pair"), F.explode(F.when(F.col("t") == F.col("u"), F.array(F.struct(F.lit(0).cast("byte").alias("side"), "t.pop", "t.part"))).otherwise(F.array(F.struct(F.lit(0).cast("byte").alias("side"), F.col("t.pop").alias("pop"), F.col("t.part").alias("part")), F.struct(F.lit(1).cast("byte").alias("side"), F.col("u.pop").alias("pop"), F.col("u.part").alias("part"))))).alias("e"))
+    ends = pairs.select(
+        "key", F.xxhash64("key", "t", "u").alias("pair"),
+        F.explode(
+            F.when(F.col("t") == F.col("u"), F.array(F.struct(F.lit(0).cast("byte").alias("side"), "t.pop", "t.part"))).otherwise(
+                F.array(
+                    F.struct(F.lit(0).cast("byte").alias("side"), F.col("t.pop").alias("pop"), F.col("t.part").alias("part")),
+                    F.struct(F.lit(1).cast("byte").alias("side"), F.col("u.pop").alias("pop"), F.col("u.part").alias("part"))
+                )
+            )
+        ).alias("e")
+    )
     ends = ends.select("key", "pair", "e.side", "e.pop", "e.part")
     return rows.join(ends, ["key", "pop", "part"]).select(F.col("pair").alias("key"), "side", "fp")
 
@@ -218,7 +233,9 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
         large = materialize(both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), name)
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
+        small = large.join(least, "u").select(
+            F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")
+        ).select("x.u", "x.v").filter("u <> v").distinct()
         e = materialize(small, name)
         drop_tables(since, e)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -134,7 +134,9 @@ def bit_set(keys: DataFrame, n: int) -> np.ndarray:
             s, at = b.column(0).to_numpy(), b.column(1).to_numpy()
             for k in np.unique(s).tolist():
                 held.setdefault(k, np.zeros(each, np.uint8))[at[s == k]] = 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(v).tobytes() for v in held.values()], pa.binary())], names=["stretch", "bits"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(held), pa.int64()), pa.array([np.packbits(v).tobytes() for v in held.values()], pa.binary())], names=["stretch", "bits"]
+        )
 
     got = keys.mapInArrow(places, "stretch long, bit long").repartition("stretch").mapInArrow(build, "stretch long, bits binary").collect()  # MAX_BITS / 8 bytes at most
     out = np.zeros(bits // 8, np.uint8)
@@ -309,11 +311,17 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     very = [r["anchor"] for r in twice.filter(F.col("n") > max(HOT, places // 10_000)).select("anchor").collect()]  # at most 10,000
     recurring = spark.sparkContext.broadcast(bit_set(twice.select("anchor"), n))
     hot = spark.sparkContext.broadcast(frozenset(very))
-    segments = materialize(texts.mapInArrow(_segments(recurring, hot), "shard long, segment long, words binary, n long, places array<struct<k1:long,k2:long,at:int>>"), "substrings-segments")
+    segments = materialize(
+        texts.mapInArrow(_segments(recurring, hot), "shard long, segment long, words binary, n long, places array<struct<k1:long,k2:long,at:int>>"),
+        "substrings-segments"
+    )
     distinct = segments.select("shard", "segment", "words", "n").repartition("shard").sortWithinPartitions("shard")
     covered = distinct.mapInArrow(_locate, "shard long, segment long, spans array<struct<a:int,b:int>>")
     each = segments.select("shard", "segment", "places").join(covered, ["shard", "segment"]).select("spans", F.explode("places").alias("p"))
-    spans = each.select("p.k1", "p.k2", F.explode(F.transform("spans", lambda s: F.struct((F.col("p.at") + s["a"]).alias("at"), (F.col("p.at") + s["b"]).alias("end")))).alias("s"))
+    spans = each.select(
+        "p.k1", "p.k2",
+        F.explode(F.transform("spans", lambda s: F.struct((F.col("p.at") + s["a"]).alias("at"), (F.col("p.at") + s["b"]).alias("end")))).alias("s")
+    )
     return spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("s")).alias("spans"))
 
 
@@ -343,7 +351,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 words = words_of(t)
                 n_words.append(len(words))
                 kept.append(None if m else _joined(words, digest))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(kept, pa.string()), pa.array([t or "" if m else None for m, t in zip(maybe, texts, strict=True)], pa.string()), pa.array([k for k, _ in keys], pa.int64()), pa.array([c for _, c in keys], pa.int64())], names=["doc_id", "n_words", "kept", "text", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), pa.array(n_words, pa.int64()), pa.array(kept, pa.string()),
+                    pa.array([t or "" if m else None for m, t in zip(maybe, texts, strict=True)], pa.string()), pa.array([k for k, _ in keys], pa.int64()),
+                    pa.array([c for _, c in keys], pa.int64())
+                ],
+                names=["doc_id", "n_words", "kept", "text", "k1", "k2"]
+            )
 
     halves = rows.mapInArrow(split, "doc_id long, n_words long, kept string, text string, k1 long, k2 long")
     return _finish(halves, spans, digest)
@@ -367,7 +382,10 @@ def _finish(halves: DataFrame, spans: DataFrame, digest: bool) -> DataFrame:
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(out))
                 kept.append(_joined(out, digest))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
+                names=["doc_id", "n_words", "n_removed", "kept"]
+            )
 
     return done.unionByName(joined.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string"))
 

@@ -22,7 +22,9 @@ from pyspark.sql import types as T
 from packetloom.llm._common import arrow_map, byte_slices, crc_mod, free_name, sampled, table
 
 #: Insults that count before anything is learned (fixed values).
-SEED = frozenset("idiot idiots moron morons loser losers stupid scum trash pathetic worthless disgusting clown dumb fool jerk retard bastard bitch asshole shit fuck fucking dummkopf arschloch abschaum connard imbécile salaud idiota imbécil estúpido basura".split())
+SEED = frozenset(
+    "idiot idiots moron morons loser losers stupid scum trash pathetic worthless disgusting clown dumb fool jerk retard bastard bitch asshole shit fuck fucking dummkopf arschloch abschaum connard imbécile salaud idiota imbécil estúpido basura".split()
+)
 #: Pronouns of the second person (fixed values).
 PRONOUNS = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch euer tu toi te ton ta tes vous votre vos usted ustedes tus vosotros".split())
 FEATURES = ("seed", "learned", "learned_log", "hidden", "person", "near", "capitals", "shout", "exclaim", "punct", "odd", "repeat", "digits", "log_words", "length")
@@ -185,7 +187,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str
     Rows with a null label are left out; of several labels of one id the greatest counts, of several
     texts the least. Without both labels, all scores are the share of label 1.
     """
-    marked = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & (crc_mod("_id", 5) != 0)).groupBy("_id").agg(F.max("toxic").alias("toxic"))
+    marked = labels.select(
+        F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")
+    ).filter(F.col("toxic").isin(0, 1) & (crc_mod("_id", 5) != 0)).groupBy("_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return ToxicityModel(frozenset(), None, None, float(counts.get(1, 0) > 0))
@@ -206,7 +210,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str
                 for s in {s for w in set(_WORD.findall((text or "").lower())) for s in stems_of(w)}:
                     seen.setdefault(s, [0, 0])[toxic] += 1
         seen[""] = n
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["stem", "n0", "n1"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(seen)), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())],
+            names=["stem", "n0", "n1"]
+        )
 
     learn = rows.filter("fold < 3").select("text", "toxic")
     counted = learn.mapInArrow(stem_counts, "stem string, n0 long, n1 long").groupBy("stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -275,4 +282,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
     scored = rows.mapInArrow(arrow_map(lambda c: {"doc_id": c["doc_id"], "score": model.scores(c["text"])}, out), "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return scored.select(
+        "doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )

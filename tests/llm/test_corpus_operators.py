@@ -137,7 +137,10 @@ def test_decontamination(spark, docs_of, odd_texts, as_dict, monkeypatch, set_by
     item = prose(9, 25)
     items = [(1, item), (2, "Short item"), (10, None), (3, ""), (4, item), (5, "a b c d e f g h i j k"), (6, "ünïcode")]
     bench = spark.createDataFrame([(*x, "z") for x in items], "item_id long, text string, doc_id string")
-    texts = [*odd_texts, prose(3, 50) + " " + item.upper() + ". " + prose(4, 30), " ".join(item.split()[3:13]), " ".join(item.split()[3:12]), "short, ITEM short item", "a b c d e f g h i j k l a b c d e f g h i j", "ÜNÏCODE ünïcode"]
+    texts = [
+        *odd_texts, prose(3, 50) + " " + item.upper() + ". " + prose(4, 30), " ".join(item.split()[3:13]), " ".join(item.split()[3:12]),
+        "short, ITEM short item", "a b c d e f g h i j k l a b c d e f g h i j", "ÜNÏCODE ünïcode"
+    ]
     got = as_dict(decontam.hits(docs_of(texts), bench))
     for i, t in enumerate(texts):
         r = got[i]

@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 
 from packetloom.llm import html, langid, licenses, pii, toxicity
 
-PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]"
+}
 
 
 def plain(text):
     digits = lambda s: re.sub(r"[^0-9]", "", s)
     luhn = lambda d: sum((x if i % 2 == 0 else x * 2 - 9 * (x > 4)) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
-    keep = {"email": lambda m: True, "ip": lambda m: all(int(p) <= 255 for p in m.split(".")), "card": lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m)), "phone": lambda m: 9 <= len(digits(m)) <= 15}
+    keep = {
+        "email": lambda m: True, "ip": lambda m: all(int(p) <= 255 for p in m.split(".")), "card": lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m)),
+        "phone": lambda m: 9 <= len(digits(m)) <= 15
+    }
     return {k: [m.span() for m in re.finditer(p, text) if keep[k](m.group())] for k, p in PATTERNS.items()}
 
 
@@ -81,7 +87,10 @@ def test_disguised_addresses_of_any_length():
 
 
 def test_pii_is_linear():
-    for text in ("a" * 400_000 + "@", "1" * 400_000, "1." * 200_000, "+1 " * 100_000, "(" * 300_000, "one " * 30_000, "a dot " * 60_000, "a at " * 60_000, "aa at " + "bb dot " * 60_000 + "_"):
+    for text in (
+        "a" * 400_000 + "@", "1" * 400_000, "1." * 200_000, "+1 " * 100_000, "(" * 300_000, "one " * 30_000, "a dot " * 60_000, "a at " * 60_000,
+        "aa at " + "bb dot " * 60_000 + "_"
+    ):
         at = time.time()
         pii.find(text)
         assert time.time() - at < 20
@@ -203,7 +212,11 @@ def test_every_license_rule(docs_of, as_dict):
 
 
 def test_wrapped_licenses(docs_of, as_dict):
-    texts = ["Licensed under the Apache\nLicense, Version 2.0", "GNU Lesser General Public\nLicense v2.1", "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles", "Proprietary and confidential"]
+    texts = [
+        "Licensed under the Apache\nLicense, Version 2.0", "GNU Lesser General Public\nLicense v2.1",
+        "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles",
+        "Proprietary and confidential"
+    ]
     got = as_dict(licenses.scan(docs_of(texts)))
     assert [got[i]["labels"] for i in range(4)] == ["apache,apache-2.0", "gpl,lgpl-2.1", "mit", "proprietary"]
 
@@ -307,7 +320,9 @@ def test_pages_without_article():
     links = "".join(f"<a href=x>Menu {i}</a><br>" for i in range(6))
     page = f"<div>{links}</div><h1>The title of this page here now</h1><div>{'first ' * 50}</div><div>{'second ' * 40}</div><div>{'third ' * 60}</div><div>{links}</div><p>Imprint</p>"
     assert [line.split()[0] for line in html.main_text(page).split("\n")] == ["The", "first", "second", "third"]
-    assert html.main_text("<article><p>Let <math><mi>x</mi></math> be</p><p class=legal>law</p><svg><text>fig</text></svg><div class=share>s</div></article>") == "Let x be\nlaw\nfig"
+    assert html.main_text(
+        "<article><p>Let <math><mi>x</mi></math> be</p><p class=legal>law</p><svg><text>fig</text></svg><div class=share>s</div></article>"
+    ) == "Let x be\nlaw\nfig"
 
 
 def test_pages(spark, sf):
