@@ -72,12 +72,21 @@ def imdct(x: Column, half: int) -> Column:
 
     def value(n: Column) -> Column:
         odd = 2 * n + (1 + half)
-        return F.aggregate(F.zip_with(x, F.sequence(F.lit(0), F.lit(half - 1)), lambda v, k: v.cast("double") * F.get(waves, F.pmod(odd * (2 * k + 1), F.lit(8 * half)))), F.lit(0.0), lambda a, t: a + t)
+        return F.aggregate(
+            F.zip_with(x, F.sequence(F.lit(0), F.lit(half - 1)), lambda v, k: v.cast("double") * F.get(waves, F.pmod(odd * (2 * k + 1), F.lit(8 * half)))),
+            F.lit(0.0), lambda a, t: a + t
+        )
 
     # y[half - 1 - n] = -y[n] in the first half, y[3 * half - 1 - n] = y[n] in the second
     quarter, third = F.sequence(F.lit(0), F.lit(half // 2 - 1)), F.sequence(F.lit(half), F.lit(half + half // 2 - 1))
     left, right = F.transform(quarter, value), F.transform(third, value)
-    return F.element_at(F.transform(F.array(F.struct(left.alias("l"), right.alias("r"))), lambda s: F.concat(s["l"], F.transform(F.reverse(s["l"]), lambda v: -v), s["r"], F.reverse(s["r"]))), 1)
+    return F.element_at(
+        F.transform(
+            F.array(F.struct(left.alias("l"), right.alias("r"))),
+            lambda s: F.concat(s["l"], F.transform(F.reverse(s["l"]), lambda v: -v), s["r"], F.reverse(s["r"]))
+        ),
+        1
+    )
 
 
 def overlap_add(fresh: Column, before: Column, slope: Column) -> Column:

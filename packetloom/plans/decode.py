@@ -79,7 +79,10 @@ def _parsed(rows: DataFrame, fn, schema: pa.Schema, ddl: str) -> DataFrame:  # n
     return rows.mapInArrow(run, ddl)
 
 
-_IDENT = [("channels", pa.int16()), ("sample_rate", pa.int64()), ("bitrate_max", pa.int32()), ("bitrate_nominal", pa.int32()), ("bitrate_min", pa.int32()), ("bs0", pa.int8()), ("bs1", pa.int8()), ("status", pa.string())]
+_IDENT = [
+    ("channels", pa.int16()), ("sample_rate", pa.int64()), ("bitrate_max", pa.int32()), ("bitrate_nominal", pa.int32()), ("bitrate_min", pa.int32()),
+    ("bs0", pa.int8()), ("bs1", pa.int8()), ("status", pa.string())
+]
 _KEY = [("file", pa.string()), ("link_idx", pa.int32())]
 
 
@@ -104,7 +107,10 @@ def stream_info(packets: DataFrame) -> DataFrame:
             values = (None,) * 7
         return [{"file": r["file"], "link_idx": r["link_idx"], **dict(zip([n for n, _ in _IDENT], (*values, status), strict=True))}]
 
-    return _parsed(header_packets(packets), one, pa.schema(_KEY + _IDENT), "file string, link_idx int, channels short, sample_rate long, bitrate_max int, bitrate_nominal int, bitrate_min int, bs0 byte, bs1 byte, status string")
+    return _parsed(
+        header_packets(packets), one, pa.schema(_KEY + _IDENT),
+        "file string, link_idx int, channels short, sample_rate long, bitrate_max int, bitrate_nominal int, bitrate_min int, bs0 byte, bs1 byte, status string"
+    )
 
 
 def comments(packets: DataFrame) -> DataFrame:
@@ -130,10 +136,20 @@ def codebooks(packets: DataFrame) -> DataFrame:
         out = []
         for b, book in enumerate(setup.books if setup else []):
             for entry, n, code in assign(book.lengths):
-                out.append({"file": r["file"], "link_idx": r["link_idx"], "book": b, "dims": book.dims, "entry": entry, "code_len": n, "codeword": code, "vq": None if book.vectors is None else book.vectors[entry].tolist()})
+                out.append(
+                    {
+                        "file": r["file"], "link_idx": r["link_idx"], "book": b, "dims": book.dims, "entry": entry, "code_len": n, "codeword": code,
+                        "vq": None if book.vectors is None else book.vectors[entry].tolist()
+                    }
+                )
         return out
 
-    schema = pa.schema([*_KEY, ("book", pa.int32()), ("dims", pa.int32()), ("entry", pa.int32()), ("code_len", pa.int32()), ("codeword", pa.string()), ("vq", pa.list_(pa.float32()))])
+    schema = pa.schema(
+        [
+            *_KEY, ("book", pa.int32()), ("dims", pa.int32()), ("entry", pa.int32()), ("code_len", pa.int32()), ("codeword", pa.string()),
+            ("vq", pa.list_(pa.float32()))
+        ]
+    )
     return _parsed(header_packets(packets), some, schema, "file string, link_idx int, book int, dims int, entry int, code_len int, codeword string, vq array<float>")
 
 
@@ -153,8 +169,14 @@ def setup_summary(packets: DataFrame) -> DataFrame:
         if not s:
             return []
         rows = [("floor", i, 0 if isinstance(f, Floor0) else 1, floor(f)) for i, f in enumerate(s.floors)]
-        rows += [("residue", i, x.kind, number_list(x.begin, x.end, x.partition, x.classes, x.classbook) + "; " + "; ".join(number_list(*c) for c in x.books)) for i, x in enumerate(s.residues)]
-        rows += [("mapping", i, 0, "; ".join(number_list(*x) for x in ([c for pair in m.coupling for c in pair], m.mux, m.floors, m.residues))) for i, m in enumerate(s.mappings)]
+        rows += [
+            ("residue", i, x.kind, number_list(x.begin, x.end, x.partition, x.classes, x.classbook) + "; " + "; ".join(number_list(*c) for c in x.books)) for i,
+            x in enumerate(s.residues)
+        ]
+        rows += [
+            ("mapping", i, 0, "; ".join(number_list(*x) for x in ([c for pair in m.coupling for c in pair], m.mux, m.floors, m.residues))) for i,
+            m in enumerate(s.mappings)
+        ]
         rows += [("mode", i, int(long), str(m)) for i, (long, m) in enumerate(s.modes)]
         return [{"file": r["file"], "link_idx": r["link_idx"], "part": p, "idx": i, "kind": k, "detail": d} for p, i, k, d in rows]
 
@@ -220,7 +242,9 @@ def packet_kind(data: Column) -> Column:
     first = F.hex(F.substring(data, 1, 7))
     kind = F.conv(F.substring(first, 1, 2), 16, 10).cast("int")
     named = F.create_map(*[x for k, v in ((1, "ident"), (3, "comment"), (5, "setup")) for x in (F.lit(k), F.lit(v))])[kind]
-    return F.when(F.length(data) == 0, "EndOfPacket").when(kind % 2 == 0, "audio").when(F.substring(first, 3, 12) == MAGIC.hex().upper(), F.coalesce(named, F.lit("HeaderBadType"))).otherwise("NotVorbisHeader")
+    return F.when(F.length(data) == 0, "EndOfPacket").when(kind % 2 == 0, "audio").when(
+        F.substring(first, 3, 12) == MAGIC.hex().upper(), F.coalesce(named, F.lit("HeaderBadType"))
+    ).otherwise("NotVorbisHeader")
 
 
 def shapes(packets: DataFrame) -> DataFrame:
@@ -232,7 +256,10 @@ def shapes(packets: DataFrame) -> DataFrame:
     """
     keys = ["file", "link_idx"]
     own = own_packets(packets).filter("pkt_idx >= 3")
-    heads = own.select(*keys, "pkt_idx", F.rpad(F.hex(F.substring("data", 1, 3)), 6, "0").alias("hex"), (8 * F.length("data")).alias("bits"), "absgp_page", "last_in_page", "last_in_stream")
+    heads = own.select(
+        *keys, "pkt_idx", F.rpad(F.hex(F.substring("data", 1, 3)), 6, "0").alias("hex"), (8 * F.length("data")).alias("bits"), "absgp_page", "last_in_page",
+        "last_in_stream"
+    )
     byte = lambda i: F.conv(F.substring("hex", 2 * i + 1, 2), 16, 10).cast("long")
     rows = heads.join(link_table(packets), keys, "left").withColumn("v", byte(0) + byte(1) * 256 + byte(2) * 65536)
     rows = rows.withColumn("w", bits.ilog(F.size("longs") - 1))
@@ -245,7 +272,10 @@ def shapes(packets: DataFrame) -> DataFrame:
     rows = rows.withColumn("head", known)
     short, one = F.pow(F.lit(2), F.col("bs0")).cast("int"), F.lit(1)
     n = F.when(F.col("head").isNull(), F.when(F.col("long"), F.pow(F.lit(2), F.col("bs1"))).otherwise(F.pow(F.lit(2), F.col("bs0"))).cast("int"))
-    rows = rows.withColumn("n", n).withColumn("g", vectors.block_geometry(F.col("n"), short, F.col("long"), F.col("long") & (at(1 + F.col("w"), one) == 1), F.col("long") & (at(2 + F.col("w"), one) == 1)))
+    rows = rows.withColumn("n", n).withColumn(
+        "g",
+        vectors.block_geometry(F.col("n"), short, F.col("long"), F.col("long") & (at(1 + F.col("w"), one) == 1), F.col("long") & (at(2 + F.col("w"), one) == 1))
+    )
     good = F.col("head").isNull()
     past = Window.partitionBy(*keys).orderBy("pkt_idx").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.last(F.when(good, F.col("g.end") - F.col("g.right")), ignorenulls=True).over(past))
@@ -258,10 +288,16 @@ def shapes(packets: DataFrame) -> DataFrame:
     rows = timeline.position(rows, keys, "pkt_idx", F.col("count"), ends, F.col("absgp_page"))
     known_before = F.lag("position").over(Window.partitionBy(*keys).orderBy("pkt_idx"))
     stay = timeline.end_trim(F.col("count"), known_before, F.col("absgp_page"), F.col("last_in_stream")).cast("int")
-    return rows.select(*keys, "pkt_idx", "status", "sample_rate", F.coalesce("n", F.lit(0)).alias("n"), stay.alias("samples"), "position", "absgp_page", "last_in_page", "last_in_stream")
+    return rows.select(
+        *keys, "pkt_idx", "status", "sample_rate", F.coalesce("n", F.lit(0)).alias("n"), stay.alias("samples"), "position", "absgp_page", "last_in_page",
+        "last_in_stream"
+    )
 
 
-_INFO = [("status", pa.string()), ("sample_rate", pa.int64()), ("n", pa.int32()), ("samples", pa.int32()), ("position", pa.int64()), ("absgp_page", pa.int64()), ("last_in_page", pa.bool_()), ("last_in_stream", pa.bool_())]
+_INFO = [
+    ("status", pa.string()), ("sample_rate", pa.int64()), ("n", pa.int32()), ("samples", pa.int32()), ("position", pa.int64()), ("absgp_page", pa.int64()),
+    ("last_in_page", pa.bool_()), ("last_in_stream", pa.bool_())
+]
 _SHAPE_DDL = "file string, link_idx int, pkt_idx long, status string, sample_rate long, n int, samples int, position long, absgp_page long, last_in_page boolean, last_in_stream boolean"
 _FLAT = pa.schema([*_KEY, ("pkt_idx", pa.int64()), *_INFO])
 
@@ -283,7 +319,10 @@ def _dealt(packets: DataFrame, info: DataFrame) -> DataFrame:
     facts = both(info, F.struct(*[n for n, _ in _INFO]).cast(struct).alias("info"), none("binary").alias("data"), none("binary").alias("ident"), none("binary").alias("setup"))
     audio = both(own_packets(packets).filter("pkt_idx >= 3"), none(struct).alias("info"), F.col("data"), none("binary").alias("ident"), none("binary").alias("setup"))
     used = own_packets(packets).filter("pkt_idx >= 3").select(*keys, bucket.alias("bucket")).distinct()
-    head = header_packets(packets).join(used, keys).select(*keys, "bucket", F.lit(0).alias("section"), F.lit(-1).cast("long").alias("pkt_idx"), none(struct).alias("info"), none("binary").alias("data"), "ident", "setup")
+    head = header_packets(packets).join(used, keys).select(
+        *keys, "bucket", F.lit(0).alias("section"), F.lit(-1).cast("long").alias("pkt_idx"), none(struct).alias("info"), none("binary").alias("data"), "ident",
+        "setup"
+    )
     rows = head.unionByName(facts).unionByName(audio).withColumn("second", F.col("info").isNull())
     return rows.repartition(*keys, "bucket").sortWithinPartitions(*keys, "bucket", "section", "pkt_idx", "second").drop("bucket", "second")
 
@@ -372,7 +411,12 @@ def decode(packets: DataFrame, fail_fast: bool = False) -> DataFrame:
     """
     out = _samples(packets, shapes(packets))
     if fail_fast:
-        out = out.withColumn("status", F.when(F.col("status") != "ok", F.raise_error(F.concat(F.lit("packet "), F.col("pkt_idx").cast("string"), F.lit(": "), F.col("status")))).otherwise(F.col("status")))
+        out = out.withColumn(
+            "status",
+            F.when(
+                F.col("status") != "ok", F.raise_error(F.concat(F.lit("packet "), F.col("pkt_idx").cast("string"), F.lit(": "), F.col("status")))
+            ).otherwise(F.col("status"))
+        )
     return out
 
 
@@ -399,7 +443,9 @@ def skip(packets: DataFrame, n: int) -> DataFrame:
     cut = F.when(F.col("pkt_idx") == F.col("_at"), F.col("_left")).otherwise(0).cast("int")
     out = out.withColumn("planar", F.transform("planar", lambda c: F.slice(c, cut + 1, F.greatest(F.size(c) - cut, F.lit(0)))))
     out = out.withColumn("samples", F.col("samples") - cut).drop("_from", "_at", "_left").withColumn("leftover", F.lit(0).cast("long"))
-    short = info.groupBy(*keys).agg(F.sum("samples").alias("_all")).filter(F.col("_all") <= n).select(*keys, F.lit("EndOfStream").alias("status"), F.lit(0).alias("samples"), (n - F.col("_all")).alias("leftover"))
+    short = info.groupBy(*keys).agg(F.sum("samples").alias("_all")).filter(F.col("_all") <= n).select(
+        *keys, F.lit("EndOfStream").alias("status"), F.lit(0).alias("samples"), (n - F.col("_all")).alias("leftover")
+    )
     return out.unionByName(short, allowMissingColumns=True)
 
 
@@ -425,7 +471,13 @@ def made_up_files(numbers: DataFrame, number: Column, n_packets: int = 40, **opt
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                yield pa.RecordBatch.from_arrays([pa.array([f"made-up-{i}.ogg" for i in part.column(0).to_pylist()]), pa.array([content(k) for k in part.column(1).to_pylist()], pa.binary())], names=["path", "content"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([f"made-up-{i}.ogg" for i in part.column(0).to_pylist()]),
+                        pa.array([content(k) for k in part.column(1).to_pylist()], pa.binary())
+                    ],
+                    names=["path", "content"]
+                )
 
     return numbers.select(F.col("id").cast("long"), number.cast("long").alias("number")).mapInArrow(make, "path string, content binary")
 

@@ -87,7 +87,10 @@ SELECT l_orderkey, l_linenumber, (raw >> 3) & 31 AS f5, (raw >> 7) & 65535 AS f1
 def bit_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unsigned fields, least significant bit first."""
     x = F.col("raw")
-    return _raw(spark, sf_dir).select("l_orderkey", "l_linenumber", bits.bit_field(x, 3, 5).alias("f5"), bits.bit_field(x, 7, 16).alias("f16"), bits.bit_field(x, 1, 1).alias("flag"), bits.bit_field(x, 0, 24).alias("f24"))
+    return _raw(spark, sf_dir).select(
+        "l_orderkey", "l_linenumber", bits.bit_field(x, 3, 5).alias("f5"), bits.bit_field(x, 7, 16).alias("f16"), bits.bit_field(x, 1, 1).alias("flag"),
+        bits.bit_field(x, 0, 24).alias("f24")
+    )
 
 
 @query(f"""
@@ -98,7 +101,9 @@ SELECT l_orderkey, l_linenumber, (raw & 127) - CASE WHEN raw & 64 > 0 THEN 128 E
 def sign_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed fields."""
     x = F.col("raw")
-    return _raw(spark, sf_dir).select("l_orderkey", "l_linenumber", bits.sign_extend(x, 7).alias("s7"), bits.sign_extend(x, 8).alias("s8"), bits.sign_extend(x, 32).alias("s32"))
+    return _raw(spark, sf_dir).select(
+        "l_orderkey", "l_linenumber", bits.sign_extend(x, 7).alias("s7"), bits.sign_extend(x, 8).alias("s8"), bits.sign_extend(x, 32).alias("s32")
+    )
 
 
 @query(f"""
@@ -150,7 +155,9 @@ def kraft_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of up to 64 values of a stream, as in a floor's list of positions."""
     w = Window.partitionBy("user_id").orderBy("event_id")
-    runs = _t(spark, sf_dir, "events").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("x"), F.floor((F.row_number().over(w) - 1) / 64).alias("run"))
+    runs = _t(spark, sf_dir, "events").select(
+        "user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("x"), F.floor((F.row_number().over(w) - 1) / 64).alias("run")
+    )
     prefix = Window.partitionBy("user_id", "run").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
     return runs.withColumn("seen", F.collect_list("x").over(prefix))
 
@@ -185,7 +192,9 @@ WITH p AS (SELECT user_id, event_id, CAST(round(value) AS BIGINT) AS y0, CAST(ev
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("event_id")
     y = F.round("value").cast("long")
-    return _t(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_id").alias("x0"), y.alias("y0"), F.lead("event_id").over(w).alias("x1"), F.lead(y).over(w).alias("y1")).filter("x1 IS NOT NULL")
+    return _t(spark, sf_dir, "events").select(
+        "user_id", "event_id", F.col("event_id").alias("x0"), y.alias("y0"), F.lead("event_id").over(w).alias("x1"), F.lead(y).over(w).alias("y1")
+    ).filter("x1 IS NOT NULL")
 
 
 @query(_LINE + "SELECT user_id, event_id, CASE WHEN y1 >= y0 THEN y0 + (abs(y1 - y0) * ((x0 + x1) // 2 - x0)) // (x1 - x0) ELSE y0 - (abs(y1 - y0) * ((x0 + x1) // 2 - x0)) // (x1 - x0) END AS y FROM p WHERE x1 IS NOT NULL")
@@ -239,7 +248,10 @@ def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deinterleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One array to two channels."""
     rows = _t(spark, sf_dir, "embeddings").select("vec_id", vectors.deinterleave(F.col("embedding"), 2).alias("x"))
-    return rows.select("vec_id", F.col("x")[0][0].alias("a"), F.col("x")[0][1].alias("b"), F.col("x")[1][0].alias("c"), F.col("x")[1][31].alias("d"), F.size(F.col("x")[1]).alias("n"))
+    return rows.select(
+        "vec_id", F.col("x")[0][0].alias("a"), F.col("x")[0][1].alias("b"), F.col("x")[1][0].alias("c"), F.col("x")[1][31].alias("d"),
+        F.size(F.col("x")[1]).alias("n")
+    )
 
 
 @query("""
@@ -326,7 +338,10 @@ def block_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Window geometry and number of samples of blocks, without decoding."""
     w = Window.partitionBy("user_id").orderBy("event_id")
     long = F.expr(_FLAGS)
-    rows = _t(spark, sf_dir, "events").select("user_id", "event_id", long.alias("long"), F.coalesce(F.lag(long).over(w), F.lit(False)).alias("prev"), F.coalesce(F.lead(long).over(w), F.lit(False)).alias("next"))
+    rows = _t(spark, sf_dir, "events").select(
+        "user_id", "event_id", long.alias("long"), F.coalesce(F.lag(long).over(w), F.lit(False)).alias("prev"),
+        F.coalesce(F.lead(long).over(w), F.lit(False)).alias("next")
+    )
     rows = rows.withColumn("n", F.when(F.col("long"), 2048).otherwise(256))
     rows = rows.withColumn("g", vectors.block_geometry(F.col("n"), 256, F.col("long"), F.col("prev"), F.col("next")))
     return rows.select("user_id", "event_id", "n", "g.*", (F.col("g.right") - F.col("g.left")).alias("samples"))
@@ -340,7 +355,9 @@ def overlap_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of each block's first half with the second half of the block before it; the first block gives nothing."""
     w = Window.partitionBy("label").orderBy("vec_id")
     half = F.transform(F.slice("embedding", 33, 32), lambda v: v.cast("double"))
-    rows = _t(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform(F.slice("embedding", 1, 32), lambda v: v.cast("double")).alias("fresh"), F.lag(half).over(w).alias("before"))
+    rows = _t(spark, sf_dir, "embeddings").select(
+        "label", "vec_id", F.transform(F.slice("embedding", 1, 32), lambda v: v.cast("double")).alias("fresh"), F.lag(half).over(w).alias("before")
+    )
     out = rows.select("label", "vec_id", F.posexplode(vectors.overlap_add(F.col("fresh"), F.col("before"), vectors.window_slope(32))).alias("i", "y"))
     return out.select("label", "vec_id", (F.col("i") + 1).cast("long").alias("i"), (F.round("y", 6) + 0.0).alias("y"))
 
@@ -352,7 +369,9 @@ SELECT user_id, event_id, n, CAST(CASE WHEN is_last THEN least(n, greatest(0, cu
 def end_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last packet of each stream, cut to the final position (50 samples into it)."""
     w, back = Window.partitionBy("user_id").orderBy("event_id"), Window.partitionBy("user_id").orderBy(F.desc("event_id"))
-    rows = _t(spark, sf_dir, "events").select("user_id", "event_id", F.expr(_COUNT).alias("n"), F.sum(F.expr(_COUNT)).over(w).alias("cum"), (F.row_number().over(back) == 1).alias("is_last"))
+    rows = _t(spark, sf_dir, "events").select(
+        "user_id", "event_id", F.expr(_COUNT).alias("n"), F.sum(F.expr(_COUNT)).over(w).alias("cum"), (F.row_number().over(back) == 1).alias("is_last")
+    )
     before = F.col("cum") - F.col("n")
     return rows.select("user_id", "event_id", "n", timeline.end_trim(F.col("n"), before, before + 50, F.col("is_last")).alias("kept"))
 
@@ -496,7 +515,10 @@ def _made_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ogg_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets, bytes, pages and last position of each link of the files."""
     got = _made_up(spark, sf_dir).groupBy("file", "link_idx", "serial")
-    return got.agg(F.count(F.lit(1)).alias("packets"), F.sum(F.length("data").cast("long")).alias("bytes"), F.count_distinct("page_idx").alias("pages"), F.max("absgp_page").alias("last_position"))
+    return got.agg(
+        F.count(F.lit(1)).alias("packets"), F.sum(F.length("data").cast("long")).alias("bytes"), F.count_distinct("page_idx").alias("pages"),
+        F.max("absgp_page").alias("last_position")
+    )
 
 
 @query(_LINK_SQL.format("CAST(channels AS SMALLINT) AS channels, CAST(44100 AS BIGINT) AS sample_rate, 0 AS bitrate_max, 112000 AS bitrate_nominal, 0 AS bitrate_min, CAST(6 AS TINYINT) AS bs0, CAST(8 AS TINYINT) AS bs1, 'ok' AS status"))
@@ -528,7 +550,10 @@ def ogg_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vq = F.aggregate(F.coalesce("vq", F.array().cast("array<float>")), F.lit(0.0), lambda a, x: a + x)
     got = codebooks(_made_up(spark, sf_dir)).groupBy("file", "link_idx", "book", "dims")
-    return got.agg(F.count(F.lit(1)).alias("entries"), F.sum("code_len").alias("bits"), F.sum(F.conv("codeword", 2, 10).cast("long")).alias("codes"), F.round(F.sum(vq), 3).alias("vq"))
+    return got.agg(
+        F.count(F.lit(1)).alias("entries"), F.sum("code_len").alias("bits"), F.sum(F.conv("codeword", 2, 10).cast("long")).alias("codes"),
+        F.round(F.sum(vq), 3).alias("vq")
+    )
 
 
 @query(f"""
@@ -558,8 +583,14 @@ def ogg_decode_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     from packetloom.plans.decode import decode
 
     flat = F.flatten("planar")
-    rows = decode(_made_up(spark, sf_dir)).filter("status = 'ok'").select("file", "link_idx", "pkt_idx", "samples", "position", F.aggregate(flat, F.lit(0.0), lambda a, x: a + x.cast("double") * x).alias("power"), F.size(flat).alias("values"))
-    got = rows.groupBy("file", "link_idx").agg(F.count(F.lit(1)).alias("packets"), F.sum("samples").alias("samples"), F.max_by("position", "pkt_idx").alias("position"), F.sum("power").alias("power"), F.sum("values").alias("values"))
+    rows = decode(_made_up(spark, sf_dir)).filter("status = 'ok'").select(
+        "file", "link_idx", "pkt_idx", "samples", "position", F.aggregate(flat, F.lit(0.0), lambda a, x: a + x.cast("double") * x).alias("power"),
+        F.size(flat).alias("values")
+    )
+    got = rows.groupBy("file", "link_idx").agg(
+        F.count(F.lit(1)).alias("packets"), F.sum("samples").alias("samples"), F.max_by("position", "pkt_idx").alias("position"), F.sum("power").alias("power"),
+        F.sum("values").alias("values")
+    )
     return got.select("file", "link_idx", "packets", "samples", "position", F.round(10 * F.log10(F.col("power") / F.col("values")), 2).alias("loudness"))
 
 
@@ -645,7 +676,9 @@ def dynamic_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 def time_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds of two decoders and their ratio (here: event values against a count)."""
     times = _t(spark, sf_dir, "events").select(F.col("value").cast("double").alias("ours"), (F.col("event_id") % 100 + 1).cast("double").alias("theirs"))
-    return compare.time_ratio(times, "ours", "theirs").select(F.round("seconds", 3).alias("seconds"), F.round("other_seconds", 3).alias("other_seconds"), F.round("ratio", 9).alias("ratio"))
+    return compare.time_ratio(times, "ours", "theirs").select(
+        F.round("seconds", 3).alias("seconds"), F.round("other_seconds", 3).alias("other_seconds"), F.round("ratio", 9).alias("ratio")
+    )
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 10 = 3")

@@ -21,7 +21,12 @@ PACKET_SCHEMA = (
     "file string, link_idx int, serial long, pkt_idx long, page_idx long, data binary, absgp_page long, "
     "first_in_stream boolean, last_in_page boolean, last_in_stream boolean"
 )
-_ARROW = pa.schema([("file", pa.string()), ("link_idx", pa.int32()), ("serial", pa.int64()), ("pkt_idx", pa.int64()), ("page_idx", pa.int64()), ("data", pa.binary()), ("absgp_page", pa.int64()), ("first_in_stream", pa.bool_()), ("last_in_page", pa.bool_()), ("last_in_stream", pa.bool_())])
+_ARROW = pa.schema(
+    [
+        ("file", pa.string()), ("link_idx", pa.int32()), ("serial", pa.int64()), ("pkt_idx", pa.int64()), ("page_idx", pa.int64()), ("data", pa.binary()),
+        ("absgp_page", pa.int64()), ("first_in_stream", pa.bool_()), ("last_in_page", pa.bool_()), ("last_in_stream", pa.bool_())
+    ]
+)
 
 
 def checksum(page: bytes) -> int:

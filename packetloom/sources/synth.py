@@ -136,7 +136,10 @@ def made_up(number: int, n_packets: int = 40, bs0: int = 6, bs1: int = 8, size:
     """A file of one or two links of packets of up to size bytes; channels, residue and coupling follow the number."""
     rng = random.Random(number)
     channels = 1 + number % 2
-    headers = [ident_header(channels, bs0=bs0, bs1=bs1), comment_header([("TITLE", f"file {number}"), ("ARTIST", "nobody=else")]), setup_header(channels, residue=number % 3, coupling=number % 4 > 1)]
+    headers = [
+        ident_header(channels, bs0=bs0, bs1=bs1), comment_header([("TITLE", f"file {number}"), ("ARTIST", "nobody=else")]),
+        setup_header(channels, residue=number % 3, coupling=number % 4 > 1)
+    ]
     out = link(100 + number, headers, audio_packets(rng, n_packets, size), cut=10)
     if number % 3 == 2:
         out += link(500 + number, headers, audio_packets(rng, n_packets // 2, size))

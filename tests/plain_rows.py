@@ -57,7 +57,9 @@ def link_row(number, link_idx, link):
         total += n
     skipped = skipped or (0, 0, 1000 - total)
     size = sum(len(p[0]) for p in packets)
-    return number, link_idx, serial, stream.channels, len(packets), size, pages, packets[-1][1], len(samples), blocks, total, round(10 * math.log10(power / values), 2), *skipped
+    return number, link_idx, serial, stream.channels, len(packets), size, pages, packets[-1][1], len(samples), blocks, total, round(
+        10 * math.log10(power / values), 2
+    ), *skipped
 
 
 def book_rows(stream):

@@ -54,7 +54,9 @@ def test_checksum_and_pages():
 
 def test_packet_over_pages_and_foreign_serials():
     big = bytes(range(256)) * 3
-    content = synth.page(1, 0, [b"h0"], 0, 2) + synth.page(2, 0, [b"x0"], 0, 2) + synth.page(1, 1, [b"h1", b"h2", big[:510]], -1, 0, True) + synth.page(2, 1, [b"x1"], 0, 4) + synth.page(1, 2, [big[510:], b"last"], 9, 5)
+    content = synth.page(1, 0, [b"h0"], 0, 2) + synth.page(2, 0, [b"x0"], 0, 2) + synth.page(
+        1, 1, [b"h1", b"h2", big[:510]], -1, 0, True
+    ) + synth.page(2, 1, [b"x1"], 0, 4) + synth.page(1, 2, [big[510:], b"last"], 9, 5)
     rows = list(ogg.packets(content))
     assert [r["data"] for r in rows if r["link_idx"] == 0] == [b"h0", b"h1", b"h2", big, b"last"]
     assert [r["data"] for r in rows if r["link_idx"] is None] == [b"x0", b"x1"]
@@ -182,7 +184,9 @@ def test_skip_trims_and_tells_what_is_left(packets):
 def test_malformed_buckets_do_not_matter(packets, monkeypatch):
     """Slope errors and bad packets around the borders of buckets leave status, samples and position as one pass over the link gives them."""
     def broken(p):
-        return {7: b"\x01", 8: b"", 14: synth.BitWriter().put(0, 3).done(), 15: synth.BitWriter().put(0, 3).done(), 21: synth.BitWriter().put(0b0010, 4).done()}.get(p["pkt_idx"], p["data"])
+        return {
+            7: b"\x01", 8: b"", 14: synth.BitWriter().put(0, 3).done(), 15: synth.BitWriter().put(0, 3).done(), 21: synth.BitWriter().put(0b0010, 4).done()
+        }.get(p["pkt_idx"], p["data"])
 
     change = F.udf(lambda i, d: broken({"pkt_idx": i, "data": d}), "binary")
     bad = packets.withColumn("data", F.when(F.col("pkt_idx") >= 3, change("pkt_idx", "data")).otherwise(F.col("data"))).cache()
