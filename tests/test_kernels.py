@@ -57,7 +57,12 @@ def test_prefix_table_round_trip(lengths):
 
 
 def test_lookup_values():
-    assert [lookup1_values(e, d) for e, d in ((1025, 10), (1024, 10), (1023, 10), (3025, 4), (1, 40), (0, 3), (5, 0), (0, 0), (81, 4))] == [2, 2, 1, 7, 1, 0, 0xFFFFFFFF, 0, 3]
+    """The integer root over a grid, by trying every number."""
+    for e in [*range(60), 3**7 - 1, 3**7, 6**5 - 1, 6**5, 2**20]:
+        for d in range(1, 24):
+            r = lookup1_values(e, d)
+            assert r**d <= e < (r + 1) ** d, (e, d)
+    assert lookup1_values(7, 0) == 2**32 - 1 and lookup1_values(0, 0) == 0
     assert expand(1, 4, 2, -1.0, 2.0, False, [0, 1]).tolist() == [[-1, -1], [1, -1], [-1, 1], [1, 1]]
     assert expand(2, 2, 2, 0.0, 1.0, True, [1, 2, 3, 4]).tolist() == [[1, 3], [3, 7]]
 
