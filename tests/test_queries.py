@@ -53,3 +53,21 @@ def test_entry_without_optional_parts(monkeypatch):
         return
     with pytest.warns(UserWarning, match="left out"):
         assert set(__spark_entry__.queries()) == own
+
+
+def test_lines_take_little_room(spark, tmp_path):
+    """Of the many rows of lines, positions are stored as repeats, not as 8 bytes each; equal positions give no row."""
+    from pyspark.sql import functions as F
+
+    every = spark.range(20_000).select(
+        F.col("id").alias("event_id"), (F.col("id") % 200).alias("user_id"), (F.col("id") * 7919 % 100 / 2).alias("value")
+    ).union(spark.sql("SELECT 0L, 0L, 0D"))  # the first event twice
+    every.write.parquet(str(tmp_path / "events.parquet"))
+    queries.QUERIES["render_line"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    sizes = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"SELECT count(*), sum(user_id * 31 + x * 7 + y) FROM ({queries.ORACLE_SQL['render_line']})").fetchone()
+    assert tuple(map(int, want)) == tuple(got.agg(F.count("*"), F.sum(F.expr("user_id * 31 + x * 7 + y"))).first())
+    assert sizes < 2 * got.count()
