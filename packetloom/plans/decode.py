@@ -324,7 +324,8 @@ def _dealt(packets: DataFrame, info: DataFrame) -> DataFrame:
         "setup"
     )
     rows = head.unionByName(facts).unionByName(audio).withColumn("second", F.col("info").isNull())
-    return rows.repartition(*keys, "bucket").sortWithinPartitions(*keys, "bucket", "section", "pkt_idx", "second").drop("bucket", "second")
+    tasks = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed: few compressed bytes are much work, so small parts aren't to be joined
+    return rows.repartition(tasks, *keys, "bucket").sortWithinPartitions(*keys, "bucket", "section", "pkt_idx", "second").drop("bucket", "second")
 
 
 @lru_cache(maxsize=32)
@@ -462,24 +463,31 @@ def durations(packets: DataFrame) -> DataFrame:
     return s.groupBy("file").agg(F.sum("packets").alias("packets"), F.sum("seconds").alias("seconds"))
 
 
-def made_up_files(numbers: DataFrame, number: Column, n_packets: int = 40, **options: int) -> DataFrame:
-    """path, content of made-up files, made by the tasks: one for each id of numbers (id), its content that of made_up(number); options go there."""
+@lru_cache(maxsize=8)
+def _content(number: int, n_packets: int, **options: int) -> bytes:
     from packetloom.sources.synth import made_up
 
+    return made_up(number, n_packets, **options)
+
+
+def made_up_files(numbers: DataFrame, number: Column, n_packets: int = 40, **options: int) -> DataFrame:
+    """path, content of made-up files, made by the tasks: one for each id of numbers (id), its content that of made_up(number); options go there."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        content = lru_cache(maxsize=8)(lambda k: made_up(k, n_packets, **options))
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([f"made-up-{i}.ogg" for i in part.column(0).to_pylist()]),
-                        pa.array([content(k) for k in part.column(1).to_pylist()], pa.binary())
+                        pa.array([_content(k, n_packets, **options) for k in part.column(1).to_pylist()], pa.binary())
                     ],
                     names=["path", "content"]
                 )
 
-    return numbers.select(F.col("id").cast("long"), number.cast("long").alias("number")).mapInArrow(make, "path string, content binary")
+    # a row of a few bytes makes a file: left as they are read, all numbers might lie in one task
+    tasks = int(numbers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = numbers.select(F.col("id").cast("long"), number.cast("long").alias("number")).repartition(tasks, "id")
+    return dealt.mapInArrow(make, "path string, content binary")
 
 
 def synthetic_files(spark: SparkSession, files: int = 4, n_packets: int = 40, **options: int) -> DataFrame:

@@ -221,3 +221,13 @@ def test_samples_are_not_shuffled(packets):
     physical = text[text.index("== Physical Plan ==") :]
     kernel = next(i for i, line in enumerate(physical.splitlines()) if "MapInArrow" in line and "planar" in line)
     assert not any("Exchange" in line for line in physical.splitlines()[:kernel])
+
+
+def test_made_up_files_are_dealt_to_tasks(spark):
+    """A few bytes of numbers make many files: they don't stay in the one task that reads them, and few compressed bytes in one that decodes."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = plan.made_up_files(spark.range(0, 40, 1, 1), F.col("id") % 6, 4)
+    assert files.rdd.getNumPartitions() == tasks
+    assert files.select(F.spark_partition_id().alias("task")).distinct().count() == tasks
+    decoded = plan.decode(ogg.split_files(files)).select(F.spark_partition_id().alias("task"))
+    assert decoded.distinct().count() == tasks
