@@ -298,12 +298,14 @@ _INFO = [
     ("status", pa.string()), ("sample_rate", pa.int64()), ("n", pa.int32()), ("samples", pa.int32()), ("position", pa.int64()), ("absgp_page", pa.int64()),
     ("last_in_page", pa.bool_()), ("last_in_stream", pa.bool_())
 ]
+#: What the kernel is told besides: samples to drop at the front (below 0: no row, the packet only primes), and what is left to skip.
+_ORDERS = [("cut", pa.int32()), ("leftover", pa.int64())]
 _SHAPE_DDL = "file string, link_idx int, pkt_idx long, status string, sample_rate long, n int, samples int, position long, absgp_page long, last_in_page boolean, last_in_stream boolean"
-_FLAT = pa.schema([*_KEY, ("pkt_idx", pa.int64()), *_INFO])
+_FLAT = pa.schema([*_KEY, ("pkt_idx", pa.int64()), *_INFO, _ORDERS[1]])
 
 
 def _dealt(packets: DataFrame, info: DataFrame) -> DataFrame:
-    """Audio packets by bucket, each with its row of info before it; a bucket is led by its link's headers and the TAIL packets before it."""
+    """Audio packets by bucket, each with its row of info (if it has one) before it; a bucket is led by its link's headers and the TAIL packets before it."""
     keys = ["file", "link_idx"]
     bucket, in_bucket = F.floor((F.col("pkt_idx") - 3) / BUCKET), F.pmod(F.col("pkt_idx") - 3, F.lit(BUCKET))
 
@@ -315,8 +317,8 @@ def _dealt(packets: DataFrame, info: DataFrame) -> DataFrame:
         return rows.select(*keys, "pkt_idx", *cols, at).select(*keys, "b.bucket", "b.section", "pkt_idx", "info", "data", "ident", "setup")
 
     none = lambda t: F.lit(None).cast(t)
-    struct = "struct<" + ", ".join(f.replace(" ", ":", 1).strip() for f in _SHAPE_DDL.split(", ")[3:]) + ">"
-    facts = both(info, F.struct(*[n for n, _ in _INFO]).cast(struct).alias("info"), none("binary").alias("data"), none("binary").alias("ident"), none("binary").alias("setup"))
+    struct = "struct<" + ", ".join(f.replace(" ", ":", 1).strip() for f in [*_SHAPE_DDL.split(", ")[3:], "cut int", "leftover long"]) + ">"
+    facts = both(info, F.struct(*[n for n, _ in _INFO + _ORDERS]).cast(struct).alias("info"), none("binary").alias("data"), none("binary").alias("ident"), none("binary").alias("setup"))
     audio = both(own_packets(packets).filter("pkt_idx >= 3"), none(struct).alias("info"), F.col("data"), none("binary").alias("ident"), none("binary").alias("setup"))
     used = own_packets(packets).filter("pkt_idx >= 3").select(*keys, bucket.alias("bucket")).distinct()
     head = header_packets(packets).join(used, keys).select(
@@ -345,9 +347,23 @@ def _planar(blocks: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(outer), inner)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """As to_pylist, column by column, which takes a quarter less time."""
+    names = [n for n in batch.schema.names if n != "info"]
+    infos = batch.column("info")
+    told = infos.filter(infos.is_valid())
+    fields = [n for n, _ in _INFO + _ORDERS]
+    facts = (dict(zip(fields, v, strict=True)) for v in zip(*[told.field(n).to_pylist() for n in fields], strict=True))
+    columns = [batch.column(n).to_pylist() for n in names]
+    for valid, *values in zip(infos.is_valid().to_pylist(), *columns, strict=True):
+        yield dict(zip(names, values, strict=True)) | {"info": next(facts) if valid else None}
+
+
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _dealt to samples; packets without a row of info are passed over."""
     decoder: PacketDecoder | None = None
     info: dict | None = None
+    told = -1
     primer: bytes | None = None
     rows: list[dict] = []
     pcm: list[np.ndarray] = []
@@ -363,14 +379,16 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nothing = np.zeros((0, 0), np.float32)
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
-            for r in batch.slice(at, 512).to_pylist():
+            for r in _rows(batch.slice(at, 512)):
                 if r["section"] == 0:
                     decoder, info, primer = _decoder(r["ident"] or b"", r["setup"] or b""), None, None
                     if decoder:
                         decoder.reset()
                     continue
                 if r["info"] is not None:
-                    info = r["info"]
+                    info, told = r["info"], r["pkt_idx"]
+                    continue
+                if info is None or told != r["pkt_idx"]:
                     continue
                 if r["section"] == 1:  # the last packet that decodes leaves its half, one that fails at its slope none
                     if info["status"] == "ok":
@@ -382,14 +400,17 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     decoder.prime(primer)
                 primer = None
                 got, block = {k: r[k] for k in ("file", "link_idx", "pkt_idx")} | info, nothing
+                cut = got.pop("cut")
                 if decoder and got["status"] == "ok":
                     try:
-                        block = decoder.decode(r["data"])[:, : got["samples"]]
+                        block = decoder.decode(r["data"])[:, max(0, cut) : got["samples"]]
                     except BadAudio as e:
                         got["status"], block = str(e), nothing
                     got["samples"] = block.shape[1]
                 elif decoder and got["n"]:
                     decoder.reset()
+                if cut < 0:
+                    continue
                 rows.append(got)
                 pcm.append(block)
                 size += block.size
@@ -400,7 +421,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _samples(packets: DataFrame, info: DataFrame) -> DataFrame:
-    return _dealt(packets, info).mapInArrow(_decode, _SHAPE_DDL + ", planar array<array<float>>")
+    return _dealt(packets, info).mapInArrow(_decode, _SHAPE_DDL + ", leftover long, planar array<array<float>>")
 
 
 def decode(packets: DataFrame, fail_fast: bool = False) -> DataFrame:
@@ -410,7 +431,8 @@ def decode(packets: DataFrame, fail_fast: bool = False) -> DataFrame:
     lengths are those of shapes, computed before decoding, so samples are never shuffled. With
     fail_fast the first bad packet raises instead.
     """
-    out = _samples(packets, shapes(packets))
+    info = shapes(packets).withColumns({"cut": F.lit(0), "leftover": F.lit(0).cast("long")})
+    out = _samples(packets, info).drop("leftover")
     if fail_fast:
         out = out.withColumn(
             "status",
@@ -433,21 +455,28 @@ def skip(packets: DataFrame, n: int) -> DataFrame:
     """As decode from sample n of each link on, decoding no more than the packet before it; leftover is 0.
 
     A link of no more than n samples has one row with status EndOfStream and what is left to skip as leftover.
+    Where to begin is found on the rows of shapes, link by link as they lie there; packets before it
+    go to the kernel untold and are passed over.
     """
     keys = ["file", "link_idx"]
-    info = shapes(packets)
-    hit = timeline.skip_samples(info.filter("n > 0"), keys, "pkt_idx", F.col("samples"), n)
-    start = hit.groupBy(*keys).agg(F.min("pkt_idx").alias("_from"), F.max(F.when(F.col("role") == "target", F.col("pkt_idx"))).alias("_at"), F.max("leftover").alias("_left"))
-    kept = own_packets(packets).join(start, keys).filter((F.col("pkt_idx") < 3) | (F.col("pkt_idx") >= F.col("_from"))).drop("_from", "_at", "_left")
-    cut_info = info.join(start, keys).filter(F.col("pkt_idx") >= F.col("_from")).drop("_from", "_at", "_left")
-    out = _samples(kept, cut_info).join(start, keys).filter(F.col("pkt_idx") >= F.col("_at"))
-    cut = F.when(F.col("pkt_idx") == F.col("_at"), F.col("_left")).otherwise(0).cast("int")
-    out = out.withColumn("planar", F.transform("planar", lambda c: F.slice(c, cut + 1, F.greatest(F.size(c) - cut, F.lit(0)))))
-    out = out.withColumn("samples", F.col("samples") - cut).drop("_from", "_at", "_left").withColumn("leftover", F.lit(0).cast("long"))
-    short = info.groupBy(*keys).agg(F.sum("samples").alias("_all")).filter(F.col("_all") <= n).select(
-        *keys, F.lit("EndOfStream").alias("status"), F.lit(0).alias("samples"), (n - F.col("_all")).alias("leftover")
-    )
-    return out.unionByName(short, allowMissingColumns=True)
+    whole = Window.partitionBy(*keys).orderBy("pkt_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    info = shapes(packets).withColumn("_end", F.sum("samples").over(Window.partitionBy(*keys).orderBy("pkt_idx")))
+    hit = (F.col("_end") > n) & (F.col("_end") - F.col("samples") <= n)
+    info = info.withColumns({
+        "_at": F.max(F.when(hit, F.col("pkt_idx"))).over(whole), "_left": F.max(F.when(hit, n - (F.col("_end") - F.col("samples")))).over(whole),
+        "_last": F.max("pkt_idx").over(whole)
+    })
+    info = info.withColumn("_from", F.coalesce(F.max(F.when((F.col("n") > 0) & (F.col("pkt_idx") < F.col("_at")), F.col("pkt_idx"))).over(whole), F.col("_at")))
+    short = F.col("_at").isNull()
+    told = info.filter(F.when(short, F.col("pkt_idx") == F.col("_last")).otherwise(F.col("pkt_idx") >= F.col("_from"))).withColumns({
+        "cut": F.when(F.col("pkt_idx") < F.col("_at"), -1).when(F.col("pkt_idx") == F.col("_at"), F.col("_left")).otherwise(0),
+        "leftover": F.when(short, n - F.col("_end")).otherwise(0), "status": F.when(short, "EndOfStream").otherwise(F.col("status")),
+        "samples": F.when(short, 0).otherwise(F.col("samples"))
+    })
+    out = _samples(packets, told)
+    unknown = [c for c in out.columns if c not in (*keys, "status", "samples", "leftover")]
+    out = out.withColumns({c: F.when(F.col("status") != "EndOfStream", F.col(c)) for c in unknown})
+    return out.select(*[c for c in out.columns if c != "leftover"], "leftover")
 
 
 def seek(packets: DataFrame, target: int) -> DataFrame:

@@ -231,3 +231,21 @@ def test_made_up_files_are_dealt_to_tasks(spark):
     assert files.select(F.spark_partition_id().alias("task")).distinct().count() == tasks
     decoded = plan.decode(ogg.split_files(files)).select(F.spark_partition_id().alias("task"))
     assert decoded.distinct().count() == tasks
+
+
+def test_skip_reads_shapes_once(packets):
+    """Where to begin comes with the rows of shapes: no second pass over the packets, no join of samples."""
+    text = plan.skip(packets, 500)._jdf.queryExecution().toString()
+    physical = text[text.index("== Physical Plan ==") :].splitlines()
+    kernel = next(i for i, line in enumerate(physical) if "MapInArrow" in line and "planar" in line)
+    assert not any("Exchange" in line or "Join" in line for line in physical[:kernel])
+    assert sum("InMemoryTableScan" in line for line in physical) <= sum("InMemoryTableScan" in line for line in plan.decode(packets)._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
+def test_skip_begins_in_the_first_packet_with_samples(packets):
+    """One sample is cut from it; the packet that primes it has no row."""
+    full = plan.shapes(packets).filter("file = 'made-up-0.ogg' AND samples > 0").orderBy("pkt_idx").first()
+    rows = plan.decode(packets).filter("file = 'made-up-0.ogg'")
+    cut = plan.skip(packets, 1).filter("file = 'made-up-0.ogg'")
+    assert cut.agg(F.min("samples")).first()[0] >= 0 and cut.agg(F.min("pkt_idx")).first()[0] == full["pkt_idx"]
+    assert cut.agg(F.sum("samples")).first()[0] == rows.agg(F.sum("samples")).first()[0] - 1
